@@ -101,15 +101,32 @@ def audit_papers(papers: DataFrame) -> DataFrame:
 # ----------------------------------------------------------- O19 writers ----
 
 
-def _log_rows(df: DataFrame, to_status: str, at: Column, seq: Column, sv: Column, rk: Column, err: Column) -> DataFrame:
+def log_rows(
+    df: DataFrame,
+    to_status: Column,
+    at: Column | None = None,
+    seq: Column | int = 0,
+    error: Column | None = None,
+    result_key_col: Column | None = None,
+) -> DataFrame:
+    """Status-log rows for UPDATEs whose target status may differ per row.
+
+    ``to_status`` decides which columns the row sets: ``done`` sets the
+    schema version and result key and clears ``error``; ``failed`` sets
+    ``error``; ``running`` sets neither.
+    """
+    pid = F.col("paper_id").cast("string")
+    done = to_status == F.lit("done")
+    rk = result_key_col if result_key_col is not None else result_key(pid)
+    err = error if error is not None else F.lit(None)
     return df.select(
-        F.col("paper_id").cast("string").alias("paper_id"),
-        at.alias("at"),
-        seq.cast("long").alias("seq"),
-        F.lit(to_status).alias("to_status"),
-        sv.cast("string").alias("schema_version"),
-        rk.cast("string").alias("result_key"),
-        err.cast("string").alias("error"),
+        pid.alias("paper_id"),
+        _at(at).alias("at"),
+        _seq(seq).cast("long").alias("seq"),
+        to_status.alias("to_status"),
+        F.when(done, F.lit(SCHEMA_VERSION)).alias("schema_version"),
+        F.when(done, rk).alias("result_key"),
+        F.when(to_status == F.lit("failed"), err).cast("string").alias("error"),
     )
 
 
@@ -123,20 +140,18 @@ def _seq(seq: Column | int) -> Column:
 
 def mark_running(ids: DataFrame, at: Column | None = None, seq: Column | int = 0) -> DataFrame:
     """Status only; ``error`` is left as it is."""
-    null = F.lit(None)
-    return _log_rows(ids, "running", _at(at), _seq(seq), null, null, null)
+    return log_rows(ids, F.lit("running"), at, seq)
 
 
 def mark_done(ids: DataFrame, at: Column | None = None, seq: Column | int = 1) -> DataFrame:
     """Schema version and result key set, ``error`` cleared."""
-    rk = F.col("result_key") if "result_key" in ids.columns else result_key(F.col("paper_id"))
-    return _log_rows(ids, "done", _at(at), _seq(seq), F.lit(SCHEMA_VERSION), rk, F.lit(None))
+    rk = F.col("result_key") if "result_key" in ids.columns else None
+    return log_rows(ids, F.lit("done"), at, seq, result_key_col=rk)
 
 
 def mark_failed(errors: DataFrame, at: Column | None = None, seq: Column | int = 1) -> DataFrame:
     """``error`` set; schema version and result key are left as they are."""
-    null = F.lit(None)
-    return _log_rows(errors, "failed", _at(at), _seq(seq), null, null, F.col("error"))
+    return log_rows(errors, F.lit("failed"), at, seq, error=F.col("error"))
 
 
 def applicable(updates: DataFrame, papers: DataFrame) -> DataFrame:

@@ -139,8 +139,9 @@ def abstract(d: Column) -> Column:
     return utrim(F.array_join(texts(paras), "\n\n"))
 
 
-def metadata(d: Column) -> Column:
-    analytics = _paper_analytics(d)
+def metadata(d: Column, analytics: Column | None = None) -> Column:
+    """Title, authors, DOI and abstract; ``analytics`` may be precomputed."""
+    analytics = _paper_analytics(d) if analytics is None else analytics
     return F.struct(
         title(d).alias("title"),
         author_names(_cat(analytics, lambda a: a["author"])).alias("authors"),
@@ -238,6 +239,9 @@ def to_document(
     if hash_col is None:
         hash_col = F.lit(None).cast("string")
     parsed = parse_tei(df.select(*keep, F.col(tei_col), hash_col.alias("_hash")), tei_col=tei_col, out="_doc")
+    # The paper's own analytic blocks feed two fields; computing them once in
+    # their own projection keeps Catalyst from evaluating the path twice.
+    parsed = parsed.withColumn("_pa", _paper_analytics(F.col("_doc")))
     d = F.col("_doc")
     ok = d.isNotNull()
     secs = sections(d)
@@ -248,7 +252,7 @@ def to_document(
         F.when(ok, F.lit(engine)).alias("engine"),
         F.when(ok, F.col("_hash")).alias("source_hash"),
         F.when(ok, F.current_timestamp()).alias("parsed_at"),
-        F.when(ok, metadata(d)).alias("metadata"),
+        F.when(ok, metadata(d, F.col("_pa"))).alias("metadata"),
         F.when(ok, secs).alias("sections"),
         F.when(ok, references(d)).alias("references"),
         F.lit(None).cast("array<struct<id:string,caption:string,asset_key:string>>").alias("figures"),
@@ -327,19 +331,24 @@ def document_json(df: DataFrame, out: str = "json") -> DataFrame:
 
 
 # ------------------------------------------------------ O34 relational views --
+#
+# ``posexplode`` would make Catalyst infer ``size(array) > 0`` and push that
+# filter below the projection that builds the array, evaluating the whole
+# parse a second time. The outer form infers nothing; empty arrays give one
+# row with a NULL position, which is dropped after the generator.
+
+
+def _positions(docs: DataFrame, keys: Sequence[str], array_col: str, alias: str) -> DataFrame:
+    return docs.select(*keys, F.posexplode_outer(array_col).alias("pos", alias)).where(F.col("pos").isNotNull())
 
 
 def explode_sections(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return docs.select(*keys, F.posexplode("sections").alias("pos", "s")).select(
-        *keys, "pos", "s.level", "s.heading", "s.markdown"
-    )
+    return _positions(docs, keys, "sections", "s").select(*keys, "pos", "s.level", "s.heading", "s.markdown")
 
 
 def explode_references(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return docs.select(*keys, F.posexplode("references").alias("pos", "r")).select(
-        *keys, "pos", "r.raw", "r.title", "r.authors", "r.doi"
-    )
+    return _positions(docs, keys, "references", "r").select(*keys, "pos", "r.raw", "r.title", "r.authors", "r.doi")
 
 
 def explode_authors(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return docs.select(*keys, F.posexplode("metadata.authors").alias("pos", "author"))
+    return _positions(docs, keys, "metadata.authors", "author")

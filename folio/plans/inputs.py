@@ -177,21 +177,24 @@ def event_papers(events: DataFrame) -> DataFrame:
     )
 
 
+# Fixed mapping of event types to UPDATEs.
+EVENT_STATUS = {"click": "running", "error": "failed", "view": "done", "purchase": "done"}
+
+
 def event_updates(events: DataFrame) -> DataFrame:
-    """Status-changing calls (before the existence check)."""
-    e = events.where(F.col("event_type").isin("click", "error", "view", "purchase")).select(
+    """Status-changing calls (before the existence check), in one pass over ``events``."""
+    to_status = None
+    for event, status in EVENT_STATUS.items():
+        hit = F.col("event_type") == F.lit(event)
+        to_status = F.when(hit, F.lit(status)) if to_status is None else to_status.when(hit, F.lit(status))
+    e = events.where(F.col("event_type").isin(*EVENT_STATUS)).select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("paper_id"),
-        F.col("ts").alias("at"),
-        F.col("event_id").alias("seq"),
-        F.col("event_type"),
+        F.col("ts"),
+        F.col("event_id"),
+        to_status.alias("to_status"),
         F.col("props"),
     )
-    running = lifecycle.mark_running(e.where(F.col("event_type") == "click"), F.col("at"), F.col("seq"))
-    failed = lifecycle.mark_failed(
-        e.where(F.col("event_type") == "error").withColumn("error", F.col("props")), F.col("at"), F.col("seq")
-    )
-    done = lifecycle.mark_done(e.where(F.col("event_type").isin("view", "purchase")), F.col("at"), F.col("seq"))
-    return running.unionByName(failed).unionByName(done)
+    return lifecycle.log_rows(e, F.col("to_status"), F.col("ts"), F.col("event_id"), error=F.col("props"))
 
 
 def status_log(events: DataFrame) -> tuple[DataFrame, DataFrame]:

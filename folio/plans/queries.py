@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from folio.operators import engines, intake, lifecycle, tei
 from folio.plans import inputs
+from folio.plans.parallel import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T parsed into Documents, keyed by ``doc_id``."""
-    t = inputs.tei_inputs(inputs.table(spark, sf_dir, "documents"))
+    t = inputs.tei_inputs(spread(inputs.table(spark, sf_dir, "documents")))
     return tei.to_document(t, keep=["doc_id"])
 
 
@@ -114,10 +115,10 @@ def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tei_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O23 gate over T (all good) and H (web pages, none rooted at TEI)."""
-    t = inputs.tei_inputs(inputs.table(spark, sf_dir, "documents")).select(
+    t = inputs.tei_inputs(spread(inputs.table(spark, sf_dir, "documents"))).select(
         F.lit("tei").alias("kind"), F.col("doc_id").alias("row_id"), "tei"
     )
-    h = inputs.table(spark, sf_dir, "pages").select(
+    h = spread(inputs.table(spark, sf_dir, "pages")).select(
         F.lit("page").alias("kind"), F.col("page_id").alias("row_id"), F.col("html").alias("tei")
     )
     parsed = tei.parse_tei(t.unionByName(h), out="d")
