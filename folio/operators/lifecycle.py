@@ -168,7 +168,7 @@ def applicable(updates: DataFrame, papers: DataFrame) -> DataFrame:
 # ----------------------------------------------------------- O20-O22 fold ---
 
 
-def _summarise(log: DataFrame) -> DataFrame:
+def summarise_log(log: DataFrame) -> DataFrame:
     """Per paper, the latest value of each column over the log.
 
     All aggregates are partial-aggregation friendly: a paper with millions
@@ -189,17 +189,17 @@ def _summarise(log: DataFrame) -> DataFrame:
     )
 
 
-def fold_status(papers: DataFrame, log: DataFrame, with_attempts: bool = False) -> DataFrame:
-    """Current ``papers`` from the inserted rows (or a compacted base) and the log.
+SUMMARY_COLUMNS = ("_status", "_done_k", "_sv", "_rk", "_close_k", "_err", "_last_at", "_attempts")
 
-    The log is summarised per paper first (partial aggregation, then one
-    shuffle of one row per paper and map task), then joined to ``papers``
-    from the left, so log rows of unknown ids vanish.
+
+def apply_summary(papers: DataFrame, summary: DataFrame, with_attempts: bool = False) -> DataFrame:
+    """Current rows from the inserted rows (or a compacted base) and a per-paper log summary.
+
+    A ``left`` join from ``papers``: summaries of unknown ids vanish.
     """
-    s = _summarise(log)
-    j = papers.join(s, papers["id"] == s["paper_id"], "left")
+    j = papers.join(summary, papers["id"] == summary["paper_id"], "left")
     has_log = F.col("_status").isNotNull()
-    out = j.select(
+    return j.select(
         "id",
         "content_hash",
         "source_type",
@@ -213,7 +213,16 @@ def fold_status(papers: DataFrame, log: DataFrame, with_attempts: bool = False)
         F.when(has_log, F.col("_last_at")).otherwise(F.col("updated_at")).alias("updated_at"),
         *([F.coalesce(F.col("_attempts"), F.lit(0)).alias("attempts")] if with_attempts else []),
     )
-    return out
+
+
+def fold_status(papers: DataFrame, log: DataFrame, with_attempts: bool = False) -> DataFrame:
+    """Current ``papers`` from the inserted rows (or a compacted base) and the log.
+
+    The log is summarised per paper first (partial aggregation, then one
+    shuffle of one row per paper and map task), then joined to ``papers``
+    from the left, so log rows of unknown ids vanish.
+    """
+    return apply_summary(papers, summarise_log(log), with_attempts)
 
 
 def attempts(log: DataFrame) -> DataFrame:

@@ -229,3 +229,23 @@ ORACLES: dict[str, str] = {
         WITH {_LOG}
         SELECT id, content_hash FROM folded WHERE status = 'queued'""",
 }
+
+# Streams end in the same state as their batch counterparts.
+ORACLES["stream_intake"] = f"""
+    WITH {_UPLOADS}
+    SELECT left(sha256('paper:' || content_hash), 32) AS id, content_hash, 'upload' AS source_type,
+           regexp_extract(path, '([^/]*)$', 1) AS source_ref, 'queued' AS status,
+           'raw/' || content_hash || '.pdf' AS raw_key
+    FROM firsts"""
+ORACLES["stream_fold"] = ORACLES["status_fold"]
+ORACLES["process_papers"] = _MARKDOWN + f""",
+    {_UPLOADS},
+    nsec AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id),
+    first_doc AS (SELECT content_hash, min(doc_id) AS doc_id FROM acc GROUP BY content_hash)
+    SELECT left(sha256('paper:' || f.content_hash), 32) AS id, 'done' AS status,
+           'result/' || left(sha256('paper:' || f.content_hash), 32) || '.json' AS result_key,
+           CAST(NULL AS VARCHAR) AS error,
+           {_trim('string_split(d.text, chr(10))[1]')} AS title,
+           CAST(coalesce(nsec.n, 0) AS BIGINT) AS n_sections
+    FROM first_doc f JOIN documents d ON d.doc_id = f.doc_id
+    LEFT JOIN nsec ON nsec.doc_id = f.doc_id"""

@@ -34,7 +34,7 @@ def process(
     ``tei_by_hash`` has ``source_hash, tei`` with one row per hash. Returns
     ``(paper_id, status, result_key, error)`` per processed paper.
     """
-    current = store.scan_papers(before=batch)
+    current = store.scan_papers(exclude=batch)
     todo = lifecycle.pending(current)
     if papers is not None:
         todo = todo.join(papers.select("id"), "id", "left_semi")

@@ -12,9 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from folio.operators import engines, intake, lifecycle, tei
 from folio.plans import inputs
 from folio.plans.parallel import spread
+from folio.plans.process import process
+from folio.plans.submit import submit
+from folio.schemas import UPLOAD
+from folio.session import checkpoint_root
+from folio.sources.store import PaperStore
+from folio.streaming import intake as intake_stream
+from folio.streaming import status as status_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -226,6 +235,77 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------ streams and jobs --
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint root for this run."""
+    return f"{checkpoint_root(spark)}/folio/{name}/{uuid.uuid4().hex}"
+
+
+STREAM_CHUNKS = 4
+
+
+def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U arrives as files in doc_id order, one file per micro-batch."""
+    root = _scratch(spark, "stream_intake")
+    u = inputs.uploads(inputs.table(spark, sf_dir, "documents"))
+    cuts = u.approxQuantile("doc_id", [i / STREAM_CHUNKS for i in range(1, STREAM_CHUNKS)], 0.0)
+    edges = [None, *cuts, None]
+    for i in range(STREAM_CHUNKS):
+        part = u
+        if edges[i] is not None:
+            part = part.where(F.col("doc_id") > F.lit(edges[i]))
+        if edges[i + 1] is not None:
+            part = part.where(F.col("doc_id") <= F.lit(edges[i + 1]))
+        # One file per chunk, written in order: the file source replays them in order.
+        part.select(*UPLOAD.fieldNames()).coalesce(1).write.parquet(f"{root}/src/chunk={i:04d}")
+    stream = spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1).parquet(f"{root}/src")
+    store = PaperStore(spark, f"{root}/store")
+    q = intake_stream.start_intake(stream, store, f"{root}/ckpt", max_bytes=inputs.TEST_MAX_BYTES, available_now=True)
+    q.awaitTermination()
+    return store.scan_papers().select("id", "content_hash", "source_type", "source_ref", "status", "raw_key")
+
+
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status log L as a stream; live summaries folded into papers."""
+    root = _scratch(spark, "stream_fold")
+    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
+    log.repartitionByRange(STREAM_CHUNKS, "at").write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    q = status_stream.start_status(stream, f"{root}/status", f"{root}/ckpt", available_now=True)
+    q.awaitTermination()
+    folded = lifecycle.apply_summary(papers, status_stream.latest_summaries(spark, f"{root}/status"))
+    return folded.select(
+        "id",
+        "status",
+        "schema_version",
+        "result_key",
+        "error",
+        F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at"),
+    )
+
+
+def process_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry points A then B: register U, then parse every pending paper from its TEI."""
+    root = _scratch(spark, "process_papers")
+    store = PaperStore(spark, root)
+    docs = spread(inputs.table(spark, sf_dir, "documents"))
+    submit(store, inputs.uploads(docs).select(*UPLOAD.fieldNames()), batch=1, max_bytes=inputs.TEST_MAX_BYTES)
+    # The parse service's output: one TEI per distinct upload, from its first document.
+    h = intake.content_hash(F.encode(inputs.payload(F.col("doc_id"), F.col("text")), "UTF-8"))
+    first = docs.select(h.alias("source_hash"), "doc_id").groupBy("source_hash").agg(F.min("doc_id").alias("doc_id"))
+    tei_by_hash = inputs.tei_inputs(docs.join(first.select("doc_id"), "doc_id", "left_semi")).select("source_hash", "tei")
+    process(store, tei_by_hash, batch=2)
+    papers = store.scan_papers()
+    d = store.documents(2).select(
+        F.col("paper_id").alias("id"),
+        F.col("metadata.title").alias("title"),
+        F.size("sections").cast("long").alias("n_sections"),
+    )
+    return papers.join(d, "id", "left").select("id", "status", "result_key", "error", "title", "n_sections")
+
+
 QUERIES: dict[str, Query] = {
     # TEI -> Document
     "doc_title": doc_title,
@@ -254,4 +334,8 @@ QUERIES: dict[str, Query] = {
     "status_fold": status_fold,
     "attempts": attempts,
     "pending": pending,
+    # streams and jobs
+    "stream_intake": stream_intake,
+    "stream_fold": stream_fold,
+    "process_papers": process_papers,
 }

@@ -36,7 +36,7 @@ def submit(store: PaperStore, uploads: DataFrame, batch: int, max_bytes: int = M
     keys = store.write_work(classified, batch, "keys")
     ok = keys.where(F.col("reject_reason").isNull())
 
-    before = store.scan_papers(before=batch)
+    before = store.scan_papers(exclude=batch)
     new = intake.new_papers(intake.dedup_batch(ok), before)
     new = store.write_work(new, batch, "new")
 

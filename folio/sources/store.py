@@ -76,35 +76,48 @@ class PaperStore:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{sub}")
 
     @staticmethod
-    def _window(df: DataFrame, col: str, after: int | None, before: int | None) -> DataFrame:
+    def _window(
+        df: DataFrame, col: str, after: int | None, before: int | None, exclude: int | None = None
+    ) -> DataFrame:
+        """Partition filters on the batch number (pruned from the file listing)."""
         if after is not None:
             df = df.where(F.col(col) > F.lit(after))
         if before is not None:
             df = df.where(F.col(col) < F.lit(before))
+        if exclude is not None:
+            df = df.where(F.col(col) != F.lit(exclude))
         return df
 
     # --------------------------------------------------------------- reads --
 
-    def inserts(self, after: int | None = None, before: int | None = None) -> DataFrame:
+    def inserts(self, after: int | None = None, before: int | None = None, exclude: int | None = None) -> DataFrame:
         df = self._read("papers", _with(PAPERS, ("batch", T.LongType())))
-        return self._window(df, "batch", after, before)
+        return self._window(df, "batch", after, before, exclude)
 
-    def log(self, after: int | None = None, before: int | None = None) -> DataFrame:
+    def log(self, after: int | None = None, before: int | None = None, exclude: int | None = None) -> DataFrame:
         df = self._read("log", _with(STATUS_LOG, ("batch", T.LongType()), ("step", T.IntegerType())))
-        return self._window(df, "batch", after, before)
+        return self._window(df, "batch", after, before, exclude)
 
     def latest_base(self, before: int | None = None) -> int | None:
         ups = [u for u in self._children("base", "upto") if before is None or u < before]
         return ups[-1] if ups else None
 
-    def scan_papers(self, before: int | None = None) -> DataFrame:
-        """O3: current ``papers`` as of the start of batch ``before`` (all batches if None)."""
+    def scan_papers(self, before: int | None = None, exclude: int | None = None) -> DataFrame:
+        """O3: current ``papers``.
+
+        ``before=N``: as of the start of batch N. ``exclude=N``: everything
+        except batch N's own writes, which is what a replay of batch N must
+        see (several streams may write to one store under their own batch
+        numbers).
+        """
         upto = self.latest_base(before)
-        inserts = self.inserts(after=upto, before=before).select(*PAPERS.fieldNames())
+        if exclude is not None and upto is not None and upto >= exclude:
+            upto = self.latest_base(exclude)
+        inserts = self.inserts(after=upto, before=before, exclude=exclude).select(*PAPERS.fieldNames())
         if upto is not None:
             base = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/upto={upto}")
             inserts = base.select(*PAPERS.fieldNames()).unionByName(inserts)
-        log = self.log(after=upto, before=before).select(*STATUS_LOG.fieldNames())
+        log = self.log(after=upto, before=before, exclude=exclude).select(*STATUS_LOG.fieldNames())
         return lifecycle.fold_status(inserts, log)
 
     def raw(self) -> DataFrame:
