@@ -42,7 +42,12 @@ def process(
 
     store.append_log(lifecycle.mark_running(todo, seq=0), batch, step=0)
 
-    jobs = todo.join(tei_by_hash.select(F.col("source_hash").alias("content_hash"), "tei"), "content_hash", "left")
+    # Inner join: AQE may build either side, so the (usually larger) TEI side
+    # is streamed and the parse keeps its parallelism; an outer join would
+    # stream the pending list and parse on as many tasks as it has files.
+    tei_side = tei_by_hash.select(F.col("source_hash").alias("content_hash"), "tei")
+    jobs = todo.join(tei_side, "content_hash", "inner")
+    missing = todo.join(tei_side.select("content_hash"), "content_hash", "left_anti")
     docs = engine.apply(jobs, tei_col="tei", source_hash="content_hash", keep=["paper_id", "content_hash"])
     docs = tei.document_json(docs).withColumn("result_key", intake.result_key(F.col("paper_id")))
     parsed = store.write_work(docs, batch, "parsed")
@@ -50,10 +55,8 @@ def process(
     good = parsed.where(F.col("parse_error").isNull())
     store.write_documents(good.drop("parse_error"), batch)
     written = store.documents(batch).select("paper_id", "result_key")
-    bad = parsed.where(F.col("parse_error").isNotNull()).select(
-        "paper_id",
-        F.when(F.col("parse_error") == F.lit("no TEI input"), F.lit(NO_TEI)).otherwise(F.col("parse_error")).alias("error"),
-    )
+    bad = parsed.where(F.col("parse_error").isNotNull()).select("paper_id", F.col("parse_error").alias("error"))
+    bad = bad.unionByName(missing.select("paper_id", F.lit(NO_TEI).alias("error")))
     final = lifecycle.mark_done(written, seq=1).unionByName(lifecycle.mark_failed(bad, seq=1))
     store.append_log(final, batch, step=1)
     return store.log(after=batch - 1, before=batch + 1).where(F.col("step") == 1).select(

@@ -5,7 +5,7 @@ replayed batch rewrites the same files instead of adding a copy)::
 
     root/papers/batch=N/                 inserted rows (O5)
     root/log/batch=N/step=S/             status-log rows (O19), S orders steps in a batch
-    root/raw/batch=N/prefix=hh/          content-addressed bytes (O4)
+    root/raw/batch=N/                    content-addressed bytes, files sorted by hash (O4)
     root/result/batch=N/                 Documents with their result key (O6)
     root/base/upto=N/                    compacted fold of batches <= N
     root/_work/batch=N/<name>/           intermediate tables of batch N
@@ -121,13 +121,14 @@ class PaperStore:
         return lifecycle.fold_status(inserts, log)
 
     def raw(self) -> DataFrame:
-        return self._read("raw", _with(RAW, ("batch", T.LongType()), ("prefix", T.StringType())))
+        return self._read("raw", _with(RAW, ("batch", T.LongType())))
 
     def raw_content(self, content_hash: str) -> DataFrame:
-        """One object by key: partition pruning on the prefix, then the hash."""
+        """One object by key: the hash filter is pushed to Parquet, and files
+        sorted by hash let row-group statistics skip everything else."""
         return (
             self.raw()
-            .where((F.col("prefix") == F.lit(content_hash[:2])) & (F.col("content_hash") == F.lit(content_hash)))
+            .where(F.col("content_hash") == F.lit(content_hash))
             .select("content_hash", "raw_key", "content")
             .limit(1)
         )
@@ -154,12 +155,16 @@ class PaperStore:
         )
 
     def write_raw(self, rows: DataFrame, batch: int) -> None:
-        """Content-addressed bytes, partitioned by the first two hex digits of the hash."""
+        """Content-addressed bytes of one batch, each file sorted by hash.
+
+        Not partitioned by a hash prefix: with thousands of write tasks that
+        would make one small file per object. Sorting within files keeps a
+        lookup by key to the row groups whose hash range covers it.
+        """
         (
             rows.select("content_hash", "raw_key", "content")
-            .withColumn("prefix", F.substring("content_hash", 1, 2))
+            .sortWithinPartitions("content_hash")
             .write.mode("overwrite")
-            .partitionBy("prefix")
             .parquet(f"{self.root}/raw/batch={batch}")
         )
 
