@@ -142,8 +142,8 @@ def resolve_uploads(keyed: DataFrame, papers: DataFrame) -> DataFrame:
     ``accepted`` for the first upload of a hash that is not a paper yet,
     ``existing`` otherwise (a known hash, or a later copy in the same
     batch). Both joins are on ``content_hash``, so the uploads are shuffled
-    once; the known side is chosen broadcast or sort-merge by AQE from its
-    runtime size.
+    once; the per-hash side is chosen broadcast or sort-merge by AQE from
+    its runtime size.
     """
     uploads = keyed.select("path", "content_hash")
     firsts = dedup_batch(keyed).select("content_hash", F.col("path").alias("_first_path"))
@@ -153,7 +153,11 @@ def resolve_uploads(keyed: DataFrame, papers: DataFrame) -> DataFrame:
         F.col("status").alias("_k_status"),
         F.col("result_key").alias("_k_result_key"),
     )
-    j = uploads.join(firsts, "content_hash", "left").join(known, "content_hash", "left")
+    # Both lookup tables have one row per hash: join them first, so the
+    # uploads (where one hash may hold a large share of all rows) take part in
+    # a single join, whose skewed partitions AQE can split.
+    per_hash = firsts.join(known, "content_hash", "left")
+    j = uploads.join(per_hash, "content_hash", "left")
     is_known = F.col("_k_id").isNotNull()
     return j.select(
         "path",

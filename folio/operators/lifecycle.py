@@ -39,8 +39,12 @@ def get_paper(papers: DataFrame, paper_id: str) -> DataFrame:
 
 
 def get_papers(papers: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """O11, batch form: papers whose id is in ``ids`` (left-semi join)."""
-    return papers.join(ids.select(F.col(id_col).alias("id")), "id", "left_semi")
+    """O11, batch form: papers whose id is in ``ids`` (left-semi join).
+
+    The lookups are de-duplicated first (a partial aggregate), so an id asked
+    for millions of times is one row per map task before the shuffle.
+    """
+    return papers.join(ids.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
 
 
 def get_paper_by_hash(papers: DataFrame, content_hash: str) -> DataFrame:
@@ -49,8 +53,8 @@ def get_paper_by_hash(papers: DataFrame, content_hash: str) -> DataFrame:
 
 
 def get_papers_by_hash(papers: DataFrame, hashes: DataFrame, hash_col: str = "content_hash") -> DataFrame:
-    """O12, batch form."""
-    return papers.join(hashes.select(F.col(hash_col).alias("content_hash")), "content_hash", "left_semi")
+    """O12, batch form (lookups de-duplicated map-side, as in ``get_papers``)."""
+    return papers.join(hashes.select(F.col(hash_col).alias("content_hash")).distinct(), "content_hash", "left_semi")
 
 
 def paper_view(papers: DataFrame, with_json: bool = True) -> DataFrame:
