@@ -7,12 +7,13 @@ character data would:
 1. everything before the root element (XML declaration, comments,
    processing instructions, DOCTYPE, stray text) is removed, because
    ``from_xml`` rejects a document that starts with a declaration;
-2. element prefixes are removed (``<t:text>`` -> ``<text>``) so names match
-   by local name;
-3. whitespace-only gaps between tags get a private-use sentinel (U+E000)
+2. whitespace-only gaps between tags get a private-use sentinel (U+E000)
    appended, because ``from_xml`` otherwise drops them even with
    ``ignoreSurroundingSpaces=false``; the sentinel is deleted again after
    parsing (``direct_text``).
+
+Element and attribute prefixes (``<t:text>``) are handled by the parser's
+``ignoreNamespace`` option, which matches by local name.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ SENTINEL = "\ue000"
 _PRELUDE = r"(?:[^<]++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*+>)*+"
 PROLOG_RE = r"^(?s)" + _PRELUDE
 ROOT_RE = r"^(?s)" + _PRELUDE + r"<(?:[\w.-]+:)?([\w.-]+)"
-PREFIX_RE = r"<(/?)[A-Za-z_][\w.-]*:"
 GAP_RE = r">(\s+)<"
 
 
 def norm_tei(c: Column) -> Column:
     stripped = F.regexp_replace(c, PROLOG_RE, "")
-    unprefixed = F.regexp_replace(stripped, PREFIX_RE, "<$1")
-    return F.regexp_replace(unprefixed, GAP_RE, ">$1" + SENTINEL + "<")
+    return F.regexp_replace(stripped, GAP_RE, ">$1" + SENTINEL + "<")
+
 
 
 def root_name(c: Column) -> Column:

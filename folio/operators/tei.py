@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import blank_to_null, empty_array_to_null, join_nonblank, utrim
 from folio.functions.xml import direct_text, last_text, norm_tei, root_name, texts
-from folio.schemas import CORRUPT, SCHEMA_VERSION, TEI_DDL
+from folio.schemas import CORRUPT, SCHEMA_VERSION, TEI_PARTS, tei_schema
 
 ENGINE_NAME = "grobid"
 
@@ -34,8 +34,13 @@ XML_OPTIONS = {
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": CORRUPT,
     "ignoreSurroundingSpaces": "false",
+    # element and attribute names match by local name, whatever the prefix
+    "ignoreNamespace": "true",
 }
 
+SECTIONS_TYPE = "array<struct<level:int,heading:string,markdown:string>>"
+REFERENCES_TYPE = "array<struct<raw:string,title:string,authors:array<string>,doi:string>>"
+
 DOCUMENT_FIELDS = (
     "schema",
     "engine",
@@ -75,7 +80,9 @@ def _analytics(bibls: Column) -> Column:
 # --------------------------------------------------------------- O23 parse --
 
 
-def parse_tei(df: DataFrame, tei_col: str = "tei", out: str = "d", error_col: str = "parse_error") -> DataFrame:
+def parse_tei(
+    df: DataFrame, tei_col: str = "tei", out: str = "d", error_col: str = "parse_error", parts=TEI_PARTS
+) -> DataFrame:
     """Parse each TEI string once; add the parsed struct and an error.
 
     ``parse_error`` is NULL for a good document. For a bad one it names the
@@ -83,7 +90,8 @@ def parse_tei(df: DataFrame, tei_col: str = "tei", out: str = "d", error_col: st
     carries data.
     """
     src = F.col(tei_col)
-    staged = df.withColumns({"_root": root_name(src), "_d": F.from_xml(norm_tei(src), TEI_DDL, XML_OPTIONS)})
+    parsed = F.from_xml(norm_tei(src), tei_schema(parts), XML_OPTIONS)
+    staged = df.withColumns({"_root": root_name(src), "_d": parsed})
     root = F.col("_root")
     error = (
         F.when(src.isNull(), F.lit("no TEI input"))
@@ -139,14 +147,23 @@ def abstract(d: Column) -> Column:
     return utrim(F.array_join(texts(paras), "\n\n"))
 
 
-def metadata(d: Column, analytics: Column | None = None) -> Column:
-    """Title, authors, DOI and abstract; ``analytics`` may be precomputed."""
-    analytics = _paper_analytics(d) if analytics is None else analytics
+def metadata(d: Column, analytics: Column | None = None, parts=TEI_PARTS) -> Column:
+    """Title, authors, DOI and abstract; ``analytics`` may be precomputed.
+
+    Fields whose TEI part was not parsed are NULL.
+    """
+    null_str = F.lit(None).cast("string")
+    if "paper" in parts:
+        analytics = _paper_analytics(d) if analytics is None else analytics
+        authors = author_names(_cat(analytics, lambda a: a["author"]))
+        doi = find_doi(_cat(analytics, lambda a: a["idno"]))
+    else:
+        authors, doi = F.lit(None).cast("array<string>"), null_str
     return F.struct(
-        title(d).alias("title"),
-        author_names(_cat(analytics, lambda a: a["author"])).alias("authors"),
-        find_doi(_cat(analytics, lambda a: a["idno"])).alias("doi"),
-        abstract(d).alias("abstract"),
+        (title(d) if "title" in parts else null_str).alias("title"),
+        authors.alias("authors"),
+        doi.alias("doi"),
+        (abstract(d) if "abstract" in parts else null_str).alias("abstract"),
         F.lit(None).cast("int").alias("year"),
     )
 
@@ -228,23 +245,33 @@ def to_document(
     source_hash: Column | str | None = "source_hash",
     keep: Sequence[str] | None = None,
     engine: str = ENGINE_NAME,
+    parts=TEI_PARTS,
 ) -> DataFrame:
     """TEI strings -> one Document per row plus ``parse_error``.
 
     ``keep`` columns are carried through (ids, keys). Rows that fail to
     parse keep their keys, get ``parse_error`` and NULL Document fields.
+    ``parts`` limits the parse to the TEI subtrees a caller reads (see
+    ``schemas.TEI_PARTS``); fields of other parts are NULL.
     """
+    parts = frozenset(parts)
     keep = list(keep if keep is not None else [c for c in df.columns if c != tei_col])
     hash_col = F.col(source_hash) if isinstance(source_hash, str) else source_hash
     if hash_col is None:
         hash_col = F.lit(None).cast("string")
-    parsed = parse_tei(df.select(*keep, F.col(tei_col), hash_col.alias("_hash")), tei_col=tei_col, out="_doc")
-    # The paper's own analytic blocks feed two fields; computing them once in
-    # their own projection keeps Catalyst from evaluating the path twice.
-    parsed = parsed.withColumn("_pa", _paper_analytics(F.col("_doc")))
+    parsed = parse_tei(
+        df.select(*keep, F.col(tei_col), hash_col.alias("_hash")), tei_col=tei_col, out="_doc", parts=parts
+    )
     d = F.col("_doc")
+    pa = None
+    if "paper" in parts:
+        # The paper's own analytic blocks feed two fields; computing them once
+        # in their own projection keeps Catalyst from evaluating the path twice.
+        parsed = parsed.withColumn("_pa", _paper_analytics(d))
+        pa = F.col("_pa")
     ok = d.isNotNull()
-    secs = sections(d)
+    secs = sections(d) if "body" in parts else F.lit(None).cast(SECTIONS_TYPE)
+    refs = references(d) if "back" in parts else F.lit(None).cast(REFERENCES_TYPE)
     shaped = parsed.select(
         *keep,
         "parse_error",
@@ -252,9 +279,9 @@ def to_document(
         F.when(ok, F.lit(engine)).alias("engine"),
         F.when(ok, F.col("_hash")).alias("source_hash"),
         F.when(ok, F.current_timestamp()).alias("parsed_at"),
-        F.when(ok, metadata(d, F.col("_pa"))).alias("metadata"),
+        F.when(ok, metadata(d, pa, parts)).alias("metadata"),
         F.when(ok, secs).alias("sections"),
-        F.when(ok, references(d)).alias("references"),
+        F.when(ok, refs).alias("references"),
         F.lit(None).cast("array<struct<id:string,caption:string,asset_key:string>>").alias("figures"),
         F.lit(None).cast("array<struct<id:string,caption:string,markdown:string>>").alias("tables"),
         F.lit(None).cast("string").alias("markdown"),
@@ -263,6 +290,8 @@ def to_document(
     )
     # Markdown is rendered from the finished sections column, not from the
     # parsed struct again.
+    if "body" not in parts:
+        return shaped
     return shaped.withColumn("markdown", F.when(ok_of(shaped), render_markdown(F.col("sections"))))
 
 

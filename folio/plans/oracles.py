@@ -226,8 +226,10 @@ ORACLES: dict[str, str] = {
                CAST(count(l.event_id) FILTER (WHERE l.to_status = 'running') AS BIGINT) AS attempts
         FROM ins i LEFT JOIN lg l ON l.user_id = i.user_id GROUP BY i.user_id""",
     "pending": f"""
-        WITH {_LOG}
-        SELECT id, content_hash FROM folded WHERE status = 'queued'""",
+        WITH {_LOG}, {_UPLOADS}
+        SELECT id, content_hash FROM folded WHERE status = 'queued'
+        UNION ALL
+        SELECT left(sha256('paper:' || content_hash), 32) AS id, content_hash FROM firsts""",
 }
 
 # Streams end in the same state as their batch counterparts.

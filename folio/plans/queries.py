@@ -19,7 +19,7 @@ from folio.plans import inputs
 from folio.plans.parallel import spread
 from folio.plans.process import process
 from folio.plans.submit import submit
-from folio.schemas import UPLOAD
+from folio.schemas import TEI_PARTS, UPLOAD
 from folio.session import checkpoint_root
 from folio.sources.store import PaperStore
 from folio.streaming import intake as intake_stream
@@ -28,10 +28,10 @@ from folio.streaming import status as status_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T parsed into Documents, keyed by ``doc_id``."""
+def _docs(spark: SparkSession, sf_dir: str, parts=TEI_PARTS) -> DataFrame:
+    """T parsed into Documents, keyed by ``doc_id`` (only the TEI ``parts`` a query reads)."""
     t = inputs.tei_inputs(spread(inputs.table(spark, sf_dir, "documents")))
-    return tei.to_document(t, keep=["doc_id"])
+    return tei.to_document(t, keep=["doc_id"], parts=parts)
 
 
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,31 +57,31 @@ def _folded(spark: SparkSession, sf_dir: str, with_attempts: bool = False) -> Da
 
 
 def doc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.col("metadata.title").alias("title"))
+    return _docs(spark, sf_dir, ("title",)).select("doc_id", F.col("metadata.title").alias("title"))
 
 
 def doc_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("metadata.authors")
-    return _docs(spark, sf_dir).select(
+    return _docs(spark, sf_dir, ("paper",)).select(
         "doc_id", F.array_join(a, "|").alias("authors"), F.size(a).cast("long").alias("n_authors")
     )
 
 
 def doc_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.col("metadata.doi").alias("doi"))
+    return _docs(spark, sf_dir, ("paper",)).select("doc_id", F.col("metadata.doi").alias("doi"))
 
 
 def doc_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.col("metadata.abstract").alias("abstract"))
+    return _docs(spark, sf_dir, ("abstract",)).select("doc_id", F.col("metadata.abstract").alias("abstract"))
 
 
 def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tei.explode_sections(_docs(spark, sf_dir), ["doc_id"])
+    s = tei.explode_sections(_docs(spark, sf_dir, ("body",)), ["doc_id"])
     return s.select("doc_id", F.col("pos").cast("long").alias("pos"), "level", "heading", "markdown")
 
 
 def doc_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = tei.explode_references(_docs(spark, sf_dir), ["doc_id"])
+    r = tei.explode_references(_docs(spark, sf_dir, ("back",)), ["doc_id"])
     return r.select(
         "doc_id",
         F.col("pos").cast("long").alias("pos"),
@@ -93,12 +93,12 @@ def doc_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_author_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = tei.explode_authors(_docs(spark, sf_dir), ["doc_id"])
+    a = tei.explode_authors(_docs(spark, sf_dir, ("paper",)), ["doc_id"])
     return a.select("doc_id", F.col("pos").cast("long").alias("pos"), "author")
 
 
 def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "markdown")
+    return _docs(spark, sf_dir, ("body",)).select("doc_id", "markdown")
 
 
 def doc_core(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def tei_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = spread(inputs.table(spark, sf_dir, "pages")).select(
         F.lit("page").alias("kind"), F.col("page_id").alias("row_id"), F.col("html").alias("tei")
     )
-    parsed = tei.parse_tei(t.unionByName(h), out="d")
+    parsed = tei.parse_tei(t.unionByName(h), out="d", parts=())
     return parsed.select("kind", "row_id", F.col("parse_error").isNull().alias("ok"), "parse_error")
 
 
@@ -221,12 +221,16 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.pending(_folded(spark, sf_dir)).select("id", "content_hash")
+    """O22 over a papers table holding both the U registrations (no log rows
+    yet) and the L papers (mostly processed)."""
+    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
+    everything = papers.unionByName(_all_papers(spark, sf_dir))
+    return lifecycle.pending(lifecycle.fold_status(everything, log)).select("id", "content_hash")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, title, n_sections, markdown)`` for every document."""
-    d = _docs(spark, sf_dir)
+    d = _docs(spark, sf_dir, ("title", "body"))
     return d.select(
         "doc_id",
         F.col("metadata.title").alias("title"),

@@ -65,20 +65,37 @@ TEXT = "ARRAY<STRUCT<_VALUE: ARRAY<STRING>>>"
 AUTHOR = f"ARRAY<STRUCT<persName: ARRAY<STRUCT<forename: {TEXT}, surname: {TEXT}>>>>"
 IDNO = "ARRAY<STRUCT<_type: STRING, _VALUE: ARRAY<STRING>>>"
 BIBL = f"ARRAY<STRUCT<analytic: ARRAY<STRUCT<author: {AUTHOR}, title: {TEXT}, idno: {IDNO}>>>>"
-HEADER = (
-    "ARRAY<STRUCT<fileDesc: ARRAY<STRUCT<"
-    f"titleStmt: ARRAY<STRUCT<title: {TEXT}>>, "
-    f"sourceDesc: ARRAY<STRUCT<biblStruct: {BIBL}>>>>>>"
-)
-BODY_TEXT = (
-    "ARRAY<STRUCT<"
-    f"front: ARRAY<STRUCT<abstract: ARRAY<STRUCT<div: ARRAY<STRUCT<p: {TEXT}>>>>>>, "
-    f"body: ARRAY<STRUCT<div: ARRAY<STRUCT<head: {TEXT}, p: {TEXT}>>>>, "
-    f"back: ARRAY<STRUCT<div: ARRAY<STRUCT<listBibl: ARRAY<STRUCT<biblStruct: {BIBL}>>>>>>"
-    ">>"
-)
 CORRUPT = "_corrupt_record"
-TEI_DDL = f"STRUCT<teiHeader: {HEADER}, text: {BODY_TEXT}, {CORRUPT}: STRING>"
+
+# The TEI subtrees each Document field reads. A query that needs only some
+# fields parses with a schema holding only those subtrees: the parser then
+# skips the rest instead of building arrays of structs for it.
+TEI_PARTS = ("title", "paper", "abstract", "body", "back")
+_HEADER_PARTS = {
+    "title": f"titleStmt: ARRAY<STRUCT<title: {TEXT}>>",
+    "paper": f"sourceDesc: ARRAY<STRUCT<biblStruct: {BIBL}>>",
+}
+_TEXT_PARTS = {
+    "abstract": f"front: ARRAY<STRUCT<abstract: ARRAY<STRUCT<div: ARRAY<STRUCT<p: {TEXT}>>>>>>",
+    "body": f"body: ARRAY<STRUCT<div: ARRAY<STRUCT<head: {TEXT}, p: {TEXT}>>>>",
+    "back": f"back: ARRAY<STRUCT<div: ARRAY<STRUCT<listBibl: ARRAY<STRUCT<biblStruct: {BIBL}>>>>>>",
+}
+
+
+def tei_schema(parts=TEI_PARTS) -> str:
+    """``from_xml`` schema for the requested TEI parts (always with the corrupt-record column)."""
+    header = [f for p, f in _HEADER_PARTS.items() if p in parts]
+    text = [f for p, f in _TEXT_PARTS.items() if p in parts]
+    fields = []
+    if header:
+        fields.append(f"teiHeader: ARRAY<STRUCT<fileDesc: ARRAY<STRUCT<{', '.join(header)}>>>>")
+    if text:
+        fields.append(f"text: ARRAY<STRUCT<{', '.join(text)}>>")
+    fields.append(f"{CORRUPT}: STRING")
+    return f"STRUCT<{', '.join(fields)}>"
+
+
+TEI_DDL = tei_schema()
 
 # -------------------------------------------------------------- Document --
 

@@ -293,3 +293,30 @@ def test_columns_only_no_python_udf_in_functions():
 
     for mod in (text, xml):
         assert "udf" not in inspect.getsource(mod)
+
+
+# --------------------------------------------------------- pruned parses ----
+
+
+def test_parts_give_the_same_fields(spark):
+    bad = "<TEI><text><body><div><p>trunc"
+    df = spark.createDataFrame([(0, GOLDEN, "h"), (1, bad, "h"), (2, "<html/>", "h")], "id int, tei string, source_hash string")
+    full = {r.id: r.asDict(recursive=True) for r in tei.to_document(df, keep=["id"]).collect()}
+    checks = {
+        ("title",): lambda d: d["metadata"] and d["metadata"]["title"],
+        ("paper",): lambda d: d["metadata"] and (d["metadata"]["authors"], d["metadata"]["doi"]),
+        ("abstract",): lambda d: d["metadata"] and d["metadata"]["abstract"],
+        ("body",): lambda d: (d["sections"], d["markdown"]),
+        ("back",): lambda d: d["references"],
+    }
+    for parts, get in checks.items():
+        part = {r.id: r.asDict(recursive=True) for r in tei.to_document(df, keep=["id"], parts=parts).collect()}
+        for i in full:
+            assert part[i]["parse_error"] == full[i]["parse_error"], (parts, i)
+            assert get(part[i]) == get(full[i]), (parts, i)
+
+
+def test_no_parts_still_checks_well_formedness(spark):
+    df = spark.createDataFrame([("<TEI><a>",), ("<TEI>&nbsp;</TEI>",), ("<TEI/>",)], "tei string")
+    errs = [r.parse_error for r in tei.parse_tei(df, parts=()).collect()]
+    assert errs[0] and errs[1] and errs[2] is None
