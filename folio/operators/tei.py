@@ -318,12 +318,13 @@ def _html_safe(js: Column) -> Column:
     return out
 
 
-def document_json(df: DataFrame, out: str = "json") -> DataFrame:
+def document_json(df: DataFrame, out: str = "json", with_parsed_at: bool = True) -> DataFrame:
     """Document as JSON text; omit-empty fields vanish when empty.
 
     ``to_json`` drops NULL fields and keeps ``[]``, so omit-empty fields are
     set to NULL when empty; ``sections``, ``references`` and
-    ``metadata.authors`` stay ``[]``.
+    ``metadata.authors`` stay ``[]``. ``with_parsed_at=False`` leaves out the
+    parse time: the content alone, equal across re-parses of equal input.
     """
     md = F.col("metadata")
     meta = F.struct(
@@ -346,7 +347,7 @@ def document_json(df: DataFrame, out: str = "json") -> DataFrame:
         F.col("schema"),
         F.col("engine"),
         F.col("source_hash"),
-        rfc3339(F.col("parsed_at")).alias("parsed_at"),
+        (rfc3339(F.col("parsed_at")) if with_parsed_at else F.lit(None).cast("string")).alias("parsed_at"),
         meta.alias("metadata"),
         F.col("sections"),
         refs.alias("references"),

@@ -251,3 +251,53 @@ ORACLES["process_papers"] = _MARKDOWN + f""",
            CAST(coalesce(nsec.n, 0) AS BIGINT) AS n_sections
     FROM first_doc f JOIN documents d ON d.doc_id = f.doc_id
     LEFT JOIN nsec ON nsec.doc_id = f.doc_id"""
+
+
+def _esc(x: str) -> str:
+    """JSON string escaping as an HTML-safe encoder writes it (the input has no other control characters)."""
+    out = f"replace({x}, '\\', '\\\\')"
+    for ch, rep in (("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'"),
+                    ("'&'", "'\\u0026'"), ("'<'", "'\\u003c'"), ("'>'", "'\\u003e'")):
+        out = f"replace({out}, {ch}, {rep})"
+    return out
+
+
+ORACLES["doc_flagship"] = _MARKDOWN + f""",
+    nsec AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id)
+    SELECT d.doc_id, {_trim('string_split(d.text, chr(10))[1]')} AS title,
+           CAST(coalesce(nsec.n, 0) AS BIGINT) AS n_sections,
+           {_trim("coalesce(md.body, '')")} AS markdown
+    FROM documents d LEFT JOIN md ON md.doc_id = d.doc_id LEFT JOIN nsec ON nsec.doc_id = d.doc_id"""
+
+_REF_DOI = _DOI.format(n="doc_id + k")
+ORACLES["doc_json_content"] = _MARKDOWN + f""",
+    sj AS (
+      SELECT doc_id, string_agg('{{"level":1,"heading":"' || {_esc('heading')} || '","markdown":"'
+                                || {_esc('markdown')} || '"}}', ',' ORDER BY i) AS js
+      FROM kept GROUP BY doc_id),
+    rk AS (SELECT doc_id, unnest(range(1, doc_id % 4 + 1)) AS k FROM documents),
+    rj AS (
+      SELECT doc_id, string_agg('{{"raw":"R ' || CAST(k AS VARCHAR) || '. Ref ' || CAST(doc_id + k AS VARCHAR)
+                                || '. DOI: ' || {_REF_DOI} || '","title":"Ref ' || CAST(doc_id + k AS VARCHAR)
+                                || '","authors":["R ' || CAST(k AS VARCHAR) || '"],"doi":"' || {_REF_DOI} || '"}}',
+                                ',' ORDER BY k) AS js
+      FROM rk GROUP BY doc_id),
+    f AS (
+      SELECT d.doc_id,
+             sha256(CASE WHEN d.doc_id % 5 = 0 THEN d.text ELSE '%PDF-' || d.text END) AS h,
+             {_trim('string_split(d.text, chr(10))[1]')} AS title,
+             {_authors('d.source', 'd.lang')} AS authors,
+             CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE {_DOI.format(n='d.doc_id')} END AS doi,
+             {_trim("CASE WHEN len(string_split(d.text, chr(10))) >= 2 THEN string_split(d.text, chr(10))[1] || chr(10) || chr(10) || string_split(d.text, chr(10))[2] ELSE string_split(d.text, chr(10))[1] END")} AS abstract,
+             {_trim("coalesce(md.body, '')")} AS markdown,
+             coalesce(sj.js, '') AS sections, coalesce(rj.js, '') AS refs
+      FROM documents d LEFT JOIN md ON md.doc_id = d.doc_id
+      LEFT JOIN sj ON sj.doc_id = d.doc_id LEFT JOIN rj ON rj.doc_id = d.doc_id)
+    SELECT doc_id,
+           '{{"schema":"1.0","engine":"grobid","source_hash":"' || h || '","metadata":{{"title":"' || {_esc('title')}
+           || '","authors":[' || array_to_string(list_transform(authors, lambda a: '"' || {_esc('a')} || '"'), ',') || ']'
+           || CASE WHEN doi <> '' THEN ',"doi":"' || {_esc('doi')} || '"' ELSE '' END
+           || CASE WHEN abstract <> '' THEN ',"abstract":"' || {_esc('abstract')} || '"' ELSE '' END
+           || '}},"sections":[' || sections || '],"references":[' || refs || '],"markdown":"' || {_esc('markdown')} || '"}}'
+           AS json
+    FROM f"""

@@ -122,6 +122,11 @@ def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tei.document_json(_docs(spark, sf_dir)).select("doc_id", "json")
 
 
+def doc_json_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O33 without the parse time: equal JSON for equal content (change detection)."""
+    return tei.document_json(_docs(spark, sf_dir), with_parsed_at=False).select("doc_id", "json")
+
+
 def tei_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O23 gate over T (all good) and H (web pages, none rooted at TEI)."""
     t = inputs.tei_inputs(spread(inputs.table(spark, sf_dir, "documents"))).select(
@@ -310,8 +315,14 @@ def process_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.join(d, "id", "left").select("id", "status", "result_key", "error", "title", "n_sections")
 
 
+def doc_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first slice of the build plan, also ``entry``: title, section count, Markdown."""
+    return flagship(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     # TEI -> Document
+    "doc_flagship": doc_flagship,
     "doc_title": doc_title,
     "doc_authors": doc_authors,
     "doc_doi": doc_doi,
@@ -322,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "doc_markdown": doc_markdown,
     "doc_core": doc_core,
     "doc_json": doc_json,
+    "doc_json_content": doc_json_content,
     "tei_reject": tei_reject,
     # intake
     "upload_classify": upload_classify,
