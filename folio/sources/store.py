@@ -75,28 +75,39 @@ class PaperStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{sub}")
 
-    @staticmethod
-    def _window(
-        df: DataFrame, col: str, after: int | None, before: int | None, exclude: int | None = None
+    def _read_batches(
+        self,
+        sub: str,
+        schema: T.StructType,
+        after: int | None = None,
+        before: int | None = None,
+        exclude: int | None = None,
     ) -> DataFrame:
-        """Partition filters on the batch number (pruned from the file listing)."""
-        if after is not None:
-            df = df.where(F.col(col) > F.lit(after))
-        if before is not None:
-            df = df.where(F.col(col) < F.lit(before))
-        if exclude is not None:
-            df = df.where(F.col(col) != F.lit(exclude))
-        return df
+        """Read only the ``batch=N`` folders in the window.
+
+        The batch numbers come from a one-level listing of ``sub``; only the
+        chosen folders are then listed and read (``basePath`` keeps ``batch``
+        as a column). After a compaction, reads no longer touch the folders
+        of compacted batches, however many there are.
+        """
+        batches = [
+            b
+            for b in self._children(sub, "batch")
+            if (after is None or b > after) and (before is None or b < before) and b != exclude
+        ]
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.root}/{sub}/batch={b}" for b in batches]
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{sub}").parquet(*paths)
 
     # --------------------------------------------------------------- reads --
 
     def inserts(self, after: int | None = None, before: int | None = None, exclude: int | None = None) -> DataFrame:
-        df = self._read("papers", _with(PAPERS, ("batch", T.LongType())))
-        return self._window(df, "batch", after, before, exclude)
+        return self._read_batches("papers", _with(PAPERS, ("batch", T.LongType())), after, before, exclude)
 
     def log(self, after: int | None = None, before: int | None = None, exclude: int | None = None) -> DataFrame:
-        df = self._read("log", _with(STATUS_LOG, ("batch", T.LongType()), ("step", T.IntegerType())))
-        return self._window(df, "batch", after, before, exclude)
+        schema = _with(STATUS_LOG, ("batch", T.LongType()), ("step", T.IntegerType()))
+        return self._read_batches("log", schema, after, before, exclude)
 
     def latest_base(self, before: int | None = None) -> int | None:
         ups = [u for u in self._children("base", "upto") if before is None or u < before]
