@@ -113,9 +113,25 @@ def dedup_batch(keyed: DataFrame) -> DataFrame:
     )
 
 
+def known_for(papers: DataFrame, keys: DataFrame, key: str = "content_hash") -> DataFrame:
+    """Rows of the (large) ``papers`` whose ``key`` occurs in the (small) batch ``keys``.
+
+    A left-semi join with the batch on the right: AQE can build the batch
+    side into a broadcast hash table when its runtime size is small, and the
+    large table is then scanned and probed, never shuffled. An anti- or
+    outer join with the batch on the left could only build ``papers``.
+    """
+    return papers.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def new_papers(firsts: DataFrame, papers: DataFrame) -> DataFrame:
-    """First uploads whose hash is not a paper yet (anti-join on the hash)."""
-    return firsts.join(papers.select("content_hash"), "content_hash", "left_anti")
+    """First uploads whose hash is not a paper yet.
+
+    The anti-join runs against the batch's known hashes only (see
+    ``known_for``), so the papers table is probed, not shuffled.
+    """
+    known = known_for(papers.select("content_hash"), firsts)
+    return firsts.join(known, "content_hash", "left_anti")
 
 
 def paper_rows(new: DataFrame, created_at: Column | None = None) -> DataFrame:
@@ -147,7 +163,7 @@ def resolve_uploads(keyed: DataFrame, papers: DataFrame) -> DataFrame:
     """
     uploads = keyed.select("path", "content_hash")
     firsts = dedup_batch(keyed).select("content_hash", F.col("path").alias("_first_path"))
-    known = papers.select(
+    known = known_for(papers.select("content_hash", "id", "status", "result_key"), firsts).select(
         "content_hash",
         F.col("id").alias("_k_id"),
         F.col("status").alias("_k_status"),

@@ -34,10 +34,9 @@ def process(
     ``tei_by_hash`` has ``source_hash, tei`` with one row per hash. Returns
     ``(paper_id, status, result_key, error)`` per processed paper.
     """
-    current = store.scan_papers(exclude=batch)
+    only = papers.select("id") if papers is not None else None
+    current = store.scan_papers(exclude=batch, only=only, key="id")
     todo = lifecycle.pending(current)
-    if papers is not None:
-        todo = todo.join(papers.select("id"), "id", "left_semi")
     todo = store.write_work(todo.select(F.col("id").alias("paper_id"), "content_hash"), batch, "pending")
 
     store.append_log(lifecycle.mark_running(todo, seq=0), batch, step=0)

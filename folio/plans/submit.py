@@ -36,7 +36,8 @@ def submit(store: PaperStore, uploads: DataFrame, batch: int, max_bytes: int = M
     keys = store.write_work(classified, batch, "keys")
     ok = keys.where(F.col("reject_reason").isNull())
 
-    before = store.scan_papers(exclude=batch)
+    # Only this batch's hashes are looked up: the store is probed, not folded whole.
+    before = store.scan_papers(exclude=batch, only=ok.select("content_hash"))
     new = intake.new_papers(intake.dedup_batch(ok), before)
     new = store.write_work(new, batch, "new")
 

@@ -113,13 +113,22 @@ class PaperStore:
         ups = [u for u in self._children("base", "upto") if before is None or u < before]
         return ups[-1] if ups else None
 
-    def scan_papers(self, before: int | None = None, exclude: int | None = None) -> DataFrame:
+    def scan_papers(
+        self,
+        before: int | None = None,
+        exclude: int | None = None,
+        only: DataFrame | None = None,
+        key: str = "content_hash",
+    ) -> DataFrame:
         """O3: current ``papers``.
 
         ``before=N``: as of the start of batch N. ``exclude=N``: everything
         except batch N's own writes, which is what a replay of batch N must
         see (several streams may write to one store under their own batch
-        numbers).
+        numbers). ``only``: just the papers whose ``key`` (``content_hash`` or
+        ``id``) is in that DataFrame, e.g. the hashes of one upload batch; the
+        inserts and the log are then probed with a semi-join against the batch
+        and only those papers are folded, instead of folding the whole store.
         """
         upto = self.latest_base(before)
         if exclude is not None and upto is not None and upto >= exclude:
@@ -129,6 +138,10 @@ class PaperStore:
             base = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/upto={upto}")
             inserts = base.select(*PAPERS.fieldNames()).unionByName(inserts)
         log = self.log(after=upto, before=before, exclude=exclude).select(*STATUS_LOG.fieldNames())
+        if only is not None:
+            inserts = inserts.join(only.select(key).distinct(), key, "left_semi")
+            ids = inserts.select(F.col("id").alias("paper_id"))
+            log = log.join(ids, "paper_id", "left_semi")
         return lifecycle.fold_status(inserts, log)
 
     def raw(self) -> DataFrame:

@@ -80,3 +80,14 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan
     plan = _plan(e.queries()["status_fold"](spark, SF_SMALL))
     assert "value" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_batch_lookup_probes_the_big_table(spark):
+    big = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    batch = spark.createDataFrame([(f"{i:064x}",) for i in range(5)], "content_hash string")
+    out = intake.known_for(big, batch)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final and "LeftSemi" in final and "BuildRight" in final
+    # the large side is scanned and probed in place: no hash exchange over it
+    assert "Exchange hashpartitioning(content_hash" not in final.split("BroadcastExchange")[0]
