@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.operators import lifecycle
+from folio.operators import intake, lifecycle
 from folio.schemas import PAPERS, STATUS_LOG
 
 RAW = T.StructType(
@@ -140,8 +140,14 @@ class PaperStore:
         log = self.log(after=upto, before=before, exclude=exclude).select(*STATUS_LOG.fieldNames())
         if only is not None:
             inserts = inserts.join(only.select(key).distinct(), key, "left_semi")
-            ids = inserts.select(F.col("id").alias("paper_id"))
-            log = log.join(ids, "paper_id", "left_semi")
+            # The ids come from the small batch itself (a stored paper's id is
+            # derived from its hash), so the log is probed with a side whose
+            # size the planner knows, not with the result of a join.
+            if key == "content_hash":
+                ids = only.select(intake.paper_id(F.col("content_hash")).alias("paper_id"))
+            else:
+                ids = only.select(F.col("id").alias("paper_id"))
+            log = log.join(ids.distinct(), "paper_id", "left_semi")
         return lifecycle.fold_status(inserts, log)
 
     def raw(self) -> DataFrame:

@@ -83,8 +83,14 @@ def test_scan_prunes_columns(spark):
 
 
 def test_batch_lookup_probes_the_big_table(spark):
+    import tempfile
+
     big = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
-    batch = spark.createDataFrame([(f"{i:064x}",) for i in range(5)], "content_hash string")
+    # As in ``submit``: the batch's keys are a written table, so the planner
+    # knows its size from the files and plans the broadcast statically.
+    path = tempfile.mkdtemp(prefix="folio-batch-") + "/keys"
+    spark.createDataFrame([(f"{i:064x}",) for i in range(5)], "content_hash string").write.parquet(path)
+    batch = spark.read.parquet(path)
     out = intake.known_for(big, batch)
     out.collect()
     final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
