@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators import skew
 from folio.operators.intake import result_key
 from folio.schemas import SCHEMA_VERSION, SOURCE_TYPES, STATUSES
 
@@ -158,15 +159,24 @@ def mark_failed(errors: DataFrame, at: Column | None = None, seq: Column | int =
     return log_rows(errors, F.lit("failed"), at, seq, error=F.col("error"))
 
 
-def applicable(updates: DataFrame, papers: DataFrame) -> DataFrame:
+def applicable(updates: DataFrame, papers: DataFrame, salts: int = 16, min_rows: int = 100_000) -> DataFrame:
     """Updates that hit a row: the paper exists and was created at or before ``at``.
 
     This is ``UPDATE ... WHERE id = $1`` evaluated at the time of the update;
-    an update of no row is dropped, not an error.
+    an update of no row is dropped, not an error. The join is salted for the
+    heaviest papers (``operators.skew``), so one paper with a large share of
+    all updates is spread over ``salts`` tasks.
     """
-    created = papers.select(F.col("id").alias("_pid"), F.col("created_at").alias("_created"))
-    cond = (F.col("paper_id") == F.col("_pid")) & (F.col("at") >= F.col("_created"))
-    return updates.join(created, cond, "left_semi")
+    created = papers.select(F.col("id").alias("paper_id"), F.col("created_at").alias("_created"))
+    return skew.salted_semi_join(
+        updates,
+        created,
+        "paper_id",
+        condition=F.col("at") >= F.col("_created"),
+        salt_source=F.xxhash64(F.col("seq")),
+        salts=salts,
+        min_rows=min_rows,
+    )
 
 
 # ----------------------------------------------------------- O20-O22 fold ---
