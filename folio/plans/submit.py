@@ -24,8 +24,14 @@ from folio.sources.store import PaperStore
 OUTCOME_REJECTED = "rejected"
 
 
-def submit(store: PaperStore, uploads: DataFrame, batch: int, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """Register ``uploads`` (a binaryFile-shaped DataFrame) as batch ``batch``; returns the replies."""
+def submit(
+    store: PaperStore, uploads: DataFrame, batch: int, max_bytes: int = MAX_UPLOAD_BYTES, replies: bool = True
+) -> DataFrame | None:
+    """Register ``uploads`` (a binaryFile-shaped DataFrame) as batch ``batch``.
+
+    Returns the replies (one per upload), written to the batch's work folder,
+    or None with ``replies=False`` (a stream has no caller to answer).
+    """
     classified = intake.classify_uploads(uploads, max_bytes).select(
         "path",
         "modificationTime",
@@ -46,8 +52,10 @@ def submit(store: PaperStore, uploads: DataFrame, batch: int, max_bytes: int = M
     )
     store.write_raw(raw, batch)
     store.append_papers(intake.paper_rows(new), batch)
+    if not replies:
+        return None
 
-    replies = intake.resolve_uploads(ok, before)
+    answers = intake.resolve_uploads(ok, before)
     rejected = keys.where(F.col("reject_reason").isNotNull()).select(
         "path",
         F.lit(None).cast("string").alias("id"),
@@ -57,5 +65,5 @@ def submit(store: PaperStore, uploads: DataFrame, batch: int, max_bytes: int = M
         F.lit(OUTCOME_REJECTED).alias("outcome"),
         "reject_reason",
     )
-    out = replies.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejected)
+    out = answers.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejected)
     return store.write_work(out, batch, "replies")

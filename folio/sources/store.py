@@ -16,7 +16,7 @@ and log rows after it. No row is ever updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,6 +202,18 @@ class PaperStore:
         """One row per Document with its ``result_key`` (and its JSON text)."""
         docs.write.mode("overwrite").parquet(f"{self.root}/result/batch={batch}")
 
+    def export_json(self, batch: int, path: str) -> None:
+        """Documents of one batch as JSON lines (``{"result_key": ..., "document": {...}}``).
+
+        The Document text is written as produced (HTML-safe, omit-empty), one
+        line per document, next to its key.
+        """
+        docs = self.documents(batch)
+        line = F.concat(
+            F.lit('{"result_key":"'), F.col("result_key"), F.lit('","document":'), F.col("json"), F.lit("}")
+        )
+        docs.select(line.alias("value")).write.mode("overwrite").text(path)
+
     def write_work(self, df: DataFrame, batch: int, name: str) -> DataFrame:
         """Write an intermediate table and read it back: a lineage cut that survives executor loss."""
         path = f"{self.root}/_work/batch={batch}/{name}"
@@ -213,6 +225,3 @@ class PaperStore:
         folded = self.scan_papers(before=upto + 1)
         folded.write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
 
-
-def now() -> Column:
-    return F.current_timestamp()

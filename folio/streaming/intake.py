@@ -29,7 +29,7 @@ def register_batch(
     """The ``foreachBatch`` body: dedup + raw write + insert for one micro-batch."""
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        submit(store, batch_df.select(*UPLOAD.fieldNames()), batch_offset + batch_id, max_bytes)
+        submit(store, batch_df.select(*UPLOAD.fieldNames()), batch_offset + batch_id, max_bytes, replies=False)
 
     return run
 

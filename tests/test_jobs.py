@@ -96,6 +96,13 @@ def test_process_done_failed_and_compaction(spark, files):
     assert out[same.id].status == "done"
     docs = store.documents(2).collect()
     assert [d.metadata.title for d in docs] == ["Same"] and docs[0].result_key == same.result_key
+    out_dir = tempfile.mkdtemp(prefix="folio-json-") + "/docs"
+    store.export_json(2, out_dir)
+    import json as _json
+
+    lines = [ln for f in sorted(os.listdir(out_dir)) if f.startswith("part-") for ln in open(os.path.join(out_dir, f))]
+    rec = _json.loads(lines[0])
+    assert rec["result_key"] == same.result_key and rec["document"]["metadata"]["title"] == "Same"
     # nothing pending any more: a second run processes nothing
     assert process(store, tei, batch=3).count() == 0
     # compaction keeps the state
