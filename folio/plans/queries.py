@@ -7,13 +7,12 @@ are scalars (arrays are joined with ``|``), so the DuckDB oracle in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 from folio.operators import engines, intake, lifecycle, tei
 from folio.plans import inputs
 from folio.plans.parallel import spread
