@@ -16,6 +16,8 @@ and log rows after it. No row is ever updated in place.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,23 +49,41 @@ class PaperStore:
     # -------------------------------------------------------- file system --
 
     def _fs_path(self, path: str):
+        """Hadoop ``(Path, FileSystem)`` for ``path`` (any scheme the cluster supports)."""
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _local(self, sub: str) -> str | None:
+        """A local path for ``sub`` when the store is on the local file system."""
+        root = self.root[len("file:") :] if self.root.startswith("file:") else self.root
+        return None if "://" in root else os.path.join(root, sub)
+
     def exists(self, sub: str) -> bool:
-        p, fs = self._fs_path(f"{self.root}/{sub}")
-        return bool(fs.exists(p))
+        try:
+            p, fs = self._fs_path(f"{self.root}/{sub}")
+            return bool(fs.exists(p))
+        except Exception:  # no JVM handle (Spark Connect): local stores only
+            local = self._local(sub)
+            return local is not None and os.path.exists(local)
+
+    def _names(self, sub: str) -> list[tuple[str, bool]]:
+        try:
+            p, fs = self._fs_path(f"{self.root}/{sub}")
+            return [(st.getPath().getName(), bool(st.isDirectory())) for st in fs.listStatus(p)]
+        except Exception:
+            local = self._local(sub)
+            if local is None:
+                raise
+            return [(n, os.path.isdir(os.path.join(local, n))) for n in os.listdir(local)]
 
     def _children(self, sub: str, prefix: str) -> list[int]:
         """Numeric values of ``prefix=N`` folders under ``sub`` (a directory listing, not a scan)."""
         if not self.exists(sub):
             return []
-        p, fs = self._fs_path(f"{self.root}/{sub}")
         out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith(prefix + "="):
+        for name, is_dir in self._names(sub):
+            if is_dir and name.startswith(prefix + "="):
                 try:
                     out.append(int(name.split("=", 1)[1]))
                 except ValueError:
