@@ -13,9 +13,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.operators import lifecycle
+from folio.schemas import STATUS_LOG
+from folio.sources.store import PaperStore
+
+
+def stream_store_log(spark: SparkSession, store: PaperStore, max_files_per_trigger: int = 100) -> DataFrame:
+    """The store's status log as a stream (new ``batch=N/step=S`` files as they land)."""
+    schema = T.StructType(STATUS_LOG.fields + [T.StructField("batch", T.LongType()), T.StructField("step", T.IntegerType())])
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .option("basePath", f"{store.root}/log")
+        .parquet(f"{store.root}/log")
+        .select(*STATUS_LOG.fieldNames())
+    )
 
 
 def stream_status(log_stream: DataFrame) -> DataFrame:

@@ -86,3 +86,30 @@ def test_status_stream_matches_batch_fold(spark):
     batch = lifecycle.fold_status(papers, log, with_attempts=True)
     key = F.col("id")
     assert sorted(map(tuple, live.orderBy(key).collect())) == sorted(map(tuple, batch.orderBy(key).collect()))
+
+
+def test_intake_parse_and_live_status_chain(spark):
+    src = tempfile.mkdtemp(prefix="folio-chain-src-")
+    root = tempfile.mkdtemp(prefix="folio-chain-")
+    _write(src, "x.pdf", b"%PDF-x", 1_700_000_000)
+    _write(src, "y.pdf", b"%PDF-y", 1_700_000_001)
+    store = PaperStore(spark, f"{root}/store")
+    up = intake_stream.stream_uploads(spark, src, max_files_per_trigger=1)
+    intake_stream.start_intake(up, store, f"{root}/ck1", max_bytes=1024, available_now=True).awaitTermination()
+
+    import hashlib
+
+    hx = hashlib.sha256(b"%PDF-x").hexdigest()
+    tei = spark.createDataFrame([(hx, "<TEI/>")], "source_hash string, tei string")
+    parse_stream.start_parse(
+        parse_stream.stream_new_papers(spark, store), store, tei, f"{root}/ck2", available_now=True
+    ).awaitTermination()
+
+    log = status_stream.stream_store_log(spark, store)
+    status_stream.start_status(log, f"{root}/status", f"{root}/ck3", available_now=True).awaitTermination()
+    live = lifecycle.apply_summary(store.inserts().drop("batch"), status_stream.latest_summaries(spark, f"{root}/status"))
+    got = {r.source_ref: (r.status, r.error) for r in live.collect()}
+    assert got["x.pdf"][0] == "done"
+    assert got["y.pdf"][0] == "failed" and got["y.pdf"][1]
+    folded = {r.source_ref: (r.status, r.error) for r in store.scan_papers().collect()}
+    assert folded == got
