@@ -207,7 +207,7 @@ def references(d: Column) -> Column:
     )
 
     def parts(b: Column) -> Column:
-        analytics = _analytics(F.array(b))
+        analytics = F.coalesce(b["analytic"], F.array())
         return F.struct(
             utrim(last_text(_cat(analytics, lambda a: a["title"]))).alias("title"),
             author_names(_cat(analytics, lambda a: a["author"])).alias("authors"),
