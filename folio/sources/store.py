@@ -7,7 +7,7 @@ replayed batch rewrites the same files instead of adding a copy)::
     root/log/batch=N/step=S/             status-log rows (O19), S orders steps in a batch
     root/raw/batch=N/                    content-addressed bytes, files sorted by hash (O4)
     root/result/batch=N/                 Documents with their result key (O6)
-    root/base/upto=N/                    compacted fold of batches <= N
+    root/base/v=K/data, v=K/included     compacted fold and the batch folders it holds
     root/_work/batch=N/<name>/           intermediate tables of batch N
 
 ``scan_papers`` (O3) is the fold (O20) of the newest base with the inserts
@@ -41,6 +41,10 @@ def _with(schema: T.StructType, *extra: tuple[str, T.DataType]) -> T.StructType:
     return out
 
 
+INSERTS_SCHEMA = _with(PAPERS, ("batch", T.LongType()))
+LOG_SCHEMA = _with(STATUS_LOG, ("batch", T.LongType()), ("step", T.IntegerType()))
+
+
 class PaperStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -102,36 +106,67 @@ class PaperStore:
         after: int | None = None,
         before: int | None = None,
         exclude: int | None = None,
+        skip: frozenset[int] = frozenset(),
     ) -> DataFrame:
-        """Read only the ``batch=N`` folders in the window.
+        """Read only the ``batch=N`` folders in the window and not in ``skip``.
 
         The batch numbers come from a one-level listing of ``sub``; only the
         chosen folders are then listed and read (``basePath`` keeps ``batch``
         as a column). After a compaction, reads no longer touch the folders
-        of compacted batches, however many there are.
+        the base already holds, however many there are.
         """
         batches = [
             b
             for b in self._children(sub, "batch")
-            if (after is None or b > after) and (before is None or b < before) and b != exclude
+            if (after is None or b > after) and (before is None or b < before) and b != exclude and b not in skip
         ]
+        return self._read_batch_list(sub, schema, batches)
+
+    def _read_batch_list(self, sub: str, schema: T.StructType, batches) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], schema)
-        paths = [f"{self.root}/{sub}/batch={b}" for b in batches]
+        paths = [f"{self.root}/{sub}/batch={b}" for b in sorted(batches)]
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{sub}").parquet(*paths)
 
     # --------------------------------------------------------------- reads --
 
-    def inserts(self, after: int | None = None, before: int | None = None, exclude: int | None = None) -> DataFrame:
-        return self._read_batches("papers", _with(PAPERS, ("batch", T.LongType())), after, before, exclude)
+    def inserts(
+        self, after: int | None = None, before: int | None = None, exclude: int | None = None, skip=frozenset()
+    ) -> DataFrame:
+        return self._read_batches("papers", INSERTS_SCHEMA, after, before, exclude, skip)
 
-    def log(self, after: int | None = None, before: int | None = None, exclude: int | None = None) -> DataFrame:
-        schema = _with(STATUS_LOG, ("batch", T.LongType()), ("step", T.IntegerType()))
-        return self._read_batches("log", schema, after, before, exclude)
+    def log(
+        self, after: int | None = None, before: int | None = None, exclude: int | None = None, skip=frozenset()
+    ) -> DataFrame:
+        return self._read_batches("log", LOG_SCHEMA, after, before, exclude, skip)
+
+    # ---------------------------------------------------------- compaction --
+    #
+    # A base is ``base/v=K/data`` (the folded papers) plus ``base/v=K/included``
+    # (which ``papers`` and ``log`` batch folders it holds). Reads take the
+    # newest complete base and every batch folder it does not include, so
+    # writers that number their batches in different ranges (intake and parse
+    # streams) are never cut off by a compaction.
 
-    def latest_base(self, before: int | None = None) -> int | None:
-        ups = [u for u in self._children("base", "upto") if before is None or u < before]
-        return ups[-1] if ups else None
+    def _base(self, before: int | None = None, exclude: int | None = None):
+        """``(version, papers_batches, log_batches)`` of the newest usable base, or None.
+
+        A base is usable for a window if every batch it holds lies in it
+        (all ``< before``; not ``exclude``).
+        """
+        for v in reversed(self._children("base", "v")):
+            if not self.exists(f"base/v={v}/included/_SUCCESS"):
+                continue  # an interrupted compaction
+            rows = self.spark.read.parquet(f"{self.root}/base/v={v}/included").collect()
+            papers = frozenset(r.batch for r in rows if r.tbl == "papers")
+            log = frozenset(r.batch for r in rows if r.tbl == "log")
+            held = papers | log
+            if before is not None and any(b >= before for b in held):
+                continue
+            if exclude is not None and exclude in held:
+                continue
+            return v, papers, log
+        return None
 
     def scan_papers(
         self,
@@ -150,14 +185,13 @@ class PaperStore:
         inserts and the log are then probed with a semi-join against the batch
         and only those papers are folded, instead of folding the whole store.
         """
-        upto = self.latest_base(before)
-        if exclude is not None and upto is not None and upto >= exclude:
-            upto = self.latest_base(exclude)
-        inserts = self.inserts(after=upto, before=before, exclude=exclude).select(*PAPERS.fieldNames())
-        if upto is not None:
-            base = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/upto={upto}")
-            inserts = base.select(*PAPERS.fieldNames()).unionByName(inserts)
-        log = self.log(after=upto, before=before, exclude=exclude).select(*STATUS_LOG.fieldNames())
+        base = self._base(before, exclude)
+        skip_p, skip_l = (base[1], base[2]) if base else (frozenset(), frozenset())
+        inserts = self.inserts(before=before, exclude=exclude, skip=skip_p).select(*PAPERS.fieldNames())
+        if base:
+            data = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/v={base[0]}/data")
+            inserts = data.select(*PAPERS.fieldNames()).unionByName(inserts)
+        log = self.log(before=before, exclude=exclude, skip=skip_l).select(*STATUS_LOG.fieldNames())
         if only is not None:
             inserts = inserts.join(only.select(key).distinct(), key, "left_semi")
             # The ids come from the small batch itself (a stored paper's id is
@@ -170,6 +204,29 @@ class PaperStore:
             log = log.join(ids.distinct(), "paper_id", "left_semi")
         return lifecycle.fold_status(inserts, log)
 
+    def compact(self) -> int:
+        """Fold every batch folder written so far into a new base; returns its version.
+
+        Exactly the listed folders are folded and recorded, so a batch that
+        lands while compacting is simply read on top of the new base later.
+        """
+        prev = self._base()
+        prev_p, prev_l = (prev[1], prev[2]) if prev else (frozenset(), frozenset())
+        new_p = [b for b in self._children("papers", "batch") if b not in prev_p]
+        new_l = [b for b in self._children("log", "batch") if b not in prev_l]
+        inserts = self._read_batch_list("papers", INSERTS_SCHEMA, new_p).select(*PAPERS.fieldNames())
+        if prev:
+            data = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/v={prev[0]}/data")
+            inserts = data.select(*PAPERS.fieldNames()).unionByName(inserts)
+        log = self._read_batch_list("log", LOG_SCHEMA, new_l).select(*STATUS_LOG.fieldNames())
+        version = (prev[0] if prev else 0) + 1
+        lifecycle.fold_status(inserts, log).write.mode("overwrite").parquet(f"{self.root}/base/v={version}/data")
+        held = [("papers", b) for b in sorted(prev_p | set(new_p))] + [("log", b) for b in sorted(prev_l | set(new_l))]
+        self.spark.createDataFrame(held, "tbl string, batch long").coalesce(1).write.mode("overwrite").parquet(
+            f"{self.root}/base/v={version}/included"
+        )
+        return version
+
     def raw(self) -> DataFrame:
         return self._read("raw", _with(RAW, ("batch", T.LongType())))
 
@@ -240,8 +297,3 @@ class PaperStore:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def compact(self, upto: int) -> None:
-        """Write the fold of all batches <= ``upto`` as a new base; later reads start from it."""
-        folded = self.scan_papers(before=upto + 1)
-        folded.write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
-

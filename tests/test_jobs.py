@@ -106,11 +106,31 @@ def test_process_done_failed_and_compaction(spark, files):
     # nothing pending any more: a second run processes nothing
     assert process(store, tei, batch=3).count() == 0
     # compaction keeps the state
-    store.compact(3)
+    assert store.compact() == 1
     after = {p.id: (p.status, p.result_key, p.error) for p in store.scan_papers().collect()}
     assert after == {p.id: (p.status, p.result_key, p.error) for p in papers.values()}
 
 
+def test_compaction_with_two_numbering_ranges(spark, files):
+    from folio.streaming.parse import PARSE_BATCH_OFFSET
+
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    up = upload_source.scan_uploads(spark, files, CAP)
+    submit(store, up.where(F.col("path").endswith("a.pdf")), batch=1, max_bytes=CAP)
+    tei = spark.createDataFrame([(_h(b"%PDF-same bytes"), "<TEI/>")], "source_hash string, tei string")
+    process(store, tei, batch=PARSE_BATCH_OFFSET + 1)
+    assert store.compact() == 1
+    # writers continue in both ranges after the compaction
+    submit(store, up.where(F.col("path").endswith("c.pdf")), batch=2, max_bytes=CAP)
+    process(store, tei, batch=PARSE_BATCH_OFFSET + 2)
+    got = {p.source_ref: p.status for p in store.scan_papers().collect()}
+    assert got == {"a.pdf": "done", "c.pdf": "failed"}
+    assert store.compact() == 2
+    assert {p.source_ref: p.status for p in store.scan_papers().collect()} == got
+    # the new base holds every folder; nothing is read twice
+    assert store.scan_papers().count() == 2
+
+
 def test_tei_files_source(spark):
     d = tempfile.mkdtemp(prefix="folio-tei-")
     with open(os.path.join(d, "p1.xml"), "wb") as f:
