@@ -24,12 +24,22 @@ def stream_uploads(spark: SparkSession, path: str, max_files_per_trigger: int =
 
 
 def register_batch(
-    store: PaperStore, max_bytes: int = MAX_UPLOAD_BYTES, batch_offset: int = 0
+    store: PaperStore,
+    max_bytes: int = MAX_UPLOAD_BYTES,
+    batch_offset: int = 0,
+    compact_every: int | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` body: dedup + raw write + insert for one micro-batch."""
+    """The ``foreachBatch`` body: dedup + raw write + insert for one micro-batch.
+
+    With ``compact_every=N`` the store is compacted after every N-th batch, so
+    reads keep touching only the folders written since (run compaction from
+    one stream only).
+    """
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
         submit(store, batch_df.select(*UPLOAD.fieldNames()), batch_offset + batch_id, max_bytes, replies=False)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            store.compact()
 
     return run
 
@@ -41,8 +51,9 @@ def start_intake(
     max_bytes: int = MAX_UPLOAD_BYTES,
     available_now: bool = False,
     batch_offset: int = 0,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
-    w = uploads.writeStream.foreachBatch(register_batch(store, max_bytes, batch_offset)).option(
+    w = uploads.writeStream.foreachBatch(register_batch(store, max_bytes, batch_offset, compact_every)).option(
         "checkpointLocation", checkpoint
     )
     if available_now:

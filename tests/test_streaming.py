@@ -50,6 +50,22 @@ def test_intake_stream_and_replay(spark):
     assert store.scan_papers().count() == 2 and store.raw().count() == 2
 
 
+def test_intake_stream_compacts_periodically(spark):
+    src = tempfile.mkdtemp(prefix="folio-src-")
+    root = tempfile.mkdtemp(prefix="folio-cmp-")
+    for i in range(4):
+        _write(src, f"p{i}.pdf", f"%PDF-{i}".encode(), 1_700_000_000 + i)
+    store = PaperStore(spark, f"{root}/store")
+    stream = intake_stream.stream_uploads(spark, src, max_files_per_trigger=1)
+    intake_stream.start_intake(
+        stream, store, f"{root}/ckpt", max_bytes=1024, available_now=True, compact_every=2
+    ).awaitTermination()
+    assert store._children("base", "v") == [1, 2]
+    base = store._base()
+    assert base[1] == frozenset({0, 1, 2, 3})
+    assert sorted(p.source_ref for p in store.scan_papers().collect()) == ["p0.pdf", "p1.pdf", "p2.pdf", "p3.pdf"]
+
+
 def test_parse_stream(spark):
     root = tempfile.mkdtemp(prefix="folio-ps-")
     store = PaperStore(spark, root)
