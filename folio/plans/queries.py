@@ -280,7 +280,13 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _scratch(spark, "stream_fold")
     papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
     log.repartitionByRange(STREAM_CHUNKS, "at").write.parquet(f"{root}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    # The state store has one partition per shuffle partition, fixed at the
+    # stream's first run; size it to the cluster's cores in a session of its
+    # own (same SparkContext, isolated SQL settings) instead of changing the
+    # caller's session.
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
     q = status_stream.start_status(stream, f"{root}/status", f"{root}/ckpt", available_now=True)
     q.awaitTermination()
     folded = lifecycle.apply_summary(papers, status_stream.latest_summaries(spark, f"{root}/status"))
