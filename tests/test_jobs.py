@@ -46,12 +46,16 @@ def files():
 def test_scan_pushes_size_filter(spark, files):
     df = upload_source.scan_uploads(spark, files, max_bytes=CAP)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "length" in plan and ("PushedFilters" in plan or "DataFilters" in plan)
+    assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,64)]" in plan
     names = sorted(os.path.basename(r.path) for r in df.collect())
     # Spark's file sources do not list zero-length files: the empty upload
     # (never a PDF) gets no row at all.
     assert names == ["a.pdf", "b.pdf", "c.pdf", "nope.pdf", "short.pdf"]
-    rej = {os.path.basename(r.path): r.reject_reason for r in upload_source.scan_classified(spark, files, CAP).collect()}
+    classified = upload_source.scan_classified(spark, files, CAP)
+    # the over-size branch never reads bytes: its scan does not select content
+    scans = [ln for ln in classified._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln]
+    assert any("GreaterThan(length,64)" in ln and "content" not in ln.split("ReadSchema")[1] for ln in scans)
+    rej = {os.path.basename(r.path): r.reject_reason for r in classified.collect()}
     assert rej["big.pdf"] == intake.REJECT_TOO_LARGE
     assert rej["nope.pdf"] == rej["short.pdf"] == intake.REJECT_NOT_PDF
     assert "empty.pdf" not in rej
