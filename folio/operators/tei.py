@@ -28,6 +28,7 @@ from folio.functions.text import blank_to_null, empty_array_to_null, join_nonbla
 from folio.functions.xml import direct_text, last_text, norm_tei, root_name, texts
 from folio.schemas import CORRUPT, SCHEMA_VERSION, TEI_PARTS, tei_schema
 
+# Fixed value (must equal the reference's): the engine name a Document carries.
 ENGINE_NAME = "grobid"
 
 XML_OPTIONS = {
