@@ -46,12 +46,12 @@ def process(
     # stream the pending list and parse on as many tasks as it has files.
     tei_side = tei_by_hash.select(F.col("source_hash").alias("content_hash"), "tei")
     jobs = todo.join(tei_side, "content_hash", "inner")
-    # Papers without TEI: probe the TEI table with the pending hashes, then
-    # anti-join two small sides.
-    missing = todo.join(intake.known_for(tei_side.select("content_hash"), todo), "content_hash", "left_anti")
     docs = engine.apply(jobs, tei_col="tei", source_hash="content_hash", keep=["paper_id", "content_hash"])
     docs = tei.document_json(docs).withColumn("result_key", intake.result_key(F.col("paper_id")))
     parsed = store.write_work(docs, batch, "parsed")
+    # Papers without TEI: pending but absent from the parse output (two small
+    # written tables; the TEI input is not read again).
+    missing = todo.join(parsed.select("paper_id"), "paper_id", "left_anti")
 
     good = parsed.where(F.col("parse_error").isNull())
     store.write_documents(good.drop("parse_error"), batch)

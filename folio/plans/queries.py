@@ -305,7 +305,9 @@ def process_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _scratch(spark, "process_papers")
     store = PaperStore(spark, root)
     docs = spread(inputs.table(spark, sf_dir, "documents"))
-    submit(store, inputs.uploads(docs).select(*UPLOAD.fieldNames()), batch=1, max_bytes=inputs.TEST_MAX_BYTES)
+    submit(
+        store, inputs.uploads(docs).select(*UPLOAD.fieldNames()), batch=1, max_bytes=inputs.TEST_MAX_BYTES, replies=False
+    )
     # The parse service's output: one TEI per distinct upload, from its first document.
     h = intake.content_hash(F.encode(inputs.payload(F.col("doc_id"), F.col("text")), "UTF-8"))
     first = docs.select(h.alias("source_hash"), "doc_id").groupBy("source_hash").agg(F.min("doc_id").alias("doc_id"))
