@@ -143,3 +143,17 @@ def test_tei_files_source(spark):
         f.write(b"<TEI>\xff\xfe</TEI>")
     got = {r.paper_id: r.tei for r in tei_source.scan_tei_files(spark, d).collect()}
     assert got == {"p1": "<TEI/>", "p2": None}
+
+
+def test_tei_table_source_string_and_bytes(spark):
+    d = tempfile.mkdtemp(prefix="folio-teitab-")
+    spark.createDataFrame([("p1", "h1", "<TEI/>")], "paper_id string, source_hash string, tei string").write.parquet(
+        f"{d}/s"
+    )
+    spark.createDataFrame(
+        [("p1", "h1", bytearray(b"<TEI/>")), ("p2", "h2", bytearray(b"<TEI>\xc3\x28</TEI>"))],
+        "paper_id string, source_hash string, tei binary",
+    ).write.parquet(f"{d}/b")
+    assert [tuple(r) for r in tei_source.scan_tei(spark, f"{d}/s").collect()] == [("p1", "h1", "<TEI/>")]
+    got = {r.paper_id: r.tei for r in tei_source.scan_tei(spark, f"{d}/b").collect()}
+    assert got == {"p1": "<TEI/>", "p2": None}
