@@ -319,3 +319,18 @@ def test_no_parts_still_checks_well_formedness(spark):
     df = spark.createDataFrame([("<TEI><a>",), ("<TEI>&nbsp;</TEI>",), ("<TEI/>",)], "tei string")
     errs = [r.parse_error for r in tei.parse_tei(df, parts=()).collect()]
     assert errs[0] and errs[1] and errs[2] is None
+
+
+def test_parsed_at_is_utc_whatever_the_session_zone(spark):
+    import datetime as dt
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([(0, "<TEI/>", "h")], "id int, tei string, source_hash string")
+        raw = json.loads(tei.document_json(tei.to_document(df, keep=["id"])).collect()[0]["json"])["parsed_at"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    got = dt.datetime.fromisoformat(raw.replace("Z", "+00:00"))
+    assert raw.endswith("Z") and not raw.endswith("0Z")
+    assert abs((dt.datetime.now(dt.timezone.utc) - got).total_seconds()) < 300
