@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = PaperStore(spark, args.store)
 
     if args.cmd == "submit":
-        up = upload_source.scan_classified(spark, args.uploads, args.max_bytes).drop("reject_reason")
+        up = upload_source.list_uploads(spark, args.uploads)
         replies = submit(store, up, args.batch, args.max_bytes)
         if not args.quiet:
             _print_json(replies)

@@ -32,14 +32,7 @@ def submit(
     Returns the replies (one per upload), written to the batch's work folder,
     or None with ``replies=False`` (a stream has no caller to answer).
     """
-    classified = intake.classify_uploads(uploads, max_bytes).select(
-        "path",
-        "modificationTime",
-        "length",
-        "reject_reason",
-        F.when(F.col("reject_reason").isNull(), intake.content_hash(F.col("content"))).alias("content_hash"),
-    )
-    keys = store.write_work(classified, batch, "keys")
+    keys = store.write_work(intake.classify_keys(uploads, max_bytes), batch, "keys")
     ok = keys.where(F.col("reject_reason").isNull())
 
     # Only this batch's hashes are looked up: the store is probed, not folded whole.
@@ -47,7 +40,10 @@ def submit(
     new = intake.new_papers(intake.dedup_batch(ok), before)
     new = store.write_work(new, batch, "new")
 
-    raw = uploads.join(new.select("path", "content_hash"), "path").select(
+    # Only files within the cap can be new papers: the size filter keeps the
+    # bytes of over-size files unread here too.
+    within = uploads.where(intake.size_ok(F.col("length"), max_bytes))
+    raw = within.join(new.select("path", "content_hash"), "path").select(
         "content_hash", intake.raw_key(F.col("content_hash")).alias("raw_key"), "content"
     )
     store.write_raw(raw, batch)

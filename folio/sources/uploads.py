@@ -24,6 +24,13 @@ def _reader(spark: SparkSession, glob: str | None, recursive: bool):
     return r
 
 
+def list_uploads(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """Every file as a ``binaryFile`` row; bytes are read only for the rows and
+    columns a later step keeps (``intake.classify_keys`` keeps them for files
+    within the cap only)."""
+    return _reader(spark, glob, recursive).load(path).select(*UPLOAD.fieldNames())
+
+
 def scan_uploads(
     spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES, glob: str | None = None, recursive: bool = True
 ) -> DataFrame:

@@ -157,3 +157,14 @@ def test_tei_table_source_string_and_bytes(spark):
     assert [tuple(r) for r in tei_source.scan_tei(spark, f"{d}/s").collect()] == [("p1", "h1", "<TEI/>")]
     got = {r.paper_id: r.tei for r in tei_source.scan_tei(spark, f"{d}/b").collect()}
     assert got == {"p1": "<TEI/>", "p2": None}
+
+
+def test_submit_never_reads_bytes_of_oversize_files(spark, files):
+    listing = spark.read.format("binaryFile").load(files)
+    keys = intake.classify_keys(listing, CAP)
+    scans = [ln for ln in keys._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln]
+    with_content = [ln for ln in scans if "content:binary" in ln]
+    assert with_content and all("LessThanOrEqual(length,64)" in ln for ln in with_content)
+    got = {os.path.basename(r.path): (r.reject_reason, r.content_hash is not None) for r in keys.collect()}
+    assert got["big.pdf"] == (intake.REJECT_TOO_LARGE, False)
+    assert got["a.pdf"] == (None, True) and got["nope.pdf"] == (intake.REJECT_NOT_PDF, False)
