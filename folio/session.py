@@ -7,6 +7,8 @@ for local runs only.
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,25 +32,42 @@ def local_session(cores: str | int = "*", app: str = "folio", shuffle_partitions
     return spark
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers of a ``local[...]`` session import this package from any working directory.
+
+    On a cluster the package comes with ``--py-files`` or is installed.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped and in_one_process(spark):
+        here = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="folio-py-"), "folio"), "zip", os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system path and is read
-    as is. Only when it is unset (local tests) a fresh temporary folder is
-    taken and recorded in the session, so later calls agree.
+    Where the setting is absent, the folder given to ``setCheckpointDir``
+    is taken. A session that runs in one process (``local[...]``, as in
+    tests) may have neither and gets a fresh temporary folder, kept for the
+    session; on a cluster that is an error, because executors do not share
+    the driver's disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-            root = None
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="folio-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(root)
-    except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-        pass
+        if not in_one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="folio-ckpt-"))
+        root = sc.getCheckpointDir()
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root
