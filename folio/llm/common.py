@@ -136,3 +136,11 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """64-bit hash of the bytes of each span; equal bytes give equal hashes anywhere."""
     _, down = _power(len(sums))
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_sums(symbols: np.ndarray) -> np.ndarray:
+    """``prefix_hash`` for a sequence of 64-bit symbols."""
+    up, _ = _power(len(symbols))
+    out = np.zeros(len(symbols) + 1, dtype=np.uint64)
+    np.cumsum(mix64(symbols) * up[: len(symbols)], out=out[1:])
+    return out

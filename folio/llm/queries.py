@@ -5,11 +5,12 @@ Each query is a thin digest of what its operator returns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, jaccard_join, langid, mixing, packing
+from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, mixing, packing, secrets, toxicity, warc
 from folio.llm.common import documents, fold, materialise
+from folio.session import ship_package
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +18,48 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    seen = fold("doc_id", 3) != 1
+    model = toxicity.fit(docs.where(seen), labels.where(seen))
+    rows = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text")
+    scored = toxicity.score(rows, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_parsing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.compare_next(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     digests = materialise(exact_dedup.with_digest(docs).select("doc_id", "text_sha256"), "digests")
     return exact_dedup.mark(digests, exact_dedup.heavy_hitters(digests)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def span_text(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in secrets.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model, known, counts = lm.fit(docs.where(fold("doc_id", 5) != 1))
+    rows = docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "text")
+    return lm.score(rows, model, known, counts).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(fold("doc_id", 5) != 0))
@@ -40,7 +77,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_exact_dedup, op7_language_id, op8_mixing, op9_jaccard_join)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    archive = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_parsing_fingerprints, op4_exact_dedup, op5_secrets, op6_language_model, op7_language_id, op8_mixing, op9_jaccard_join, op10_warc)}
 
 ORACLES = {
     "op4_exact_dedup": """
@@ -49,6 +92,14 @@ ORACLES = {
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+                     CASE WHEN strlen(body) >= 100 THEN min(page_id) OVER (PARTITION BY body) END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d
+    """,
     "op8_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
