@@ -5,8 +5,8 @@ harmless text are not used but for the class prior. A linear classifier over
 the presence of word features is fitted in ``numpy`` by the non-negative risk
 estimator: with prior p, positive risk R+ and the risks R- of calling
 positives and unlabelled texts negative, it minimises
-``p R+(P) + max(0, R-(U) - p R-(P))``; where the second term would turn
-negative, the step goes the other way, so that the fit cannot gain from it.
+``p R+(P) + max(0, R-(U) - p R-(P))``; while the second term would be
+negative it has no gradient, so that the fit cannot gain from it.
 
 Features are the words (ASCII lower case, letters and non-ASCII bytes) and
 their first four to six bytes, as 64-bit hashes of whole texts. Feature
@@ -77,7 +77,7 @@ def class_prior(labels: DataFrame) -> float:
     return float(labels.where("toxic is not null").agg(F.avg("toxic")).first()[0] or 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 20_000, unlabelled: int = 40_000, n_features: int = 4096, least: int = 3, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 20_000, unlabelled: int = 40_000, n_features: int = 1024, least: int = 3, least_lift: float = 0.5, seed: int = 7) -> Model:
     """From ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), training rows only."""
     prior = class_prior(labels) if prior is None else prior
     # The sample has a fixed bound, see its parameters; texts are not shuffled.
@@ -103,16 +103,18 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     if not n_p or not n_u:
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-40.0 if prior <= 0 else 40.0))
     lift = F.log(((F.col("p") + 0.5) / n_p) / ((F.col("u") + 0.5) / n_u))
-    best = sums.select("key", (F.col("p") * lift).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "key").limit(n_features)
+    best = sums.select("key", (F.col("p") * lift).alias("gain"), "p", "u").where(lift > least_lift).orderBy(F.desc("gain"), "key").limit(n_features)
     keys = np.sort(np.asarray([r[0] for r in best.select("key").collect()], dtype=np.int64).view(np.uint64))
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            found = [x.tolist() for x in present(chunk, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), chunk.column("positive")], ["at", "positive"])
+            found = [x.tobytes() for x in present(chunk, keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), chunk.column("positive")], ["at", "positive"])
 
-    data = rows.mapInArrow(active, "at array<int>, positive boolean").toPandas()
-    weights, bias = train(data["at"].tolist(), data["positive"].to_numpy(dtype=bool), len(keys), prior, seed)
+    data = rows.mapInArrow(active, "at binary, positive boolean").toArrow()
+    at = data.column("at").to_pylist()
+    flat = np.frombuffer(b"".join(at), dtype=np.int32)
+    weights, bias = train(flat, np.asarray([len(x) // 4 for x in at]), data.column("positive").to_numpy(), len(keys), prior, seed)
     return Model(keys, weights, bias)
 
 
@@ -129,37 +131,52 @@ def present(chunk: pa.RecordBatch, keys: np.ndarray, column: str = "text") -> li
     return [(x % len(keys)).astype(np.int32) for x in np.split(pairs, cut)]
 
 
-def train(rows: list, positive: np.ndarray, n: int, prior: float, seed: int = 7, epochs: int = 30, batch: int = 2048, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+class Rows:
+    """Sparse 0/1 rows: the columns of all of them end to end, and how many each has."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def take(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ids, column) of the entries of some rows."""
+        n = self.lengths[ids]
+        place = np.repeat(np.arange(len(ids)), n)
+        inside = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+        return place, self.flat[np.repeat(self.starts[ids], n) + inside]
+
+
+def train(flat: np.ndarray, lengths: np.ndarray, positive: np.ndarray, n: int, prior: float, seed: int = 7, epochs: int = 60, batch: int = 2048, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model by the non-negative risk estimator, with Adam."""
     rng = np.random.default_rng(seed)
+    rows = Rows(flat, lengths)
     prior = min(max(prior, 1e-3), 0.999)
-    w, b = np.zeros(n + 1), np.log(prior / (1 - prior))
-    w[n] = b  # the bias is the weight of a feature that all have
+    w = np.zeros(n + 1)
+    w[n] = np.log(prior / (1 - prior))  # the bias is the weight of a feature that all have
     m, v, step = np.zeros(n + 1), np.zeros(n + 1), 0
     p_all, u_all = np.flatnonzero(positive), np.flatnonzero(~positive)
     batches = max(1, len(u_all) // batch)
+    average = np.zeros(n + 1)
 
-    def dense(ids: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(ids), n + 1), dtype=np.float32)
-        for k, i in enumerate(ids):
-            x[k, rows[i]] = 1
-        x[:, n] = 1
-        return x
+    def logits(place: np.ndarray, column: np.ndarray, size: int) -> np.ndarray:
+        return w[n] + np.bincount(place, weights=w[column], minlength=size)
+
+    def gradient(place: np.ndarray, column: np.ndarray, each: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(column, weights=each[place], minlength=n), each.sum()) / len(each)
 
-    average = np.zeros(n + 1)
     for epoch in range(epochs):
         p_parts = np.array_split(rng.permutation(p_all), batches)
         for p_ids, u_ids in zip(p_parts, np.array_split(rng.permutation(u_all), batches), strict=True):
             if not len(p_ids):
                 p_ids = rng.choice(p_all, 1)
-            xp, xu = dense(p_ids), dense(u_ids)
-            gp, gu = xp @ w, xu @ w
+            xp, xu = rows.take(p_ids), rows.take(u_ids)
+            gp, gu = logits(*xp, len(p_ids)), logits(*xu, len(u_ids))
             sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
             # logistic loss: l(g, +1) = log(1 + e^-g), l(g, -1) = log(1 + e^g)
             negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            d_positive = prior * ((sp - 1) @ xp) / len(xp)
-            d_negative = (su @ xu) / len(xu) - prior * (sp @ xp) / len(xp)
-            grad = d_positive + d_negative if negative >= 0 else -d_negative
+            d_positive = prior * gradient(*xp, sp - 1)
+            d_negative = gradient(*xu, su) - prior * gradient(*xp, sp)
+            grad = d_positive + d_negative if negative >= 0 else d_positive
             grad = grad + decay * np.append(w[:n], 0)
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
