@@ -32,7 +32,8 @@ from folio.llm.common import materialise, without
 #: Keys fall into 2^FINEST slices at most per source; ``mix`` merges them to slices of about ``rows_per_bin`` rows.
 FINEST = 16
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: Possessive, as a word has one end only: no states are kept for going back.
+WORD = r"[^\x20\x09-\x0D]++"
 #: Characters that count against a document's quality weight.
 JUNK = "0123456789!|*#$%&@<>{}[]=_~^"
 #: Mixing weights, dealt to the sources in order and repeated.
