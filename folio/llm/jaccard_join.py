@@ -365,7 +365,7 @@ def exact_links(members: DataFrame, docs: DataFrame, threshold: float, words: in
     return tasks.repartition("task").sortWithinPartitions("task", "side", "set_id").mapInArrow(_compare(threshold), "a binary, b binary, n_set_links long, n_doc_links long")
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.995, hashes: int = 64, small: int = 64, depth: int = 6, slack: float = 0.18, block: int = 1 << 20) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.995, hashes: int = 64, small: int = 128, depth: int = 4, slack: float = 0.18, block: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, and the columns of ``OUTPUT``."""
     sig = materialise(signatures(docs, doc_id, text, words, hashes), "signatures")
     classes = sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("set_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
