@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,7 +265,10 @@ def fit(train: DataFrame, text: str = "text", classes: int = 1024, frequent: int
     spark = train.sparkSession
     counts = materialise(count_tokens(train, text), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).toPandas()  # `frequent` rows at most
+    # The lowest count that at most `frequent` words reach, from a row for each different count.
+    reach = F.sum("k").over(Window.orderBy(F.desc("c")))
+    least = counts.groupBy("c").agg(F.count(F.lit(1)).alias("k")).withColumn("reach", reach).where(F.col("reach") <= frequent).agg(F.min("c")).first()[0]
+    top = counts.where(F.col("c") >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
     words, c = top["word"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
     own, own_c = words[:classes], c[:classes]
     if len(words) and END not in own:  # the end token always is a class
