@@ -137,7 +137,9 @@ def bin_columns() -> list[Column]:
 def apply_mix(docs: DataFrame, text: str = "text", quality: Column | None = None, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each repeat; where only some words of a document
     are taken, its text ends with the last of them. ``n_chars``, if there, is that of the row."""
-    mixed = mix(with_keys(docs, text=text, quality=quality), **options).where("taken > 0")
+    # The rows are used three times below: words and marks are counted once, before.
+    sized = materialise(with_keys(docs, text=text, quality=quality), "mix-rows")
+    mixed = mix(sized, **options).where("taken > 0")
     repeats = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))))
     rows = mixed.withColumn("__repeat", repeats).withColumn("__words", F.col("taken") - F.col("__repeat") * F.col("size"))
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
