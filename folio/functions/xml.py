@@ -29,6 +29,7 @@ _PRELUDE = r"(?:[^<]++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*+>)*+"
 PROLOG_RE = r"^(?s)" + _PRELUDE
 ROOT_RE = r"^(?s)" + _PRELUDE + r"<(?:[\w.-]+:)?([\w.-]+)"
 GAP_RE = r">(\s+)<"
+DECLARATION_RE = r"^(?s)[^<]*+<\?xml\s(.*?)\?>"
 
 
 def norm_tei(c: Column) -> Column:
@@ -42,6 +43,12 @@ def root_name(c: Column) -> Column:
     return F.regexp_extract(c, ROOT_RE, 1)
 
 
+def xml_declaration(c: Column) -> tuple[Column, Column]:
+    """``version`` and ``encoding`` of the XML declaration, '' where not given."""
+    body = F.regexp_extract(c, DECLARATION_RE, 1)
+    return tuple(F.regexp_extract(body, rf"\b{name}\s*=\s*[\"']([^\"']*)", 1) for name in ("version", "encoding"))
+
+
 def direct_text(el: Column) -> Column:
     """Own character data of one parsed element (``STRUCT<_VALUE: ARRAY<STRING>>``)."""
     return F.coalesce(F.translate(F.array_join(el["_VALUE"], ""), SENTINEL, ""), F.lit(""))

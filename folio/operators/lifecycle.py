@@ -159,13 +159,13 @@ def mark_failed(errors: DataFrame, at: Column | None = None, seq: Column | int =
     return log_rows(errors, F.lit("failed"), at, seq, error=F.col("error"))
 
 
-def applicable(updates: DataFrame, papers: DataFrame, salts: int = 16, min_rows: int = 100_000) -> DataFrame:
+def applicable(updates: DataFrame, papers: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
     """Updates that hit a row: the paper exists and was created at or before ``at``.
 
     This is ``UPDATE ... WHERE id = $1`` evaluated at the time of the update;
-    an update of no row is dropped, not an error. The join is salted for the
-    heaviest papers (``operators.skew``), so one paper with a large share of
-    all updates is spread over ``salts`` tasks.
+    an update of no row is dropped, not an error. The join is salted for
+    papers with many updates (``operators.skew``): one salt for each
+    ``rows_per_salt`` of them.
     """
     created = papers.select(F.col("id").alias("paper_id"), F.col("created_at").alias("_created"))
     return skew.salted_semi_join(
@@ -174,8 +174,7 @@ def applicable(updates: DataFrame, papers: DataFrame, salts: int = 16, min_rows:
         "paper_id",
         condition=F.col("at") >= F.col("_created"),
         salt_source=F.xxhash64(F.col("seq")),
-        salts=salts,
-        min_rows=min_rows,
+        rows_per_salt=rows_per_salt,
     )
 
 

@@ -1,14 +1,16 @@
 """Salting for joins whose key may be hot (one key with a large share of all rows).
 
-A sort-merge join puts every row of one key into one task. For a key that
-holds, say, a third of the rows, that task does a third of the work. Here
-the heaviest keys are found first (a partial-aggregate count, then a top-K,
-so the list has a fixed upper size and can be broadcast); their rows on the
-large side get a salt in ``[0, salts)``, and their rows on the other side
-are copied once per salt. Other keys keep salt 0 and are not copied. The
-join then runs on ``(key, salt)``, which spreads a hot key over ``salts``
-tasks, and the result is no longer partitioned by the key alone, so a
-later ``groupBy(key)`` aggregates partially before its shuffle.
+A sort-merge join puts every row of one key into one task. Here the rows of
+each key are counted first (a partial aggregate); a key with more rows than
+one task should take gets ``ceil(rows / rows_per_salt)`` salts, so a task's
+share of a key stays the same however hot the key is, and every hot key is
+split. Its rows on the other side are copied once per salt. Other keys keep
+salt 0 and are not copied. The join then runs on ``(key, salt)``, and the
+result is no longer partitioned by the key alone, so a later ``groupBy(key)``
+aggregates partially before its shuffle.
+
+The table of hot keys has at most ``rows / rows_per_salt`` rows. It carries
+no broadcast hint: the planner broadcasts it when its size allows.
 """
 
 from __future__ import annotations
@@ -17,16 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = "_salt"
+ROWS_PER_SALT = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, top: int = 1000, min_rows: int = 100_000) -> DataFrame:
-    """At most ``top`` keys with at least ``min_rows`` rows, heaviest first.
-
-    The count aggregates partially before its shuffle; the top-K keeps the
-    result to a known bound, so it can be broadcast.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.lit(min_rows))
-    return counts.orderBy(F.col("_n").desc()).limit(top).select(key, F.lit(True).alias("_hot"))
+def hot_keys(df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``(key, _salts)`` of every key with more than ``rows_per_salt`` rows."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    salts = F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int")
+    return counts.where((F.col("_n") > F.lit(rows_per_salt)) & F.col(key).isNotNull()).select(key, salts.alias("_salts"))
 
 
 def salted_semi_join(
@@ -35,9 +35,7 @@ def salted_semi_join(
     key: str,
     condition: Column | None = None,
     salt_source: Column | None = None,
-    salts: int = 16,
-    top: int = 1000,
-    min_rows: int = 100_000,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """``large LEFT SEMI JOIN small ON large.key = small.key [AND condition]``, salted.
 
@@ -46,21 +44,16 @@ def salted_semi_join(
     named). ``salt_source`` spreads a hot key's rows (default: a hash of all
     columns of ``large``).
     """
-    hot = F.broadcast(hot_keys(large, key, top, min_rows))
+    hot = hot_keys(large, key, rows_per_salt)
     src = salt_source if salt_source is not None else F.xxhash64(*[F.col(c) for c in large.columns])
-    is_hot = F.col("_hot").isNotNull()
-    left = (
-        large.join(hot, key, "left")
-        .withColumn(SALT, F.when(is_hot, F.pmod(src, F.lit(salts))).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    left = large.join(hot, key, "left").withColumn(SALT, F.pmod(src, salts.cast("long"))).drop("_salts")
     right_key = f"_r_{key}"
     right = (
         small.join(hot, key, "left")
-        .withColumn(SALT, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn("_r_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)))
+        .drop("_salts")
         .withColumnRenamed(key, right_key)
-        .withColumnRenamed(SALT, "_r_salt")
     )
     cond = (F.col(key) == F.col(right_key)) & (F.col(SALT) == F.col("_r_salt"))
     if condition is not None:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import blank_to_null, empty_array_to_null, join_nonblank, utrim
-from folio.functions.xml import direct_text, last_text, norm_tei, root_name, texts
+from folio.functions.xml import direct_text, last_text, norm_tei, root_name, texts, xml_declaration
 from folio.schemas import CORRUPT, SCHEMA_VERSION, TEI_PARTS, tei_schema
 
 # Fixed value (must equal the reference's): the engine name a Document carries.
@@ -92,17 +92,20 @@ def parse_tei(
     """
     src = F.col(tei_col)
     parsed = F.from_xml(norm_tei(src), tei_schema(parts), XML_OPTIONS)
-    staged = df.withColumns({"_root": root_name(src), "_d": parsed})
+    version, encoding = xml_declaration(src)
+    staged = df.withColumns({"_root": root_name(src), "_v": version, "_e": F.lower(encoding), "_d": parsed})
     root = F.col("_root")
     error = (
         F.when(src.isNull(), F.lit("no TEI input"))
+        .when(~F.col("_v").isin("", "1.0"), F.lit("unsupported XML version"))
+        .when(~F.col("_e").isin("", "utf-8"), F.lit("unsupported XML encoding"))
         .when(root == "", F.lit("EOF: no root element"))
         .when(root != "TEI", F.concat(F.lit("expected element type <TEI> but have <"), root, F.lit(">")))
         .when(F.col("_d")[CORRUPT].isNotNull(), F.lit("XML syntax error"))
     )
     return staged.withColumns({error_col: error}).withColumns(
         {out: F.when(F.col(error_col).isNull(), F.col("_d"))}
-    ).drop("_root", "_d")
+    ).drop("_root", "_v", "_e", "_d")
 
 
 # ------------------------------------------------------- O24-O27 metadata --
@@ -247,21 +250,24 @@ def to_document(
     keep: Sequence[str] | None = None,
     engine: str = ENGINE_NAME,
     parts=TEI_PARTS,
+    parsed_at: Column | None = None,
 ) -> DataFrame:
     """TEI strings -> one Document per row plus ``parse_error``.
 
     ``keep`` columns are carried through (ids, keys). Rows that fail to
     parse keep their keys, get ``parse_error`` and NULL Document fields.
     ``parts`` limits the parse to the TEI subtrees a caller reads (see
-    ``schemas.TEI_PARTS``); fields of other parts are NULL.
+    ``schemas.TEI_PARTS``); fields of other parts are NULL. ``parsed_at`` is a
+    column over ``df`` (default: the time of the query).
     """
     parts = frozenset(parts)
     keep = list(keep if keep is not None else [c for c in df.columns if c != tei_col])
     hash_col = F.col(source_hash) if isinstance(source_hash, str) else source_hash
     if hash_col is None:
         hash_col = F.lit(None).cast("string")
+    at = F.current_timestamp() if parsed_at is None else parsed_at
     parsed = parse_tei(
-        df.select(*keep, F.col(tei_col), hash_col.alias("_hash")), tei_col=tei_col, out="_doc", parts=parts
+        df.select(*keep, F.col(tei_col), hash_col.alias("_hash"), at.alias("_at")), tei_col=tei_col, out="_doc", parts=parts
     )
     d = F.col("_doc")
     pa = None
@@ -279,7 +285,7 @@ def to_document(
         F.when(ok, F.lit(SCHEMA_VERSION)).alias("schema"),
         F.when(ok, F.lit(engine)).alias("engine"),
         F.when(ok, F.col("_hash")).alias("source_hash"),
-        F.when(ok, F.current_timestamp()).alias("parsed_at"),
+        F.when(ok, F.col("_at")).alias("parsed_at"),
         F.when(ok, metadata(d, pa, parts)).alias("metadata"),
         F.when(ok, secs).alias("sections"),
         F.when(ok, refs).alias("references"),
@@ -302,9 +308,10 @@ def ok_of(df: DataFrame) -> Column:
 
 def rfc3339(ts: Column) -> Column:
     """UTC timestamp as RFC 3339 with trailing fractional zeros removed."""
-    utc = F.to_utc_timestamp(ts, F.current_timezone())
-    text = F.regexp_replace(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", "")
-    return F.concat(text, F.lit("Z"))
+    # A wall-clock time without a zone, so no gap or overlap of the session's zone can shift it.
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def _html_safe(js: Column) -> Column:

@@ -22,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import intake, lifecycle
+from folio.operators import intake, lifecycle, skew
 
-# Test cap for the size gate; the library default is 50 MiB.
-TEST_MAX_BYTES = 20_000
+# Cap of the query that shows the size gate; all other queries use the library's 50 MiB.
+GATE_MAX_BYTES = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,78 +69,73 @@ def _doi_value(n: Column) -> Column:
     return F.concat(F.lit("10."), (F.lit(1000) + n % 9000).cast("string"), F.lit("/doc."), n.cast("string"))
 
 
+def _el(name: str, *content: Column | str, attrs: str = "") -> Column:
+    """One element around strings and columns, on one line."""
+    parts = [c if isinstance(c, Column) else F.lit(c) for c in content]
+    return F.concat(F.lit(f"<{name}{attrs}>"), *parts, F.lit(f"</{name}>"))
+
+
 def tei_document(doc_id: Column, text: Column, lang: Column, source: Column) -> Column:
-    """T: one synthetic TEI string per document (see module docstring)."""
+    """T: one synthetic TEI string per document.
+
+    The text comes before the header, and what must not be read stands beside
+    what must: nested divs, ``monogr`` titles and ids, a title before the last,
+    analytic, abstract and ``listBibl`` blocks more than once.
+    """
     lines = F.split(text, "\n", -1)
     first = xml_escape(F.get(lines, 0))
-    second = F.get(lines, 1)
+    second = xml_escape(F.get(lines, 1))
 
     def div(line: Column, i: Column) -> Column:
-        head = F.when(i % 3 == 0, F.concat(F.lit("<head> L"), i.cast("string"), F.lit(" </head>"))).otherwise("")
-        blank = F.when(i % 5 == 4, F.lit("\n      <div><p>   </p></div>")).otherwise("")
-        return F.concat(
-            F.lit("\n      <div>"), head, F.lit("<p> "), xml_escape(line), F.lit(' <ref type="bibr">[1]</ref></p></div>'), blank
-        )
-
-    authors = F.concat(
-        F.lit('<author><persName><forename type="first">'),
-        xml_escape(source),
-        F.lit("</forename><surname>"),
-        xml_escape(lang),
-        F.lit("</surname></persName></author><author><persName><surname>"),
-        xml_escape(lang),
-        F.lit("</surname></persName></author>"),
+        inner = F.when(i % 7 == 3, F.lit("<div><head>inner</head><p>not read</p></div>")).otherwise("")
+        head = F.when(i % 3 == 0, _el("head", " L", i.cast("string"), " ")).otherwise("")
+        blank = F.when(i % 5 == 4, F.lit("<div><head>\n</head><p/></div>\n")).otherwise("")
+        return F.concat(blank, _el("div", inner, _el("p", " ", xml_escape(line), " <ref>[1]</ref>"), head), F.lit("\n"))
+
+    def doi(n: Column, kind: str) -> Column:
+        return _el("idno", _doi_value(n), attrs=f' type="{kind}"')
+
+    def ref(k: Column) -> Column:
+        n = (doc_id + k).cast("string")
+        person = _el("author", _el("persName", _el("surname", k.cast("string")), "<forename>R</forename>"))
+        article = _el("analytic", _el("title", "Ref ", n), person, doi(doc_id + k, "DOI"))
+        volume = _el("monogr", "<title>Journal</title>", doi(doc_id, "DOI"))
+        return _el("listBibl", _el("biblStruct", volume, article))
+
+    ks = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(doc_id % 4, F.lit(1)).cast("long")), lambda k: k <= doc_id % 4)
+    surname = _el("surname", xml_escape(lang))
+    full = _el("analytic", _el("author", _el("persName", surname, _el("forename", xml_escape(source)))), "<idno type=\"PII\">S1</idno>")
+    own_doi = F.when(doc_id % 7 == 0, F.lit("")).when(doc_id % 2 == 0, doi(doc_id, "doi")).otherwise(doi(doc_id, "DOI"))
+    more = _el("analytic", own_doi, _el("author", _el("persName", surname)))
+    summary = F.concat(
+        _el("abstract", _el("div", _el("p", first))),
+        F.when(second.isNotNull(), _el("abstract", _el("div", _el("p", second)))).otherwise(""),
     )
-    orcid = F.concat(F.lit('<idno type="ORCID">0000-0002-'), F.lpad((doc_id % 10000).cast("string"), 4, "0"), F.lit("-0000</idno>"))
-    doi = F.when(
-        doc_id % 7 != 0,
-        F.concat(
-            F.lit('<idno type="'),
-            F.when(doc_id % 2 == 0, F.lit("doi")).otherwise(F.lit("DOI")),
-            F.lit('">'),
-            _doi_value(doc_id),
-            F.lit("</idno>"),
+    source_desc = _el("sourceDesc", _el("biblStruct", "<monogr><title>Series</title></monogr>", full, more))
+    return F.concat(
+        F.when(doc_id % 2 == 0, F.lit("<?xml version=\"1.0\" encoding=\"utf-8\"?><!-- made from a text -->\n")).otherwise(""),
+        _el(
+            "TEI",
+            _el(
+                "text",
+                _el("body", F.array_join(F.transform(lines, div), "")),
+                _el("front", summary),
+                _el("back", _el("div", F.array_join(F.transform(ks, ref), ""))),
+            ),
+            _el("teiHeader", _el("fileDesc", source_desc, _el("titleStmt", "<title>draft</title>", _el("title", " ", first, " ")))),
+            attrs=' xmlns="http://www.tei-c.org/ns/1.0"',
         ),
-    ).otherwise("")
-    abstract = F.concat(
-        F.lit("<abstract><div><p>"),
-        first,
-        F.lit("</p>"),
-        F.when(second.isNotNull(), F.concat(F.lit("<p>"), xml_escape(second), F.lit("</p>"))).otherwise(""),
-        F.lit("</div></abstract>"),
     )
-    n_refs = doc_id % 4
 
-    def ref(k: Column) -> Column:
-        n = doc_id + k
-        return F.concat(
-            F.lit("\n        <biblStruct><analytic><author><persName><forename>R</forename><surname>"),
-            k.cast("string"),
-            F.lit('</surname></persName></author><idno type="DOI">'),
-            _doi_value(n),
-            F.lit('</idno><title level="a" type="main">Ref '),
-            n.cast("string"),
-            F.lit("</title></analytic></biblStruct>"),
-        )
-
-    ks = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(n_refs, F.lit(1)).cast("long")), lambda k: k <= n_refs)
-    return F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<TEI xmlns="http://www.tei-c.org/ns/1.0">\n  <teiHeader>\n    <fileDesc>\n'),
-        F.lit('      <titleStmt><title level="a" type="main"> '),
-        first,
-        F.lit(" </title></titleStmt>\n      <sourceDesc><biblStruct><analytic>"),
-        authors,
-        orcid,
-        doi,
-        F.lit('<title level="a" type="main">'),
-        first,
-        F.lit("</title></analytic></biblStruct></sourceDesc>\n    </fileDesc>\n  </teiHeader>\n  <text>\n    <front>"),
-        abstract,
-        F.lit("</front>\n    <body>"),
-        F.array_join(F.transform(lines, div), ""),
-        F.lit("\n    </body>\n    <back><div><listBibl>"),
-        F.array_join(F.transform(ks, ref), ""),
-        F.lit("\n    </listBibl></div></back>\n  </text>\n</TEI>\n"),
+
+def broken(doc_id: Column, tei: Column) -> Column:
+    """T with a fault per row, by turns: no end tag, an unknown entity, a foreign encoding, a foreign version."""
+    body = F.regexp_replace(tei, r"^<\?xml[^>]*>", "")
+    return (
+        F.when(doc_id % 4 == 0, F.regexp_replace(tei, "</TEI>$", ""))
+        .when(doc_id % 4 == 1, F.regexp_replace(tei, "</TEI>$", "&nosuch;</TEI>"))
+        .when(doc_id % 4 == 2, F.concat(F.lit("<?xml version='1.0' encoding='ISO-8859-1'?>"), body))
+        .otherwise(F.concat(F.lit("<?xml version='1.1'?>"), body))
     )
 
 
@@ -197,7 +192,7 @@ def event_updates(events: DataFrame) -> DataFrame:
     return lifecycle.log_rows(e, F.col("to_status"), F.col("ts"), F.col("event_id"), error=F.col("props"))
 
 
-def status_log(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def status_log(events: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> tuple[DataFrame, DataFrame]:
     """L: ``(papers, log)`` where the log holds only updates that hit a row."""
     papers = event_papers(events)
-    return papers, lifecycle.applicable(event_updates(events), papers)
+    return papers, lifecycle.applicable(event_updates(events), papers, rows_per_salt)

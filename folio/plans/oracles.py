@@ -54,7 +54,7 @@ _UPLOADS = f"""
     FROM documents),
   acc AS (
     SELECT doc_id, lang, path, sha256(p) AS content_hash
-    FROM up WHERE strlen(p) <= 20000 AND starts_with(p, '%PDF-')),
+    FROM up WHERE strlen(p) <= 52428800 AND starts_with(p, '%PDF-')),
   keyed AS (
     SELECT *, 'raw/' || content_hash || '.pdf' AS raw_key,
            left(sha256('paper:' || content_hash), 32) AS id
@@ -147,6 +147,11 @@ ORACLES: dict[str, str] = {
                CAST(NULL AS VARCHAR) AS parse_error
         FROM documents d LEFT JOIN md ON md.doc_id = d.doc_id LEFT JOIN nsec ON nsec.doc_id = d.doc_id""",
     "tei_reject": f"""
+        SELECT 'broken' AS kind, doc_id AS row_id, false AS ok,
+               CASE doc_id % 4 WHEN 2 THEN 'unsupported XML encoding' WHEN 3 THEN 'unsupported XML version'
+                    ELSE 'XML syntax error' END AS parse_error
+        FROM documents
+        UNION ALL
         SELECT 'tei' AS kind, doc_id AS row_id, true AS ok, CAST(NULL AS VARCHAR) AS parse_error FROM documents
         UNION ALL
         SELECT 'page' AS kind, page_id AS row_id, root = 'TEI' AS ok,
@@ -301,3 +306,11 @@ ORACLES["doc_json_content"] = _MARKDOWN + f""",
            || '}},"sections":[' || sections || '],"references":[' || refs || '],"markdown":"' || {_esc('markdown')} || '"}}'
            AS json
     FROM f"""
+
+_PARSED_AT = r"""regexp_replace(strftime(make_timestamp(1774747800000000 + doc_id * 7250100), '%Y-%m-%dT%H:%M:%S.%f'),
+                           '\.?0+$', '') || 'Z'"""
+_METADATA = """'","metadata":{"""
+assert ORACLES["doc_json_content"].count(_METADATA) == 1
+ORACLES["doc_json"] = ORACLES["doc_json_content"].replace(
+    _METADATA, f"""'","parsed_at":"' || {_PARSED_AT} || '","metadata":{{"""
+)

@@ -1,23 +1,19 @@
 """Parallelism for CPU-heavy narrow stages.
 
-Parsing XML costs far more CPU per byte than reading it. A source with
-fewer input splits than cores (a small file written as one row group, say)
-would leave the parse on a few tasks, so such input is spread round-robin
-first. A large source already has many splits and is left alone: no
-shuffle is added at scale.
+Parsing XML costs far more CPU per byte than reading it. A caller whose
+input has few row groups (a small file written at once) may ask for a
+round-robin exchange before the parse, by argument or by the session setting
+``folio.parse.partitions``. Without either the plan has no exchange, whatever
+the size of the input: set the read split size instead.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SETTING = "folio.parse.partitions"
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    try:
-        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (Spark Connect): leave the plan as it is
-        return df
-    if current < n:
-        return df.repartition(n)
-    return df
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    n = partitions or int(df.sparkSession.conf.get(SETTING, "0"))
+    return df.repartition(n) if n else df

@@ -38,7 +38,7 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.with_keys(intake.accepted(_uploads(spark, sf_dir), inputs.TEST_MAX_BYTES))
+    return intake.with_keys(intake.accepted(_uploads(spark, sf_dir)))
 
 
 def _existing_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +47,9 @@ def _existing_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.registered(earlier)
 
 
-def _folded(spark: SparkSession, sf_dir: str, with_attempts: bool = False) -> DataFrame:
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
-    return lifecycle.fold_status(papers, log, with_attempts=with_attempts)
+    return lifecycle.fold_status(papers, log)
 
 
 # ------------------------------------------------------------ TEI (O23+) --
@@ -118,7 +118,9 @@ def doc_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tei.document_json(_docs(spark, sf_dir)).select("doc_id", "json")
+    t = inputs.tei_inputs(spread(inputs.table(spark, sf_dir, "documents")))
+    at = F.timestamp_micros(F.lit(1_774_747_800_000_000) + F.col("doc_id") * F.lit(7_250_100))
+    return tei.document_json(tei.to_document(t, keep=["doc_id"], parsed_at=at)).select("doc_id", "json")
 
 
 def doc_json_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,14 +129,16 @@ def doc_json_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tei_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O23 gate over T (all good) and H (web pages, none rooted at TEI)."""
-    t = inputs.tei_inputs(spread(inputs.table(spark, sf_dir, "documents"))).select(
-        F.lit("tei").alias("kind"), F.col("doc_id").alias("row_id"), "tei"
+    """O23 gate over T (all good), T with one fault each, and H (web pages, none rooted at TEI)."""
+    docs = inputs.tei_inputs(spread(inputs.table(spark, sf_dir, "documents")))
+    t = docs.select(F.lit("tei").alias("kind"), F.col("doc_id").alias("row_id"), "tei")
+    broken = docs.select(
+        F.lit("broken").alias("kind"), F.col("doc_id").alias("row_id"), inputs.broken(F.col("doc_id"), F.col("tei")).alias("tei")
     )
     h = spread(inputs.table(spark, sf_dir, "pages")).select(
         F.lit("page").alias("kind"), F.col("page_id").alias("row_id"), F.col("html").alias("tei")
     )
-    parsed = tei.parse_tei(t.unionByName(h), out="d", parts=())
+    parsed = tei.parse_tei(t.unionByName(broken).unionByName(h), out="d", parts=())
     return parsed.select("kind", "row_id", F.col("parse_error").isNull().alias("ok"), "parse_error")
 
 
@@ -142,7 +146,7 @@ def tei_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = intake.classify_uploads(_uploads(spark, sf_dir), inputs.TEST_MAX_BYTES)
+    u = intake.classify_uploads(_uploads(spark, sf_dir), inputs.GATE_MAX_BYTES)
     return u.select("path", "length", "reject_reason")
 
 
@@ -220,7 +224,9 @@ def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _folded(spark, sf_dir, with_attempts=True)
+    # Few rows a salt, so the given tables reach the salted join.
+    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"), rows_per_salt=8)
+    f = lifecycle.fold_status(papers, log, with_attempts=True)
     return f.select("id", F.col("attempts").cast("long").alias("attempts"))
 
 
@@ -270,7 +276,7 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.select(*UPLOAD.fieldNames()).coalesce(1).write.parquet(f"{root}/src/chunk={i:04d}")
     stream = spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1).parquet(f"{root}/src")
     store = PaperStore(spark, f"{root}/store")
-    q = intake_stream.start_intake(stream, store, f"{root}/ckpt", max_bytes=inputs.TEST_MAX_BYTES, available_now=True)
+    q = intake_stream.start_intake(stream, store, f"{root}/ckpt", available_now=True)
     q.awaitTermination()
     return store.scan_papers().select("id", "content_hash", "source_type", "source_ref", "status", "raw_key")
 
@@ -305,9 +311,7 @@ def process_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _scratch(spark, "process_papers")
     store = PaperStore(spark, root)
     docs = spread(inputs.table(spark, sf_dir, "documents"))
-    submit(
-        store, inputs.uploads(docs).select(*UPLOAD.fieldNames()), batch=1, max_bytes=inputs.TEST_MAX_BYTES, replies=False
-    )
+    submit(store, inputs.uploads(docs).select(*UPLOAD.fieldNames()), batch=1, replies=False)
     # The parse service's output: one TEI per distinct upload, from its first document.
     h = intake.content_hash(F.encode(inputs.payload(F.col("doc_id"), F.col("text")), "UTF-8"))
     first = docs.select(h.alias("source_hash"), "doc_id").groupBy("source_hash").agg(F.min("doc_id").alias("doc_id"))

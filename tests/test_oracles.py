@@ -32,9 +32,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_oracle_or_is_listed_rows_only():
-    import __spark_entry__ as e
+def test_every_query_has_an_oracle():
+    from folio.plans import oracles, queries
 
-    rows_only = set(e.queries()) - set(e.oracle_sql())
-    assert rows_only <= {"doc_json"}, rows_only
-    assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(queries.QUERIES) == set(oracles.ORACLES)

@@ -109,9 +109,9 @@ def test_hot_paper_is_salted_and_results_match(spark):
     papers = spark.createDataFrame(
         [(p, f"h{p}", "upload", None, "queued", "r", None, None, None, T0 + dt.timedelta(seconds=10), T0) for p in ids], PAPERS
     )
-    hot = skew.hot_keys(log, "paper_id", top=10, min_rows=1000).collect()
-    assert [r.paper_id for r in hot] == ["hot"]
-    salted = lifecycle.applicable(log, papers, salts=8, min_rows=1000)
+    hot = skew.hot_keys(log, "paper_id", rows_per_salt=300).collect()
+    assert [tuple(r) for r in hot] == [("hot", 7)]
+    salted = lifecycle.applicable(log, papers, rows_per_salt=300)
     plain = log.join(
         papers.select(F.col("id").alias("pid"), "created_at"),
         (F.col("paper_id") == F.col("pid")) & (F.col("at") >= F.col("created_at")),

@@ -1,4 +1,4 @@
-"""TEI -> Document: the five golden checks and one test per parsing rule."""
+"""TEI -> Document: a whole report, and one test per parsing rule."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import tei
 
@@ -27,56 +28,62 @@ def _wrap_body(body: str) -> str:
     return f"<TEI><text><body>{body}</body></text></TEI>"
 
 
-@pytest.fixture(scope="module")
-def golden(spark):
-    return _one(spark, GOLDEN)
-
-
-# ------------------------------------------------------------- goldens ----
-
-
-def test_metadata(golden):
-    assert golden["parse_error"] is None
-    assert golden["schema"] == "1.0"
-    assert golden["engine"] == "grobid"
-    assert golden["source_hash"] == "hash123"
-    md = golden["metadata"]
-    assert md["title"] == "Tidal Effects on Small Moons"
-    assert md["doi"] == "10.5555/tides.42"
-    assert md["abstract"] == "We model tidal heating.\n\nResults follow."
-
-
-def test_authors(golden):
-    assert golden["metadata"]["authors"] == ["Mei-Ling Okafor", "Lindqvist"]
-
-
-def test_sections_skip_empty(golden):
-    secs = golden["sections"]
-    assert len(secs) == 2
-    assert secs[0] == {"level": 1, "heading": "Background", "markdown": "Moons flex.\n\nThey heat up."}
-    assert secs[1]["heading"] == "Model"
-
-
-def test_references(golden):
-    refs = golden["references"]
-    assert len(refs) == 1
-    r = refs[0]
-    assert r["title"] == "Orbital Resonance Revisited"
-    assert r["doi"] == "10.7777/orbit.0007"
-    assert r["authors"] == ["Ada Reyes"]
-    assert r["raw"] == "Ada Reyes. Orbital Resonance Revisited. DOI: 10.7777/orbit.0007"
-
-
-def test_render_markdown(golden):
-    assert golden["markdown"] == (
-        "## Background\n\nMoons flex.\n\nThey heat up.\n\n## Model\n\nWe solve the equations."
-    )
-
-
-def test_declared_fields_are_null(golden):
-    for f in ("figures", "tables", "chunks", "warnings"):
-        assert golden[f] is None
-    assert golden["metadata"]["year"] is None
+# -------------------------------------------------------- a whole report --
+
+# Every rule of the parse at once: data/golden.xml as one expected row.
+REPORT = {
+    "parse_error": None,
+    "schema": "1.0",
+    "engine": "grobid",
+    "source_hash": "d0",
+    "metadata": {
+        "title": "Peat & Ash",
+        "authors": ["Rui Sá", "Wren"],
+        "doi": "10.31/fens",
+        "abstract": "Cores from peat.\n\nDated by ash.\n\nKort sagt: torv.",
+        "year": None,
+    },
+    "sections": [
+        {"level": 1, "heading": "", "markdown": "Depth < 2 m & wet."},
+        {"level": 1, "heading": "Sites", "markdown": "Three fens were cored.\n\nNone was drained."},
+        {"level": 1, "heading": "Open questions", "markdown": ""},
+    ],
+    "references": [
+        {"raw": "", "title": "", "authors": [], "doi": ""},
+        {
+            "raw": "Inti Quispe, Haugen. Peat cores, revisited",
+            "title": "Peat cores, revisited",
+            "authors": ["Inti Quispe", "Haugen"],
+            "doi": "",
+        },
+        {"raw": "DOI: 10.31/peat", "title": "", "authors": [], "doi": "10.31/peat"},
+    ],
+    "markdown": "Depth < 2 m & wet.\n\n## Sites\n\nThree fens were cored.\n\nNone was drained.\n\n## Open questions",
+    "figures": None,
+    "tables": None,
+    "chunks": None,
+    "warnings": None,
+}
+
+
+def test_field_report(spark):
+    got = _docs(spark, [GOLDEN], source_hash="d0")[0]
+    assert got.pop("id") == 0 and got.pop("parsed_at") is not None
+    assert got == REPORT
+
+
+@pytest.mark.parametrize(
+    "declaration, error",
+    [
+        ("<?xml version='1.0' encoding='UTF-8'?>", None),
+        ('<?xml version="1.0"?>', None),
+        ("<?xml version='1.1'?>", "unsupported XML version"),
+        ("<?xml version='1.0' encoding='latin-1'?>", "unsupported XML encoding"),
+        ("<?other version='9' encoding='x'?>", None),
+    ],
+)
+def test_xml_declaration(spark, declaration, error):
+    assert _one(spark, declaration + "<TEI/>")["parse_error"] == error
 
 
 # ------------------------------------------------------- parsing rules ----
@@ -263,11 +270,11 @@ def test_explode_views(spark):
     df = spark.createDataFrame([(7, GOLDEN, "h"), (8, "<TEI/>", "h")], "id int, tei string, source_hash string")
     docs = tei.to_document(df, keep=["id"])
     secs = tei.explode_sections(docs, ["id"]).orderBy("id", "pos").collect()
-    assert [(r.id, r.pos, r.heading) for r in secs] == [(7, 0, "Background"), (7, 1, "Model")]
-    refs = tei.explode_references(docs, ["id"]).collect()
-    assert [(r.id, r.pos, r.title) for r in refs] == [(7, 0, "Orbital Resonance Revisited")]
+    assert [(r.id, r.pos, r.heading) for r in secs] == [(7, 0, ""), (7, 1, "Sites"), (7, 2, "Open questions")]
+    refs = tei.explode_references(docs, ["id"]).orderBy("pos").collect()
+    assert [(r.id, r.pos, r.doi) for r in refs] == [(7, 0, ""), (7, 1, ""), (7, 2, "10.31/peat")]
     auth = tei.explode_authors(docs, ["id"]).orderBy("pos").collect()
-    assert [r.author for r in auth] == ["Mei-Ling Okafor", "Lindqvist"]
+    assert [r.author for r in auth] == ["Rui Sá", "Wren"]
 
 
 def test_parse_once_no_python(spark):
@@ -336,3 +343,16 @@ def test_parsed_at_is_utc_whatever_the_session_zone(spark):
     if "." in raw:  # a fraction, when present, has no trailing zeros
         assert not raw[:-1].split(".")[1].endswith("0")
     assert abs((dt.datetime.now(dt.timezone.utc) - got).total_seconds()) < 300
+
+
+def test_parsed_at_in_a_clock_change(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        df = spark.range(2).selectExpr("id", "'<TEI/>' AS tei", "'h' AS source_hash")
+        # 02:30:00.5 and 02:30:01.5 UTC: the wall clock in Berlin has no such time on this day
+        at = F.timestamp_micros(F.lit(1_774_751_400_500_000) + F.col("id") * 1_000_000)
+        docs = tei.document_json(tei.to_document(df, keep=["id"], parsed_at=at)).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [json.loads(r.json)["parsed_at"] for r in docs] == ["2026-03-29T02:30:00.5Z", "2026-03-29T02:30:01.5Z"]
