@@ -7,9 +7,11 @@ service                command
 =====================  ==============================================
 POST /papers           ``submit --store S --uploads DIR --batch N``
 GET /papers/{id}       ``get --store S --id ID`` (or ``--hash H``)
-parse worker           ``process --store S --tei PATH --batch N``
+parse worker           ``process --store S --tei PATH --batch N``, or as a
+                       stream ``stream-parse --store S --tei PATH --checkpoint C``
 (operations)           ``compact --store S``
 upload stream          ``stream-intake --store S --uploads DIR --checkpoint C``
+live status            ``stream-status --store S --out DIR --checkpoint C``
 =====================  ==============================================
 
 Every command runs on the active Spark session (``spark-submit`` supplies
@@ -33,6 +35,8 @@ from folio.sources import tei as tei_source
 from folio.sources import uploads as upload_source
 from folio.sources.store import PaperStore
 from folio.streaming import intake as intake_stream
+from folio.streaming import parse as parse_stream
+from folio.streaming import status as status_stream
 
 
 def _print_json(df, limit: int | None = None) -> None:
@@ -43,10 +47,11 @@ def _print_json(df, limit: int | None = None) -> None:
         print(r.j)
 
 
-def _tei_by_hash(spark: SparkSession, path: str, fmt: str):
+def _tei(spark: SparkSession, path: str, fmt: str):
+    """TEI and the column that names its paper: files are named by paper id, tables carry the hash."""
     if fmt == "xml":
-        return tei_source.scan_tei_files(spark, path).select("source_hash", "tei")
-    return tei_source.scan_tei(spark, path, fmt).select("source_hash", "tei")
+        return tei_source.scan_tei_files(spark, path), "paper_id"
+    return tei_source.scan_tei(spark, path, fmt), "source_hash"
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -65,6 +70,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--tei", required=True, help="TEI table (source_hash, tei) or folder of .xml files")
     p.add_argument("--tei-format", default="parquet", choices=["parquet", "json", "orc", "xml"])
     p.add_argument("--batch", type=int, required=True)
+    p.add_argument("--retry-failed", action="store_true", help="parse failed papers again")
+
+    p = sub.add_parser("stream-parse", help="parse papers as their TEI arrives (Structured Streaming)")
+    p.add_argument("--store", required=True)
+    p.add_argument("--tei", required=True, help="Parquet table (paper_id, source_hash, tei)")
+    p.add_argument("--checkpoint", required=True)
+    p.add_argument("--max-files-per-trigger", type=int, default=100)
+    p.add_argument("--available-now", action="store_true", help="process what is there, then stop")
+
+    p = sub.add_parser("stream-status", help="keep the live status of every paper (Structured Streaming)")
+    p.add_argument("--store", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--checkpoint", required=True)
+    p.add_argument("--max-files-per-trigger", type=int, default=100)
+    p.add_argument("--available-now", action="store_true", help="process what is there, then stop")
 
     p = sub.add_parser("get", help="the public view of a paper, by id or content hash")
     p.add_argument("--store", required=True)
@@ -94,10 +114,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not args.quiet:
             _print_json(replies)
     elif args.cmd == "process":
-        out = process(store, _tei_by_hash(spark, args.tei, args.tei_format), args.batch)
-        _print_json(out)
+        tei, key = _tei(spark, args.tei, args.tei_format)
+        out = process(store, tei, args.batch, tei_key=key, retry_failed=args.retry_failed)
+        _print_json(out.groupBy("status").agg(F.count(F.lit(1)).alias("papers")))
+    elif args.cmd == "stream-parse":
+        stream = parse_stream.stream_tei(spark, args.tei, args.max_files_per_trigger)
+        parse_stream.start_parse(stream, store, args.checkpoint, args.available_now).awaitTermination()
+    elif args.cmd == "stream-status":
+        log = status_stream.stream_store_log(spark, store, args.max_files_per_trigger)
+        status_stream.start_status(log, args.out, args.checkpoint, args.available_now).awaitTermination()
     elif args.cmd == "get":
-        papers = store.scan_papers()
+        key, value = ("id", args.id) if args.id else ("content_hash", args.hash)
+        papers = store.scan_papers(only=spark.createDataFrame([(value,)], f"{key} string"), key=key)
         found = lifecycle.get_paper(papers, args.id) if args.id else lifecycle.get_paper_by_hash(papers, args.hash)
         view = lifecycle.paper_view(found).select("json").limit(1).collect()
         if not view:

@@ -186,7 +186,15 @@ def summarise_log(log: DataFrame) -> DataFrame:
 
     All aggregates are partial-aggregation friendly: a paper with millions
     of log rows is reduced map-side before the shuffle on ``paper_id``.
+
+    A log with ``batch`` and ``step`` columns may hold the rows of a replayed
+    batch twice (a stream sees the files of both writes): attempts are then
+    counted once per ``(batch, step, seq)``.
     """
+    running = F.col("to_status") == F.lit("running")
+    tries = F.count_if(running)
+    if {"batch", "step"} <= set(log.columns):
+        tries = F.size(F.collect_set(F.when(running, F.struct("batch", "step", "seq")))).cast("long")
     k = F.struct("at", "seq")
     done = F.col("to_status") == F.lit("done")
     closes = F.col("to_status").isin("done", "failed")
@@ -198,7 +206,7 @@ def summarise_log(log: DataFrame) -> DataFrame:
         F.max(F.when(closes, k)).alias("_close_k"),
         F.max_by(F.when(F.col("to_status") == F.lit("failed"), F.col("error")), F.when(closes, k)).alias("_err"),
         F.max("at").alias("_last_at"),
-        F.count_if(F.col("to_status") == F.lit("running")).alias("_attempts"),
+        tries.alias("_attempts"),
     )
 
 
@@ -243,6 +251,6 @@ def attempts(log: DataFrame) -> DataFrame:
     return log.groupBy("paper_id").agg(F.count_if(F.col("to_status") == F.lit("running")).alias("attempts"))
 
 
-def pending(papers: DataFrame) -> DataFrame:
-    """Papers waiting to be parsed."""
-    return papers.where(F.col("status") == F.lit("queued"))
+def pending(papers: DataFrame, retry_failed: bool = False) -> DataFrame:
+    """Papers waiting to be parsed; with ``retry_failed`` also those whose last attempt failed."""
+    return papers.where(F.col("status").isin("queued", *(["failed"] if retry_failed else [])))

@@ -244,17 +244,26 @@ ORACLES["stream_intake"] = f"""
            regexp_extract(path, '([^/]*)$', 1) AS source_ref, 'queued' AS status,
            'raw/' || content_hash || '.pdf' AS raw_key
     FROM firsts"""
+ORACLES["store_compact"] = f"""
+    WITH {_UPLOADS}, p AS (SELECT left(sha256('paper:' || content_hash), 32) AS id, content_hash FROM firsts)
+    SELECT id, content_hash, CASE WHEN content_hash < '8' THEN 'done' ELSE 'queued' END AS status,
+           CASE WHEN content_hash < '8' THEN 'result/' || id || '.json' END AS result_key
+    FROM p"""
 ORACLES["stream_fold"] = ORACLES["status_fold"]
 ORACLES["process_papers"] = _MARKDOWN + f""",
     {_UPLOADS},
     nsec AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id),
     first_doc AS (SELECT content_hash, min(doc_id) AS doc_id FROM acc GROUP BY content_hash)
-    SELECT left(sha256('paper:' || f.content_hash), 32) AS id, 'done' AS status,
-           'result/' || left(sha256('paper:' || f.content_hash), 32) || '.json' AS result_key,
-           CAST(NULL AS VARCHAR) AS error,
-           {_trim('string_split(d.text, chr(10))[1]')} AS title,
-           CAST(coalesce(nsec.n, 0) AS BIGINT) AS n_sections
-    FROM first_doc f JOIN documents d ON d.doc_id = f.doc_id
+    SELECT left(sha256('paper:' || f.content_hash), 32) AS id, f.status,
+           CASE WHEN f.status = 'done'
+                THEN 'result/' || left(sha256('paper:' || f.content_hash), 32) || '.json' END AS result_key,
+           CASE WHEN f.status = 'failed'
+                THEN CASE f.doc_id % 4 WHEN 2 THEN 'unsupported XML encoding' WHEN 3 THEN 'unsupported XML version'
+                     ELSE 'XML syntax error' END END AS error,
+           CASE WHEN f.status = 'done' THEN {_trim('string_split(d.text, chr(10))[1]')} END AS title,
+           CASE WHEN f.status = 'done' THEN CAST(coalesce(nsec.n, 0) AS BIGINT) END AS n_sections
+    FROM (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'queued' WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'done' END AS status
+          FROM first_doc) f JOIN documents d ON d.doc_id = f.doc_id
     LEFT JOIN nsec ON nsec.doc_id = f.doc_id"""
 
 

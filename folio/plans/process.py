@@ -3,7 +3,7 @@
 O22 pending -> O19a running -> O23-O32 TEI to Document -> O6 documents ->
 O19b done / O19c failed. The step the reference leaves as a TODO (fetch,
 parse, store the result) is the parse of the TEI the parse service
-produced for each paper, looked up by content hash.
+produced for each paper, looked up by content hash or paper id.
 
 The parse runs once: its output (Documents and errors) is written to the
 batch's work folder, and both the document sink and the done/failed log
@@ -19,45 +19,51 @@ from pyspark.sql import functions as F
 from folio.operators import engines, intake, lifecycle, tei
 from folio.sources.store import PaperStore
 
-NO_TEI = "no TEI output for this paper"
+KEYS = {"source_hash": "content_hash", "paper_id": "id"}
 
 
 def process(
     store: PaperStore,
-    tei_by_hash: DataFrame,
+    tei_input: DataFrame,
     batch: int,
     engine: engines.Engine = engines.TEI_ENGINE,
-    papers: DataFrame | None = None,
+    tei_key: str = "source_hash",
+    probe: bool = False,
+    retry_failed: bool = False,
 ) -> DataFrame:
-    """Parse every pending paper (or the pending ones among ``papers``).
+    """Parse the pending papers that have TEI; those without stay ``queued``.
 
-    ``tei_by_hash`` has ``source_hash, tei`` with one row per hash. Returns
-    ``(paper_id, status, result_key, error)`` per processed paper.
+    ``tei_input`` has ``tei`` and ``tei_key`` (``source_hash`` or
+    ``paper_id``). Several rows for one paper give one Document, from the
+    smallest text that is not null. ``probe`` folds only the papers named by
+    the TEI (a small batch against a large store); ``retry_failed`` takes up
+    failed papers again. Returns ``(paper_id, status, result_key, error)`` per
+    processed paper.
     """
-    only = papers.select("id") if papers is not None else None
-    current = store.scan_papers(exclude=batch, only=only, key="id")
-    todo = lifecycle.pending(current)
-    todo = store.write_work(todo.select(F.col("id").alias("paper_id"), "content_hash"), batch, "pending")
+    key = KEYS[tei_key]
+    tei_side = tei_input.select(F.col(tei_key).alias(key), "tei").where(F.col(key).isNotNull())
+    keys = tei_side.select(key)
+    if probe:
+        keys = store.write_work(keys.distinct(), batch, "tei_keys")
+    current = store.scan_papers(exclude=batch, only=keys if probe else None, key=key)
+    # Only keys are matched first: no text crosses a shuffle for a paper that is not parsed now.
+    todo = lifecycle.pending(current, retry_failed).join(keys, key, "left_semi")
+    todo = store.write_work(todo.select("id", "content_hash"), batch, "pending")
 
-    store.append_log(lifecycle.mark_running(todo, seq=0), batch, step=0)
+    store.append_log(lifecycle.mark_running(todo.select(F.col("id").alias("paper_id")), seq=0), batch, step=0)
 
     # Inner join: AQE may build either side, so the (usually larger) TEI side
     # is streamed and the parse keeps its parallelism; an outer join would
     # stream the pending list and parse on as many tasks as it has files.
-    tei_side = tei_by_hash.select(F.col("source_hash").alias("content_hash"), "tei")
-    jobs = todo.join(tei_side, "content_hash", "inner")
+    jobs = tei_side.join(todo, key, "inner").groupBy(F.col("id").alias("paper_id"), "content_hash").agg(F.min("tei").alias("tei"))
     docs = engine.apply(jobs, tei_col="tei", source_hash="content_hash", keep=["paper_id", "content_hash"])
     docs = tei.document_json(docs).withColumn("result_key", intake.result_key(F.col("paper_id")))
     parsed = store.write_work(docs, batch, "parsed")
-    # Papers without TEI: pending but absent from the parse output (two small
-    # written tables; the TEI input is not read again).
-    missing = todo.join(parsed.select("paper_id"), "paper_id", "left_anti")
 
     good = parsed.where(F.col("parse_error").isNull())
     store.write_documents(good.drop("parse_error"), batch)
     written = store.documents(batch).select("paper_id", "result_key")
     bad = parsed.where(F.col("parse_error").isNotNull()).select("paper_id", F.col("parse_error").alias("error"))
-    bad = bad.unionByName(missing.select("paper_id", F.lit(NO_TEI).alias("error")))
     final = lifecycle.mark_done(written, seq=1).unionByName(lifecycle.mark_failed(bad, seq=1))
     store.append_log(final, batch, step=1)
     return store.log(after=batch - 1, before=batch + 1).where(F.col("step") == 1).select(

@@ -4,10 +4,10 @@ Layout (every write goes to its own ``batch=N`` folder with overwrite, so a
 replayed batch rewrites the same files instead of adding a copy)::
 
     root/papers/batch=N/                 inserted rows (O5)
-    root/log/batch=N/step=S/             status-log rows (O19), S orders steps in a batch
+    root/log/step=S/batch=N/             status-log rows (O19), S orders steps in a batch
     root/raw/batch=N/                    content-addressed bytes, files sorted by hash (O4)
     root/result/batch=N/                 Documents with their result key (O6)
-    root/base/v=K/data, v=K/included     compacted fold and the batch folders it holds
+    root/base/v=K/data, v=K/included     compacted fold and the batches it holds
     root/_work/batch=N/<name>/           intermediate tables of batch N
 
 ``scan_papers`` (O3) is the fold (O20) of the newest base with the inserts
@@ -16,8 +16,6 @@ and log rows after it. No row is ever updated in place.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,12 +43,33 @@ INSERTS_SCHEMA = _with(PAPERS, ("batch", T.LongType()))
 LOG_SCHEMA = _with(STATUS_LOG, ("batch", T.LongType()), ("step", T.IntegerType()))
 
 
+Ranges = list[tuple[int, int]]  # closed ranges of batch numbers
+
+
+def _merge(ranges: Ranges) -> Ranges:
+    """Disjoint ranges with neighbours joined."""
+    out: Ranges = []
+    for lo, hi in sorted(ranges):
+        if out and lo == out[-1][1] + 1:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _holds(ranges: Ranges, n: int) -> bool:
+    return any(lo <= n <= hi for lo, hi in ranges)
+
+
 class PaperStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
     # -------------------------------------------------------- file system --
+    #
+    # An unreachable file system is an error, never an empty store: only
+    # "not found" reads as absent.
 
     def _fs_path(self, path: str):
         """Hadoop ``(Path, FileSystem)`` for ``path`` (any scheme the cluster supports)."""
@@ -58,98 +77,77 @@ class PaperStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _local(self, sub: str) -> str | None:
-        """A local path for ``sub`` when the store is on the local file system."""
-        root = self.root[len("file:") :] if self.root.startswith("file:") else self.root
-        return None if "://" in root else os.path.join(root, sub)
-
     def exists(self, sub: str) -> bool:
-        try:
-            p, fs = self._fs_path(f"{self.root}/{sub}")
-            return bool(fs.exists(p))
-        except Exception:  # no JVM handle (Spark Connect): local stores only
-            local = self._local(sub)
-            return local is not None and os.path.exists(local)
-
-    def _names(self, sub: str) -> list[tuple[str, bool]]:
-        try:
-            p, fs = self._fs_path(f"{self.root}/{sub}")
-            return [(st.getPath().getName(), bool(st.isDirectory())) for st in fs.listStatus(p)]
-        except Exception:
-            local = self._local(sub)
-            if local is None:
-                raise
-            return [(n, os.path.isdir(os.path.join(local, n))) for n in os.listdir(local)]
+        p, fs = self._fs_path(f"{self.root}/{sub}")
+        return bool(fs.exists(p))
 
     def _children(self, sub: str, prefix: str) -> list[int]:
         """Numeric values of ``prefix=N`` folders under ``sub`` (a directory listing, not a scan)."""
         if not self.exists(sub):
             return []
-        out = []
-        for name, is_dir in self._names(sub):
-            if is_dir and name.startswith(prefix + "="):
-                try:
-                    out.append(int(name.split("=", 1)[1]))
-                except ValueError:
-                    pass
-        return sorted(out)
-
-    def _read(self, sub: str, schema: T.StructType) -> DataFrame:
-        if not self.exists(sub):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{sub}")
-
-    def _read_batches(
-        self,
-        sub: str,
-        schema: T.StructType,
-        after: int | None = None,
-        before: int | None = None,
-        exclude: int | None = None,
-        skip: frozenset[int] = frozenset(),
-    ) -> DataFrame:
-        """Read only the ``batch=N`` folders in the window and not in ``skip``.
-
-        The batch numbers come from a one-level listing of ``sub``; only the
-        chosen folders are then listed and read (``basePath`` keeps ``batch``
-        as a column). After a compaction, reads no longer touch the folders
-        the base already holds, however many there are.
+        p, fs = self._fs_path(f"{self.root}/{sub}")
+        names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+        values = [n.split("=", 1)[1] for n in names if n.startswith(prefix + "=")]
+        return sorted(int(v) for v in values if v.isdigit())
+
+    def _batches(
+        self, sub: str, after: int | None = None, before: int | None = None, exclude: int | None = None, held: Ranges = ()
+    ) -> list[int]:
+        """The committed ``batch=N`` folders of ``sub`` in the window that no base holds.
+
+        A folder is committed once its write job left ``_SUCCESS`` in it; one
+        still being written is not read and not compacted. The numbers come
+        from a one-level listing, and only folders outside ``held`` are probed.
         """
-        batches = [
+        return [
             b
             for b in self._children(sub, "batch")
-            if (after is None or b > after) and (before is None or b < before) and b != exclude and b not in skip
+            if (after is None or b > after)
+            and (before is None or b < before)
+            and b != exclude
+            and not _holds(held, b)
+            and self.exists(f"{sub}/batch={b}/_SUCCESS")
         ]
-        return self._read_batch_list(sub, schema, batches)
 
-    def _read_batch_list(self, sub: str, schema: T.StructType, batches) -> DataFrame:
-        if not batches:
+    def _read(self, table: str, schema: T.StructType, folders: list[str]) -> DataFrame:
+        """Only these folders of ``table``; ``basePath`` keeps ``batch`` and ``step`` as columns."""
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        paths = [f"{self.root}/{sub}/batch={b}" for b in sorted(batches)]
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{sub}").parquet(*paths)
+        paths = [f"{self.root}/{f}" for f in folders]
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths)
 
     # --------------------------------------------------------------- reads --
 
-    def inserts(
-        self, after: int | None = None, before: int | None = None, exclude: int | None = None, skip=frozenset()
-    ) -> DataFrame:
-        return self._read_batches("papers", INSERTS_SCHEMA, after, before, exclude, skip)
+    def _folders(self, table: str, held: dict | None = None, **window) -> dict[tuple[str, int], list[int]]:
+        """``(table, step) -> committed batches`` not in ``held`` (tables without steps have step -1)."""
+        held = held or {}
+        if table == "log":
+            steps = {s: f"log/step={s}" for s in self._children("log", "step")}
+        else:
+            steps = {-1: table}
+        return {(table, s): self._batches(sub, held=held.get((table, s), []), **window) for s, sub in steps.items()}
 
-    def log(
-        self, after: int | None = None, before: int | None = None, exclude: int | None = None, skip=frozenset()
-    ) -> DataFrame:
-        return self._read_batches("log", LOG_SCHEMA, after, before, exclude, skip)
+    def _scan(self, table: str, schema: T.StructType, folders: dict[tuple[str, int], list[int]]) -> DataFrame:
+        sub = {k: table if k[1] < 0 else f"{table}/step={k[1]}" for k in folders}
+        return self._read(table, schema, [f"{sub[k]}/batch={b}" for k, batches in folders.items() for b in batches])
+
+    def inserts(self, held: dict | None = None, **window) -> DataFrame:
+        return self._scan("papers", INSERTS_SCHEMA, self._folders("papers", held, **window))
+
+    def log(self, held: dict | None = None, **window) -> DataFrame:
+        return self._scan("log", LOG_SCHEMA, self._folders("log", held, **window))
 
     # ---------------------------------------------------------- compaction --
     #
     # A base is ``base/v=K/data`` (the folded papers) plus ``base/v=K/included``
-    # (which ``papers`` and ``log`` batch folders it holds). Reads take the
-    # newest complete base and every batch folder it does not include, so
-    # writers that number their batches in different ranges (intake and parse
-    # streams) are never cut off by a compaction.
+    # (which batches of ``papers`` and of each log step it holds, as ranges).
+    # Reads take the newest complete base and every committed folder it does
+    # not hold, so a batch or a later step that commits during or after a
+    # compaction is read on top of the base, and writers that number their
+    # batches in different ranges are never cut off.
 
-    def _base(self, before: int | None = None, exclude: int | None = None):
-        """``(version, papers_batches, log_batches)`` of the newest usable base, or None.
+    def _base(self, before: int | None = None, exclude: int | None = None) -> tuple[int, dict[tuple[str, int], Ranges]]:
+        """``(version, held)`` of the newest usable base, ``(0, {})`` if none.
 
         A base is usable for a window if every batch it holds lies in it
         (all ``< before``; not ``exclude``).
@@ -157,16 +155,23 @@ class PaperStore:
         for v in reversed(self._children("base", "v")):
             if not self.exists(f"base/v={v}/included/_SUCCESS"):
                 continue  # an interrupted compaction
-            rows = self.spark.read.parquet(f"{self.root}/base/v={v}/included").collect()
-            papers = frozenset(r.batch for r in rows if r.tbl == "papers")
-            log = frozenset(r.batch for r in rows if r.tbl == "log")
-            held = papers | log
-            if before is not None and any(b >= before for b in held):
+            held: dict[tuple[str, int], Ranges] = {}
+            for r in self.spark.read.parquet(f"{self.root}/base/v={v}/included").collect():
+                held.setdefault((r.tbl, r.step), []).append((r.lo, r.hi))
+            every = [r for ranges in held.values() for r in ranges]
+            if before is not None and any(hi >= before for _, hi in every):
                 continue
-            if exclude is not None and exclude in held:
+            if exclude is not None and _holds(every, exclude):
                 continue
-            return v, papers, log
-        return None
+            return v, held
+        return 0, {}
+
+    def _with_base(self, version: int, inserts: DataFrame) -> DataFrame:
+        inserts = inserts.select(*PAPERS.fieldNames())
+        if not version:
+            return inserts
+        data = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/v={version}/data")
+        return data.select(*PAPERS.fieldNames()).unionByName(inserts)
 
     def scan_papers(
         self,
@@ -185,13 +190,9 @@ class PaperStore:
         inserts and the log are then probed with a semi-join against the batch
         and only those papers are folded, instead of folding the whole store.
         """
-        base = self._base(before, exclude)
-        skip_p, skip_l = (base[1], base[2]) if base else (frozenset(), frozenset())
-        inserts = self.inserts(before=before, exclude=exclude, skip=skip_p).select(*PAPERS.fieldNames())
-        if base:
-            data = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/v={base[0]}/data")
-            inserts = data.select(*PAPERS.fieldNames()).unionByName(inserts)
-        log = self.log(before=before, exclude=exclude, skip=skip_l).select(*STATUS_LOG.fieldNames())
+        version, held = self._base(before, exclude)
+        inserts = self._with_base(version, self.inserts(held, before=before, exclude=exclude))
+        log = self.log(held, before=before, exclude=exclude).select(*STATUS_LOG.fieldNames())
         if only is not None:
             inserts = inserts.join(only.select(key).distinct(), key, "left_semi")
             # The ids come from the small batch itself (a stored paper's id is
@@ -205,30 +206,27 @@ class PaperStore:
         return lifecycle.fold_status(inserts, log)
 
     def compact(self) -> int:
-        """Fold every batch folder written so far into a new base; returns its version.
+        """Fold every folder committed so far into a new base; returns its version.
 
-        Exactly the listed folders are folded and recorded, so a batch that
-        lands while compacting is simply read on top of the new base later.
+        Exactly the listed folders are folded and recorded (run one compaction
+        at a time).
         """
-        prev = self._base()
-        prev_p, prev_l = (prev[1], prev[2]) if prev else (frozenset(), frozenset())
-        new_p = [b for b in self._children("papers", "batch") if b not in prev_p]
-        new_l = [b for b in self._children("log", "batch") if b not in prev_l]
-        inserts = self._read_batch_list("papers", INSERTS_SCHEMA, new_p).select(*PAPERS.fieldNames())
-        if prev:
-            data = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/v={prev[0]}/data")
-            inserts = data.select(*PAPERS.fieldNames()).unionByName(inserts)
-        log = self._read_batch_list("log", LOG_SCHEMA, new_l).select(*STATUS_LOG.fieldNames())
-        version = (prev[0] if prev else 0) + 1
-        lifecycle.fold_status(inserts, log).write.mode("overwrite").parquet(f"{self.root}/base/v={version}/data")
-        held = [("papers", b) for b in sorted(prev_p | set(new_p))] + [("log", b) for b in sorted(prev_l | set(new_l))]
-        self.spark.createDataFrame(held, "tbl string, batch long").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/base/v={version}/included"
-        )
-        return version
+        version, held = self._base()
+        new_papers, new_log = self._folders("papers", held), self._folders("log", held)
+        inserts = self._with_base(version, self._scan("papers", INSERTS_SCHEMA, new_papers))
+        log = self._scan("log", LOG_SCHEMA, new_log).select(*STATUS_LOG.fieldNames())
+        target = f"{self.root}/base/v={version + 1}"
+        lifecycle.fold_status(inserts, log).write.mode("overwrite").parquet(f"{target}/data")
+        rows = []
+        for key in held.keys() | new_papers.keys() | new_log.keys():
+            new = new_papers.get(key, []) + new_log.get(key, [])
+            rows += [(*key, lo, hi) for lo, hi in _merge(held.get(key, []) + [(b, b) for b in new])]
+        included = self.spark.createDataFrame(rows, "tbl string, step int, lo long, hi long")
+        included.coalesce(1).write.mode("overwrite").parquet(f"{target}/included")
+        return version + 1
 
     def raw(self) -> DataFrame:
-        return self._read("raw", _with(RAW, ("batch", T.LongType())))
+        return self._scan("raw", _with(RAW, ("batch", T.LongType())), self._folders("raw"))
 
     def raw_content(self, content_hash: str) -> DataFrame:
         """One object by key: the hash filter is pushed to Parquet, and files
@@ -243,9 +241,10 @@ class PaperStore:
     def documents(self, batch: int | None = None) -> DataFrame:
         if batch is not None:
             return self.spark.read.parquet(f"{self.root}/result/batch={batch}")
-        if not self.exists("result"):
+        folders = [f"{self.root}/result/batch={b}" for b in self._batches("result")]
+        if not folders:
             raise FileNotFoundError(f"{self.root}/result")
-        return self.spark.read.parquet(f"{self.root}/result")
+        return self.spark.read.option("basePath", f"{self.root}/result").parquet(*folders)
 
     def work(self, batch: int, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/_work/batch={batch}/{name}")
@@ -258,7 +257,7 @@ class PaperStore:
 
     def append_log(self, rows: DataFrame, batch: int, step: int) -> None:
         rows.select(*STATUS_LOG.fieldNames()).write.mode("overwrite").parquet(
-            f"{self.root}/log/batch={batch}/step={step}"
+            f"{self.root}/log/step={step}/batch={batch}"
         )
 
     def write_raw(self, rows: DataFrame, batch: int) -> None:

@@ -1,52 +1,54 @@
-"""Newly registered papers -> running -> Document -> done / failed."""
+"""Arriving TEI -> its papers running -> Document -> done / failed.
+
+The stream is driven by the TEI as it lands, so TEI that comes late is parsed
+when it comes, and each micro-batch reads its own TEI only. The parse service
+makes TEI from a registered paper's bytes, so the paper is there first; TEI
+without a registered paper changes nothing (``plans.process`` over the TEI
+table takes it up after the registration). New TEI for a failed paper is
+another attempt; a paper that is done stays as it is.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.operators import engines
 from folio.plans.process import process
-from folio.schemas import PAPERS
 from folio.sources.store import PaperStore
 
 # Parse batches are numbered apart from intake batches in the same store.
 PARSE_BATCH_OFFSET = 1 << 40
+TEI_TABLE = "paper_id string, source_hash string, tei string"
 
 
-def stream_new_papers(spark: SparkSession, store: PaperStore, max_files_per_trigger: int = 100) -> DataFrame:
-    """Inserted ``papers`` rows as a stream (the store's insert folders are append-only)."""
-    schema = T.StructType(PAPERS.fields + [T.StructField("batch", T.LongType())])
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(f"{store.root}/papers")
-    )
+def stream_tei(spark: SparkSession, path: str, max_files_per_trigger: int = 100) -> DataFrame:
+    """A growing Parquet table of TEI (``paper_id, source_hash, tei``) as a stream."""
+    return spark.readStream.schema(TEI_TABLE).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
 def parse_batch(
     store: PaperStore,
-    tei_by_hash: DataFrame,
     engine: engines.Engine = engines.TEI_ENGINE,
     batch_offset: int = PARSE_BATCH_OFFSET,
+    tei_key: str = "source_hash",
 ) -> Callable[[DataFrame, int], None]:
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        process(store, tei_by_hash, batch_offset + batch_id, engine=engine, papers=batch_df)
+        process(store, batch_df, batch_offset + batch_id, engine, tei_key, probe=True, retry_failed=True)
 
     return run
 
 
 def start_parse(
-    new_papers: DataFrame,
+    tei_stream: DataFrame,
     store: PaperStore,
-    tei_by_hash: DataFrame,
     checkpoint: str,
     available_now: bool = False,
+    tei_key: str = "source_hash",
 ) -> StreamingQuery:
-    w = new_papers.writeStream.foreachBatch(parse_batch(store, tei_by_hash)).option("checkpointLocation", checkpoint)
+    w = tei_stream.writeStream.foreachBatch(parse_batch(store, tei_key=tei_key)).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()

@@ -22,14 +22,13 @@ from folio.sources.store import PaperStore
 
 
 def stream_store_log(spark: SparkSession, store: PaperStore, max_files_per_trigger: int = 100) -> DataFrame:
-    """The store's status log as a stream (new ``batch=N/step=S`` files as they land)."""
+    """The store's status log as a stream (new ``step=S/batch=N`` files as they land, with both columns)."""
     schema = T.StructType(STATUS_LOG.fields + [T.StructField("batch", T.LongType()), T.StructField("step", T.IntegerType())])
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .option("basePath", f"{store.root}/log")
         .parquet(f"{store.root}/log")
-        .select(*STATUS_LOG.fieldNames())
     )
 
 

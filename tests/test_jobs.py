@@ -9,8 +9,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import intake
-from folio.plans.process import NO_TEI, process
+from folio.operators import intake, lifecycle
+from folio.plans.process import process
 from folio.plans.submit import submit
 from folio.sources import tei as tei_source
 from folio.sources import uploads as upload_source
@@ -96,7 +96,7 @@ def test_process_done_failed_and_compaction(spark, files):
     papers = {p.content_hash: p for p in store.scan_papers().collect()}
     same, uniq = papers[_h(b"%PDF-same bytes")], papers[_h(b"%PDF-unique")]
     assert same.status == "done" and same.schema_version == "1.0" and same.result_key == f"result/{same.id}.json"
-    assert uniq.status == "failed" and uniq.error == NO_TEI and uniq.result_key is None
+    assert uniq.status == "queued" and uniq.error is None and uniq.result_key is None
     assert out[same.id].status == "done"
     docs = store.documents(2).collect()
     assert [d.metadata.title for d in docs] == ["Same"] and docs[0].result_key == same.result_key
@@ -128,7 +128,7 @@ def test_compaction_with_two_numbering_ranges(spark, files):
     submit(store, up.where(F.col("path").endswith("c.pdf")), batch=2, max_bytes=CAP)
     process(store, tei, batch=PARSE_BATCH_OFFSET + 2)
     got = {p.source_ref: p.status for p in store.scan_papers().collect()}
-    assert got == {"a.pdf": "done", "c.pdf": "failed"}
+    assert got == {"a.pdf": "done", "c.pdf": "queued"}
     assert store.compact() == 2
     assert {p.source_ref: p.status for p in store.scan_papers().collect()} == got
     # the new base holds every folder; nothing is read twice
@@ -168,3 +168,58 @@ def test_submit_never_reads_bytes_of_oversize_files(spark, files):
     got = {os.path.basename(r.path): (r.reject_reason, r.content_hash is not None) for r in keys.collect()}
     assert got["big.pdf"] == (intake.REJECT_TOO_LARGE, False)
     assert got["a.pdf"] == (None, True) and got["nope.pdf"] == (intake.REJECT_NOT_PDF, False)
+
+
+GOOD = "<TEI><teiHeader><fileDesc><titleStmt><title>T</title></titleStmt></fileDesc></teiHeader></TEI>"
+
+
+def _status(store):
+    return {p.source_ref: p.status for p in store.scan_papers().collect()}
+
+
+def test_late_failed_and_doubled_tei(spark, files):
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    submit(store, upload_source.scan_uploads(spark, files, CAP), batch=1, max_bytes=CAP)
+    schema = "source_hash string, tei string"
+    a, c = _h(b"%PDF-same bytes"), _h(b"%PDF-unique")
+    process(store, spark.createDataFrame([(a, "<TEI>"), (None, GOOD), ("unknown", GOOD)], schema), batch=2)
+    assert _status(store) == {"a.pdf": "failed", "c.pdf": "queued"}
+    both = spark.createDataFrame([(a, GOOD), (c, GOOD), (c, GOOD), (c, None)], schema)
+    process(store, both, batch=3)
+    assert _status(store) == {"a.pdf": "failed", "c.pdf": "done"}
+    process(store, both, batch=4, retry_failed=True, probe=True)
+    assert _status(store) == {"a.pdf": "done", "c.pdf": "done"}
+    assert store.documents().groupBy("paper_id").count().where("count > 1").count() == 0
+
+
+def test_tei_files_are_joined_by_paper_id(spark, files):
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    submit(store, upload_source.scan_uploads(spark, files, CAP), batch=1, max_bytes=CAP)
+    pid = next(p.id for p in store.scan_papers().collect() if p.source_ref == "c.pdf")
+    d = tempfile.mkdtemp(prefix="folio-tei-")
+    with open(os.path.join(d, f"{pid}.xml"), "w") as f:
+        f.write(GOOD)
+    process(store, tei_source.scan_tei_files(spark, d), batch=2, tei_key="paper_id")
+    assert _status(store) == {"a.pdf": "queued", "c.pdf": "done"}
+
+
+def test_compaction_between_steps_and_during_an_insert(spark, files):
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    up = upload_source.scan_uploads(spark, files, CAP)
+    submit(store, up.where(F.col("path").endswith("a.pdf")), batch=1, max_bytes=CAP)
+    ids = store.write_work(store.scan_papers().select(F.col("id").alias("paper_id")), 1, "ids")
+    store.append_log(lifecycle.mark_running(ids), batch=2, step=0)
+    os.makedirs(f"{store.root}/papers/batch=3/_temporary")  # an insert that has not committed
+    store.compact()
+    store.append_log(lifecycle.mark_done(ids), batch=2, step=1)
+    assert _status(store) == {"a.pdf": "done"}
+    submit(store, up.where(F.col("path").endswith("c.pdf")), batch=3, max_bytes=CAP)
+    assert _status(store) == {"a.pdf": "done", "c.pdf": "queued"}
+    store.compact()
+    assert _status(store) == {"a.pdf": "done", "c.pdf": "queued"}
+    assert store._base()[1][("papers", -1)] == [(1, 1), (3, 3)]
+
+
+def test_unreachable_store_is_an_error(spark):
+    with pytest.raises(Exception, match="(?i)nosuchscheme"):
+        PaperStore(spark, "nosuchscheme://x/y").scan_papers()
