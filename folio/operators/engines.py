@@ -16,8 +16,10 @@ from enum import IntEnum, IntFlag
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.operators import tei
+from folio.schemas import DOCUMENT, SCHEMA_VERSION
 
 
 class Feature(IntFlag):
@@ -97,15 +99,45 @@ def python_engine(
 ) -> Engine:
     """Wrap a pandas batch function as an engine (``mapInPandas``, Arrow batches).
 
-    For engines that have no column-expression form; ``fn`` maps a batch of
-    input rows to a batch of output rows with ``schema``.
+    For engines that have no column-expression form. ``fn`` maps a batch with
+    the columns ``keep``, ``tei`` and ``source_hash`` to one row for each of
+    its rows, in order, with ``schema``: any of the Document columns,
+    ``parse_error`` and columns of its own. The ``keep`` columns are carried
+    past ``fn``; Document columns it does not make are filled in (the fixed
+    ones) or NULL, so the result can be stored like any engine's.
     """
 
-    def run(df: DataFrame, **_: object) -> DataFrame:
+    def run(
+        df: DataFrame, tei_col: str = "tei", source_hash: str = "source_hash", keep: Sequence[str] | None = None
+    ) -> DataFrame:
+        keep = list(keep if keep is not None else [c for c in df.columns if c != tei_col])
+        given = {"tei": F.col(tei_col), "source_hash": F.col(source_hash)}
+        src = df.select(*keep, *[c.alias(n) for n, c in given.items() if n not in keep])
+        carried = keep if "source_hash" in keep else [*keep, "source_hash"]
+        made = [f for f in T.StructType.fromDDL(schema).fields if f.name not in carried]
+        document = {f.name: f.dataType for f in DOCUMENT.fields} | {"parse_error": T.StringType()}
+        for f in made:
+            want = document.get(f.name, f.dataType).simpleString()
+            if f.dataType.simpleString() != want:
+                raise TypeError(f"engine {name}: column {f.name} must be {want}")
+        names = [f.name for f in made]
+
         def batches(it: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             for pdf in it:
-                yield fn(pdf)
-
-        return df.mapInPandas(batches, schema)
+                got = fn(pdf)
+                if len(got) != len(pdf):
+                    raise ValueError(f"engine {name}: {len(got)} rows for {len(pdf)}")
+                yield pd.concat([pdf[carried].reset_index(drop=True), got[names].reset_index(drop=True)], axis=1)
+
+        out = src.mapInPandas(batches, T.StructType([src.schema[c] for c in carried] + made))
+        if "parse_error" not in names:
+            out = out.withColumn("parse_error", F.lit(None).cast("string"))
+        fixed = {"schema": F.lit(SCHEMA_VERSION), "engine": F.lit(name), "parsed_at": F.current_timestamp()}
+        columns = {
+            n: F.col(n) if n in out.columns else F.when(F.col("parse_error").isNull(), fixed.get(n, F.lit(None))).cast(t)
+            for n, t in document.items()
+        }
+        own = [n for n in [*keep, *names] if n not in columns]
+        return out.select(*own, *[c.alias(n) for n, c in columns.items()])
 
     return Engine(name=name, supported=supported, profile=profile, transform=run)

@@ -34,3 +34,32 @@ def test_apply_engine_and_python_engine(spark):
 
     eng = engines.python_engine("upper", Feature.BODY, upper, "id int, markdown string")
     assert engines.apply_engine(df, eng).collect()[0].markdown == "<TEI/>"
+
+
+def test_python_engine_in_process(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from folio.operators import intake
+    from folio.plans.process import process
+    from folio.sources.store import PaperStore
+
+    def shout(pdf: pd.DataFrame) -> pd.DataFrame:
+        bad = pdf["tei"].isna()
+        return pd.DataFrame({"markdown": pdf["tei"].str.upper(), "parse_error": bad.map({True: "nothing to read", False: None})})
+
+    eng = engines.python_engine("shout", Feature.BODY, shout, "markdown string, parse_error string")
+    store = PaperStore(spark, f"file://{tmp_path}/store")
+    firsts = spark.createDataFrame([("h1", "a.pdf"), ("h2", "b.pdf")], "content_hash string, path string")
+    store.append_papers(intake.paper_rows(firsts), batch=1)
+    tei = spark.createDataFrame([("h1", "some text"), ("h2", None)], "source_hash string, tei string")
+    process(store, tei, batch=2, engine=eng)
+    assert {p.content_hash: (p.status, p.error) for p in store.scan_papers().collect()} == {
+        "h1": ("done", None),
+        "h2": ("failed", "nothing to read"),
+    }
+    doc = json.loads(store.documents(2).collect()[0].json)
+    assert (doc["engine"], doc["schema"], doc["source_hash"], doc["markdown"]) == ("shout", "1.0", "h1", "SOME TEXT")
+    with pytest.raises(TypeError, match="markdown must be string"):
+        engines.python_engine("bad", 1, shout, "markdown int").apply(tei)
