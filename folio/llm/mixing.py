@@ -23,6 +23,7 @@ give targets of 0; null or non-positive quality weights count as 1.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,10 +52,13 @@ def sampling_key(doc_id: Column, weight: Column, seed: str = "mix") -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """Fourth power of the share of characters outside ``JUNK``, 0.01 at least; 1 for empty text."""
+    """Fourth power of the share of characters outside ``JUNK``, 0.01 at least; 1 for empty text.
+
+    A power and not a product: a product would read the text once per factor.
+    """
     n = F.length(text)
-    clean = F.length(F.translate(text, JUNK, "")) / n
-    return F.when(n > 0, F.greatest(F.lit(0.01), clean * clean * clean * clean)).otherwise(F.lit(1.0))
+    junk = F.regexp_count(text, F.lit(f"[{re.escape(JUNK)}]"))
+    return F.when(n > 0, F.greatest(F.lit(0.01), F.pow((n - junk) / n, F.lit(4)))).otherwise(F.lit(1.0))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
@@ -90,8 +94,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
 def with_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: Column | None = None, seed: str = "mix") -> DataFrame:
     """``docs`` with ``size`` in words and the sampling ``key``; ``quality`` is an expression over ``docs``."""
     q = F.lit(1.0) if quality is None else quality
-    added = {"size": word_count(F.col(text)), "key": sampling_key(F.col(doc_id), q, seed)}
-    return docs.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    rest = [c for c in docs.columns if c not in ("size", "key")]
+    # The key uses the weight more than once: it is a column first, so that the text is read once for it.
+    weighed = docs.select(*rest, word_count(F.col(text)).alias("size"), q.alias("__quality"))
+    return weighed.select(*rest, "size", sampling_key(F.col(doc_id), F.col("__quality"), seed).alias("key"))
 
 
 def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, rows_per_bin: int = 4096) -> DataFrame:
