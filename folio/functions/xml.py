@@ -22,6 +22,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTINEL = "\ue000"
+# Sentinel and escape character of the input itself, written so that the sentinel is not in the text.
+ESCAPE = "\ue001"
+ESCAPED = ((ESCAPE, ESCAPE + "1"), (SENTINEL, ESCAPE + "0"))
 
 # Material a decoder skips before the root element. Possessive quantifiers
 # keep the pattern linear when no root follows.
@@ -34,6 +37,8 @@ DECLARATION_RE = r"^(?s)[^<]*+<\?xml\s(.*?)\?>"
 
 def norm_tei(c: Column) -> Column:
     stripped = F.regexp_replace(c, PROLOG_RE, "")
+    for own, code in ESCAPED:
+        stripped = F.replace(stripped, F.lit(own), F.lit(code))
     return F.regexp_replace(stripped, GAP_RE, ">$1" + SENTINEL + "<")
 
 
@@ -51,7 +56,10 @@ def xml_declaration(c: Column) -> tuple[Column, Column]:
 
 def direct_text(el: Column) -> Column:
     """Own character data of one parsed element (``STRUCT<_VALUE: ARRAY<STRING>>``)."""
-    return F.coalesce(F.translate(F.array_join(el["_VALUE"], ""), SENTINEL, ""), F.lit(""))
+    text = F.translate(F.array_join(el["_VALUE"], ""), SENTINEL, "")
+    for own, code in reversed(ESCAPED):
+        text = F.replace(text, F.lit(code), F.lit(own))
+    return F.coalesce(text, F.lit(""))
 
 
 def texts(arr: Column) -> Column:

@@ -176,6 +176,11 @@ def test_unicode_whitespace_trimmed(spark, pad):
     assert _one(spark, t)["metadata"]["title"] == "T"
 
 
+@pytest.mark.parametrize("text", ["a\ue000b", "a\ue0010b", "a\ue001\ue000b", "\ue0011"])
+def test_private_use_characters_kept(spark, text):
+    assert _paras(spark, f"<div><p>{text} <r>1</r> <r>2</r>c</p></div>") == [f"{text}  c"]
+
+
 def test_zero_width_space_kept(spark):
     t = "<TEI><teiHeader><fileDesc><titleStmt><title>\u200bT\u200b</title></titleStmt></fileDesc></teiHeader></TEI>"
     assert _one(spark, t)["metadata"]["title"] == "\u200bT\u200b"
