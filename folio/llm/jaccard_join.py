@@ -47,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.llm.common import SPACE, materialise, mix64, prefix_hash, span_hash, text_bytes, text_chunks, word_spans
 from folio.llm.components import components
@@ -365,8 +366,9 @@ def exact_links(members: DataFrame, docs: DataFrame, threshold: float, words: in
     return tasks.repartition("task").sortWithinPartitions("task", "side", "set_id").mapInArrow(_compare(threshold), "a binary, b binary, n_set_links long, n_doc_links long")
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.995, hashes: int = 64, small: int = 128, depth: int = 4, slack: float = 0.18, block: int = 1 << 20) -> DataFrame:
-    """One row per document: doc_id, and the columns of ``OUTPUT``."""
+def _joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.995, hashes: int = 64, small: int = 128, depth: int = 4, slack: float = 0.18, block: int = 1 << 20) -> DataFrame:
+    """``jaccard_join`` with ``set_id`` in bytes and ``head``: whether the row's set is the one of its
+    component that has the smallest (doc_id, set_id), null ids last."""
     sig = materialise(signatures(docs, doc_id, text, words, hashes), "signatures")
     classes = sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("set_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     classes = materialise(classes, "classes")
@@ -380,30 +382,47 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     known = classes.select("set_id", "doc_id", "set_size").join(found, "set_id", "left").join(counts, "set_id", "left")
     # The component's smallest doc_id: a sum in the tasks, then a join back on the component's own key.
     known = known.withColumn("component", F.coalesce("component", "set_id"))
-    head = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    known = materialise(known.join(head, "component").select("set_id", "set_size", "class_id", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), F.coalesce("n_doc_links", F.lit(0)).alias("n_doc_links")), "known")
+    head = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("first"))
+    known = materialise(known.join(head, "component").select("set_id", "set_size", F.col("first.doc_id").alias("class_id"), (F.col("set_id") == F.col("first.set_id")).alias("head"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), F.coalesce("n_doc_links", F.lit(0)).alias("n_doc_links")), "known")
     out = sig.select("doc_id", "set_id").join(known, "set_id", "left")
     return out.select(
         "doc_id",
-        F.lower(F.hex("set_id")).alias("set_id"),
+        "set_id",
         F.coalesce("set_size", F.lit(1)).alias("set_size"),
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("n_doc_links") + F.col("set_size") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"),
+        F.coalesce("head", F.lit(True)).alias("head"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near copies: of each class of linked documents the row with the smallest
-    doc_id stays; of rows with that same id, one."""
-    joined = jaccard_join(docs, **options)
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, and the columns of ``OUTPUT``. The options are those of ``_joined``."""
+    return _joined(docs, **options).withColumn("set_id", F.lower(F.hex("set_id"))).drop("head")
+
+
+def with_set_id(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with ``__set``: the row's own ``set_id``, null for a text without a word."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            ids = [set_id(s) if len(s) else None for s in shingle_sets(chunk, "text", words)]
+            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(ids, pa.binary())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def keep_one(docs: DataFrame, words: int = 5, **options) -> DataFrame:
+    """``docs`` without near copies: of each class of linked documents one row stays, the one with
+    the smallest (doc_id, set_id), null ids last. Rows that share an id are decided each by its text."""
     # Documents that are linked to nothing stay as they are: only the others take part in the join.
-    linked = joined.where("n_links > 0").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    rows = docs.join(linked.select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class")), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    stays = F.col("__class").isNull() | F.col("doc_id").eqNullSafe(F.col("__class"))
-    single = rows.where(F.col("__class").isNull()).drop("__id", "__class")
-    heads = rows.where(F.col("__class").isNotNull() & stays)
-    # Repeated ids: one row of each head.
-    order = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    heads = heads.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k", "__id", "__class")
+    linked = _joined(docs, words=words, **options).where("n_links > 0")
+    fate = linked.groupBy("doc_id", "set_id").agg(F.first(F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("__stays"))
+    fate = fate.withColumnRenamed("doc_id", "__id").withColumnRenamed("set_id", "__own")
+    rows = with_set_id(docs, words).join(fate, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__own")), "left")
+    single = rows.where(F.col("__stays").isNull()).select(docs.columns)
+    # Rows with the id and the set of a head: one of them.
+    order = Window.partitionBy("doc_id", "__set").orderBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    heads = rows.where("__stays").withColumn("__k", F.row_number().over(order)).where("__k = 1").select(docs.columns)
     return single.unionByName(heads)

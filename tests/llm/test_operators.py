@@ -150,6 +150,27 @@ def test_jaccard_join_odd_rows(llm, odd, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_decides_rows_that_share_an_id_by_their_texts(llm):
+    def near(name: str, k: int) -> str:
+        return " ".join([f"{name}{i}" for i in range(100)] + [f"end{k}"])
+
+    def own(name: str) -> str:
+        return " ".join(f"{name}{i}" for i in range(30))
+
+    rows = [
+        (5, near("a", 1)), (None, near("a", 2)), (None, own("b")), (None, own("c")),  # the null copy of 5 goes alone
+        (7, near("d", 1)), (8, near("d", 2)), (3, near("e", 1)), (7, near("e", 2)),  # id 7: head of one group, copy of 3 in another
+        (11, near("f", 1)), (12, near("f", 2)), (11, own("g")),  # id 11: a head and an unrelated text
+        (None, near("h", 1)), (None, near("h", 2)), (None, near("h", 3)),  # near copies without an id
+        (20, near("i", 1)), (20, near("i", 2)), (20, near("i", 2).replace(" ", "  ")),  # near copies with one id
+        (None, None), (None, ""), (5, ""),
+    ]
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(llm.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert sum(kept[r] for r in rows[11:14]) == 1 and sum(kept[r] for r in rows[14:17]) == 1
+    assert {r: kept[r] for r in rows[:11] + rows[17:]} == {r: int(k not in (1, 5, 7, 9)) for k, r in enumerate(rows) if not 11 <= k < 17}
+    assert sum(kept.values()) == 12
+
+
 def test_recall_formula():
     assert jaccard_join.survival(0.8, 1) >= 0.8
     assert (1 - jaccard_join.survival(0.8, 4)) ** jaccard_join.runs_for(0.8, 4, 0.995) <= 0.005
