@@ -3,16 +3,16 @@
 Plain patterns give spans that are reported by themselves: an assignment to
 a secret's name, an access key id, a long hex string. Weak candidates are
 parts that say nothing alone: an account name in an assignment (``id``), an
-unnamed random-looking token (``key``), and an endpoint (``url``). An interval
-join within a scope, the stretch of text between blank lines, reports a weak
-candidate only when a complementary part lies within ``reach`` code points of
-it in the same scope: a key needs an identifier or an endpoint, an identifier
-or an endpoint needs a secret. Access key ids count as identifiers, assignments
-and long hex strings as secrets.
+unnamed random-looking token (``key``), and an endpoint (``url``). A join
+within a scope, the stretch of text between blank lines, reports a weak
+candidate only when the same scope has a complementary part, however far off
+(``reach`` can bound the distance in code points): a key needs an identifier or
+an endpoint, an identifier or an endpoint needs a secret. Access key ids count
+as identifiers, assignments and long hex strings as secrets.
 
-Scopes never cross documents, so nothing is shuffled. Per scope the parts are
-sorted by start and each side is met by binary search on the running ends:
-linear in the parts but for the sort, and no pairs are made.
+Scopes never cross documents, so nothing is shuffled. Each side is met by the
+kinds that its scope has, or under a ``reach`` by binary search on the running
+ends of the sorted parts; no pairs are made.
 
 Defined cases: null text counts as empty; all offsets are code points, ends
 exclusive; spans of one kind never overlap, spans of different kinds may; a
@@ -53,7 +53,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def looks_random(token: str) -> bool:
-    return any(map(str.isdigit, token)) and any(map(str.isupper, token)) and any(map(str.islower, token))
+    """Digits and letters of any case: hex, base32, base36, UUIDs and base64 alike."""
+    return any(map(str.isdigit, token)) and any(map(str.isalpha, token))
 
 
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -69,8 +70,10 @@ def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     return [s for s in out if free(s[1], s[2])]
 
 
-def near(spans: list[tuple[int, int]], reach: int):
-    """A test whether any of ``spans`` lies within ``reach`` of an interval."""
+def near(spans: list[tuple[int, int]], reach: int | None):
+    """A test whether any of ``spans`` lies within ``reach`` of an interval; without a reach, whether there is one."""
+    if reach is None:
+        return lambda a, b: bool(spans)
     spans = sorted(spans)
     starts, last = [s[0] for s in spans], []
     for _, e in spans:
@@ -83,7 +86,7 @@ def near(spans: list[tuple[int, int]], reach: int):
     return test
 
 
-def linked(text: str, base: list[tuple[str, int, int]], reach: int) -> list[tuple[str, int, int]]:
+def linked(text: str, base: list[tuple[str, int, int]], reach: int | None = None) -> list[tuple[str, int, int]]:
     """The weak candidates that have a complement in their scope."""
     weak = weak_spans(text, base)
     if not weak:
@@ -100,7 +103,7 @@ def linked(text: str, base: list[tuple[str, int, int]], reach: int) -> list[tupl
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
     """``docs`` with ``spans`` and ``base``: arrays of (kind, start, end) by start, then kind as in ``KINDS``."""
     docs = without(docs, ["base", "spans"])
     schema = T.StructType([*docs.schema.fields, T.StructField("base", T.ArrayType(SPAN)), T.StructField("spans", T.ArrayType(SPAN))])

@@ -200,6 +200,25 @@ def test_secrets_link_complementary_parts_in_a_scope():
     assert secrets.base_spans("token: short1 secret: token: abcdefgh") == [("assign", 0, 13)]
 
 
+@pytest.mark.parametrize(
+    "key",
+    [
+        "Zx9Kq27LmPq0RstUvWxy81",
+        "9F86D081884C7D659A2FEAA0C55AD015",  # upper-case hex
+        "JBSWY3DPEHPK3PXPJBSWY3DP",  # base32
+        "123e4567-e89b-12d3-a456-426614174000",  # UUID
+        "k3j9x0q8z7w2v5t1r6y4u",  # lower-case base36
+    ],
+)
+def test_secrets_link_over_a_whole_scope(llm, key):
+    head, gap = "user = alice", "\nfiller line" * 40
+    for text in (f"{head}{gap} {key}", f"https://db.example.com/x{gap} {key}", f"{key}{gap} {head}"):
+        rows = secrets.scan(llm.createDataFrame([(text,), (f"{head}\n\n{key}",), (f"only {key} here",)], "text string")).collect()
+        found = {r.text: sorted(text[s["start"] : s["end"]] for s in r.spans) for r in rows if r.text == text}[text]
+        assert len(found) == 2 and key in found
+        assert all(not r.spans for r in rows if r.text != text)
+
+
 def test_fingerprints(llm, texts, odd, empty):
     rows = {r.doc_id: r for r in queries.op3_parsing_fingerprints(llm, SMALL).collect()}
     ids = sorted(texts)
