@@ -8,22 +8,29 @@ over the whole corpus: (word, c), and from it N and V. The ``frequent`` words
 with the largest counts are broadcast (16 bytes each); all others, a small
 share of all tokens, are looked up by a join on the word.
 
-Model. Its classes are the ``classes`` most frequent words, the end token and
-one class for all other words. The context is the two classes before; with
-vectors per class and place, ``q = left[w1] + right[w2]`` predicts the next
-class by ``q . out[w] + bias[w]``. Each task trains on its own texts, all of
-them, in minibatches that share their noise samples, so that a step is a few
-matrix products; the tasks' parameters are averaged by numbers of tokens, in
+Model. A word's probability is that of its class times that of the word in its
+class, both log-bilinear, and every training word has an output vector. The
+``classes`` most frequent words and the end token are classes of their own; all
+others, seen or not, are dealt by their hash to groups, whose number follows the
+vocabulary up to ``MOST_GROUPS``. The context of a class is the two classes
+before; with vectors per class and place, ``q = left[w1] + right[w2]`` predicts
+the next class by ``q . out[w] + bias[w]``. Each task trains on its own texts,
+all of them, in minibatches that share their noise samples, so that a step is a
+few matrix products; the tasks' parameters are averaged by numbers of tokens, in
 ``rounds`` rounds over disjoint parts of the training texts. Averages are
 taken per block of parameters in two levels, so nothing grows with the corpus.
 A table of the logs of the normalising sums of all contexts comes from batched
 matrix products, one row of contexts a task, and makes the probabilities of
 the classes sum to one.
 
-A word w outside the classes has its class's probability times
-``(c + 0.5) / (N_o + 0.5 (V_o + 1))``, with N_o and V_o over the training words
-outside the classes, all unseen words sharing one place: the whole is a
-distribution over the known words and one unseen word.
+Words of a group. The context is the class before, by its ``right`` vector at length one. All
+training tokens of a group meet in one task, packed by task and group, and its
+words' vectors are fitted by full softmax over the group (``fit_group``): from
+the shares ``c + 0.5``, with one place of 0.5 for the unseen words of the group,
+by damped steps with a prior. The task also gives the normalising sum for each
+context, so the whole is a distribution over the known words and one unseen word
+a group. Vectors of the ``frequent`` words are broadcast (140 bytes each), those
+of all others stay in a table and are joined on the word.
 
 Defined cases: null or empty text is the end token alone; repeated rows count
 each time; without training rows every word is unseen and N is 0.
@@ -45,6 +52,9 @@ from folio.llm.common import LOWER, SPACE, materialise, prefix_hash, span_hash,
 
 #: Stands for the end token; no word has this hash but by chance.
 END = np.uint64(0x8E5B2F1D3C4A6907)
+#: Words that are no class of their own go to one group for each GROUP_WORDS of them, or to this many larger ones.
+GROUP_WORDS, MOST_GROUPS = 1024, 512
+UNSEEN = float(np.log(0.5))
 
 
 def tokens(chunk: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +105,7 @@ def count_tokens(docs: DataFrame, text: str = "text", held: int = 1 << 19) -> Da
 
 @dataclass
 class Model:
-    """``classes``: sorted word hashes, whose class is their place; then the class of all other
+    """``classes``: sorted word hashes, whose class is their place; then the groups of all other
     words and, as context only, the start."""
 
     classes: np.ndarray
@@ -104,6 +114,7 @@ class Model:
     out: np.ndarray
     bias: np.ndarray
     noise: np.ndarray
+    groups: int = 1
     log_z: np.ndarray | None = None
 
     @property
@@ -112,20 +123,24 @@ class Model:
 
     @property
     def start(self) -> int:
-        return len(self.classes) + 1
+        return len(self.classes) + self.groups
 
 
 def initial(classes: np.ndarray, shares: np.ndarray, width: int, seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    n = len(classes) + 1
+    n = len(shares)
     noise = np.maximum(shares, 1e-9) / np.maximum(shares, 1e-9).sum()
     vectors = [rng.normal(0, 0.1, (m, width)).astype(np.float32) for m in (n + 1, n + 1, n)]
-    return Model(classes, *vectors, np.log(noise).astype(np.float32), noise)
+    return Model(classes, *vectors, np.log(noise).astype(np.float32), noise, n - len(classes))
+
+
+def group_of(words: np.ndarray, groups: int) -> np.ndarray:
+    return ((words >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
 
 
 def class_ids(model: Model, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token and of the two before it."""
-    ids = np.full(len(words), model.other, dtype=np.int64)
+    ids = model.other + group_of(words, model.groups)
     if len(model.classes):
         k = np.minimum(np.searchsorted(model.classes, words), len(model.classes) - 1)
         hit = model.classes[k] == words
@@ -152,6 +167,7 @@ class Trainer:
     def __init__(self, model: Model, seed: int, noise: int = 64, rate: float = 0.1):
         self.p = [model.left.copy(), model.right.copy(), model.out.copy(), model.bias.copy()]
         self.seen = [np.full_like(x, 1e-2) for x in self.p]
+        self.grads, self.work = [np.empty_like(x) for x in self.p], [np.empty_like(x) for x in self.p]
         self.model, self.k, self.rate = model, noise, rate
         self.rng = np.random.default_rng(seed)
         self.cumulative = np.cumsum(model.noise)
@@ -167,17 +183,23 @@ class Trainer:
         g_true = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1) / len(ids)
         g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / len(ids)
         dq = g_true[:, None] * out[ids] + g_false @ out[noise]
-        grads = [np.zeros_like(x) for x in self.p]
+        grads = self.grads
+        for g in grads:
+            g.fill(0)
         _scatter(grads[0], two, dq)
         _scatter(grads[1], one, dq)
         _scatter(grads[2], ids, g_true[:, None] * q)
         np.add.at(grads[2], noise, g_false.T @ q)
         grads[3] += np.bincount(ids, weights=g_true, minlength=len(bias)).astype(np.float32)
         np.add.at(grads[3], noise, g_false.sum(axis=0))
-        for x, s, g in zip(self.p, self.seen, grads, strict=True):
+        for x, s, g, w in zip(self.p, self.seen, grads, self.work, strict=True):
             g *= 64  # of the size of a step on 64 tokens; the rate below is Adagrad's
-            s += g * g
-            x -= self.rate * g / np.sqrt(s)
+            np.multiply(g, g, out=w)
+            s += w
+            np.sqrt(s, out=w)
+            g *= self.rate
+            g /= w
+            x -= g
 
 
 def train_round(docs: DataFrame, model: Model, text: str = "text", batch: int = 2048, blocks: int = 64) -> Model:
@@ -217,7 +239,7 @@ def train_round(docs: DataFrame, model: Model, text: str = "text", batch: int =
     for x in (model.left, model.right, model.out, model.bias):
         out.append(flat[i : i + x.size].reshape(x.shape))
         i += x.size
-    return Model(model.classes, *out, model.noise)
+    return Model(model.classes, *out, model.noise, model.groups)
 
 
 def normalise(spark: SparkSession, model: Model) -> Model:
@@ -228,9 +250,14 @@ def normalise(spark: SparkSession, model: Model) -> Model:
         m = shared.value
         for b in batches:
             for two in b.column(0).to_pylist():
-                logits = (m.left[two] + m.right) @ m.out.T + m.bias
-                top = logits.max(axis=1, keepdims=True)
-                z = np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0]
+                z = np.empty(len(m.right), dtype=np.float32)
+                for part in _slabs(len(m.right), len(m.out)):
+                    logits = (m.left[two] + m.right[part]) @ m.out.T
+                    logits += m.bias
+                    top = logits.max(axis=1)
+                    logits -= top[:, None]
+                    np.exp(logits, out=logits)
+                    z[part] = np.log(logits.sum(axis=1)) + top
                 yield pa.RecordBatch.from_arrays([pa.array([two], pa.int64()), pa.array([z.astype(np.float32).tobytes()], pa.binary())], ["two", "z"])
 
     n = len(model.left)
@@ -248,20 +275,120 @@ def log10_classes(model: Model, ids: np.ndarray, one: np.ndarray, two: np.ndarra
     return (logits - model.log_z[two, one]).astype(np.float64) / np.log(10)
 
 
+def _slabs(n: int, width: int) -> list[slice]:
+    """Parts of ``n`` contexts with about 2^18 logits each, which stay in a core's cache."""
+    step = max(1, (1 << 18) // width)
+    return [slice(k, min(k + step, n)) for k in range(0, n, step)]
+
+
+def contexts(model: Model) -> np.ndarray:
+    """The ``right`` vectors at length one: what predicts a word in its group."""
+    return model.right / np.maximum(np.linalg.norm(model.right, axis=1, keepdims=True), 1e-6)
+
+
+def fit_group(right: np.ndarray, words: np.ndarray, one: np.ndarray, steps: int = 6, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, counts, biases, vectors and the logs of the normalising sums of all contexts, from a
+    group's tokens and the classes before them.
+
+    A step divides a word's gradient by the contexts' squared lengths, summed over the tokens it has
+    and over those expected of it, plus the prior: a bound of the curvature, so steps never overshoot.
+    """
+    known, w, c = np.unique(words, return_inverse=True, return_counts=True)
+    places = len(known) + 1  # the last one is for the unseen words
+    context, x = np.unique(one, return_inverse=True)
+    total = np.bincount(x).astype(np.float32)
+    share = total / total.sum()
+    mean = share @ right[context]
+    r = right[context] - mean  # the mean belongs to the bias
+    length = (r * r).sum(axis=1)
+    held = np.bincount(w, weights=length[x], minlength=places).astype(np.float32) + np.float32(prior)
+    # The contexts of each word's tokens, summed: they stay the same over the steps.
+    seen = np.stack([np.bincount(w, weights=column[x], minlength=places) for column in r.T]).astype(np.float32)
+    # The last column of the contexts is one, that of the places is the bias.
+    r = np.column_stack([r, np.ones(len(r), dtype=np.float32)])
+    places_t = np.concatenate([np.zeros((right.shape[1], places), dtype=np.float32), np.log(np.append(c, 0) + 0.5).astype(np.float32)[None]])
+    vectors = places_t[:-1]
+    by_length = np.column_stack([r[:, :-1], length])
+    for _ in range(steps):
+        grad = np.concatenate([prior * vectors - seen, held[None]])  # the last row is the curvature
+        for part in _slabs(len(context), places):
+            p = r[part] @ places_t
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p *= (total[part] / p.sum(axis=1))[:, None]
+            grad += by_length[part].T @ p
+        vectors[:, :-1] -= grad[:-1, :-1] / grad[-1, :-1]
+    places_t[-1] -= mean @ vectors
+    z, all_r = np.empty(len(right), dtype=np.float32), np.column_stack([right, np.ones(len(right), dtype=np.float32)])
+    for part in _slabs(len(right), places):
+        p = all_r[part] @ places_t
+        top = p.max(axis=1)
+        p -= top[:, None]
+        np.exp(p, out=p)
+        z[part] = np.log(p.sum(axis=1)) + top
+    bias, vectors = places_t[-1], np.ascontiguousarray(vectors.T)
+    return known, c, bias[:-1], vectors[:-1], z
+
+
+def fit_words(train: DataFrame, model: Model, text: str = "text", held: int = 1 << 20) -> DataFrame:
+    """(group, words, c, bias, vectors, z): a row of packed arrays for each group with training tokens."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, parts = shared.value, []
+
+        def batch() -> pa.RecordBatch:
+            ids, words, one = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(ids, kind="stable")
+            ids, words, one = ids[order], words[order], one[order]
+            cuts = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)) if len(ids) else np.zeros(1, dtype=np.int64)
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(ids[i]) for i, _ in spans], pa.int32()), pa.array([words[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([one[i:j].tobytes() for i, j in spans], pa.binary())],
+                ["group", "words", "one"],
+            )
+
+        for chunk in text_chunks(batches):
+            words, at = tokens(chunk)
+            ids, one, _ = class_ids(m, words, at)
+            own = ids >= m.other
+            parts.append((ids[own] - m.other, words[own], one[own].astype(np.int32)))
+            if sum(len(x[0]) for x in parts) > held:
+                yield batch()
+                parts = []
+        if parts:
+            yield batch()
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["words"]])
+        one = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in pdf["one"]])
+        known, c, bias, vectors, z = fit_group(contexts(shared.value), words, one)
+        return pd.DataFrame({"group": pdf["group"].iloc[:1].to_numpy(), "words": [known.tobytes()], "c": [c.astype(np.int64).tobytes()], "bias": [bias.tobytes()], "vectors": [vectors.tobytes()], "z": [z.tobytes()]})
+
+    packed = train.select(F.col(text).alias("text")).mapInArrow(pack, "group int, words binary, one binary")
+    return packed.groupBy("group").applyInPandas(fitted, "group int, words binary, c binary, bias binary, vectors binary, z binary")
+
+
+def _unpacked(r: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(r["words"], dtype=np.uint64), np.frombuffer(r["c"], dtype=np.int64), np.frombuffer(r["bias"], dtype=np.float32), np.frombuffer(r["vectors"], dtype=np.float32).reshape(-1, width)
+
+
 @dataclass
 class Counts:
-    """Of the frequent words, sorted; of all training tokens, and of those outside the classes."""
+    """Of the frequent words, sorted; of all training tokens. ``bias`` and ``vectors`` are those of the
+    words of a group (zeros for a class of its own), ``z`` the log sums by group and class before."""
 
     words: np.ndarray
     c: np.ndarray
     n: int
     v: int
-    n_other: int
-    v_other: int
+    bias: np.ndarray
+    vectors: np.ndarray
+    z: np.ndarray
 
 
 def fit(train: DataFrame, text: str = "text", classes: int = 1024, frequent: int = 1 << 18, width: int = 32, rounds: int = 2, seed: int = 11) -> tuple[Model, Counts, DataFrame]:
-    """Model, broadcast counts and the table (word, c) of all training words."""
+    """Model, broadcast counts and the table (word, c, bias, vector) of all training words that are not broadcast."""
     spark = train.sparkSession
     counts = materialise(count_tokens(train, text), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -276,13 +403,41 @@ def fit(train: DataFrame, text: str = "text", classes: int = 1024, frequent: int
         own, own_c = np.append(own[:-1], END), np.append(own_c[:-1], c[k] if k is not None else 1)
     order = np.argsort(own)
     own, own_c = own[order], own_c[order]
-    n_other, v_other = int(n - own_c.sum()), int(v - len(own))
-    model = initial(own, np.append(own_c, n_other) / max(n, 1), width, seed)
+    groups = min(max(-(-(int(v) - len(own)) // GROUP_WORDS), 1), MOST_GROUPS)
+    in_group = np.zeros(groups)
+    for r in counts.groupBy(F.pmod(F.shiftrightunsigned("word", 20), F.lit(groups)).alias("g")).agg(F.sum("c").alias("c")).collect():
+        in_group[r["g"]] = r["c"]
+    in_group -= np.bincount(group_of(own, groups), weights=own_c, minlength=groups)
+    model = initial(own, np.append(own_c, in_group) / max(n, 1), width, seed)
     for r in range(rounds):
         part = train.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(rounds)) == r)
         model = train_round(part, model, text)
+    fitted = materialise(fit_words(train, model, text), "lm-words")
     order = np.argsort(words)
-    return normalise(spark, model), Counts(words[order], c[order], int(n), int(v), n_other, v_other), counts
+    known = Counts(words[order], c[order], int(n), int(v), np.zeros(len(words), dtype=np.float32), np.zeros((len(words), width), dtype=np.float32), np.full((groups, len(model.right)), UNSEEN, dtype=np.float32))
+    limit = least if least is not None else np.iinfo(np.int64).max
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                w, k, bias, vectors = _unpacked(r, width)
+                some = k >= limit
+                packed = [pa.array([x], pa.binary()) for x in (w[some].tobytes(), bias[some].tobytes(), vectors[some].tobytes(), r["z"])]
+                yield pa.RecordBatch.from_arrays([pa.array([r["group"]], pa.int32()), *packed], ["group", "words", "bias", "vectors", "z"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                w, k, bias, vectors = _unpacked(r, width)
+                some = k < limit
+                yield pa.RecordBatch.from_arrays([pa.array(w[some].view(np.int64)), pa.array(k[some]), pa.array(bias[some]), pa.array([x.tobytes() for x in vectors[some]], pa.binary())], ["word", "c", "bias", "vector"])
+
+    for r in fitted.mapInArrow(largest, "group int, words binary, bias binary, vectors binary, z binary").collect():
+        known.z[r["group"]] = np.frombuffer(bytes(r["z"]), dtype=np.float32)
+        place = np.searchsorted(known.words, np.frombuffer(bytes(r["words"]), dtype=np.uint64))
+        known.bias[place] = np.frombuffer(bytes(r["bias"]), dtype=np.float32)
+        known.vectors[place] = np.frombuffer(bytes(r["vectors"]), dtype=np.float32).reshape(-1, width)
+    return normalise(spark, model), known, fitted.mapInArrow(others, "word long, c long, bias float, vector binary")
 
 
 def score(docs: DataFrame, model: Model, known: Counts, counts: DataFrame, text: str = "text") -> DataFrame:
@@ -291,13 +446,13 @@ def score(docs: DataFrame, model: Model, known: Counts, counts: DataFrame, text:
     rest = without(docs, added)
     keep = [c for c in rest.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast((model, known))
-    partial = [("n_tokens", T.LongType()), ("n_fast", T.LongType()), ("logs", T.DoubleType()), ("other_logs", T.DoubleType()), ("n_other", T.LongType()), ("class_score", T.DoubleType())]
-    rare = T.ArrayType(T.LongType())
+    partial = [("n_tokens", T.LongType()), ("n_fast", T.LongType()), ("logs", T.DoubleType()), ("model_logs", T.DoubleType())]
+    rare = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("one", T.IntegerType())]))
     schema = T.StructType([*[rest.schema[c] for c in keep], *[T.StructField(f"__{n}", t) for n, t in partial], T.StructField("__rare", rare)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, k = shared.value
-        logs = np.log10(k.c + 0.5)
+        logs, right = np.log10(k.c + 0.5), contexts(m)
         for chunk in text_chunks(batches, text):
             words, at = tokens(chunk, text)
             ids, one, two = class_ids(m, words, at)
@@ -305,27 +460,43 @@ def score(docs: DataFrame, model: Model, known: Counts, counts: DataFrame, text:
             hit = k.words[place] == words if len(k.words) else np.zeros(len(words), dtype=bool)
             value = np.zeros(len(words))
             value[hit] = logs[place[hit]]
-            other = ids == m.other
+            # Of the word in its group; the join adds the logits of words that are not broadcast.
+            grouped = np.flatnonzero(ids >= m.other)
+            within = np.zeros(len(words))
+            within[grouped] = -k.z[ids[grouped] - m.other, one[grouped]].astype(np.float64)
+            for own in np.array_split(grouped[hit[grouped]], len(grouped) // 65536 + 1):
+                within[own] += np.einsum("ij,ij->i", right[one[own]], k.vectors[place[own]]) + k.bias[place[own]]
 
             def sums(x: np.ndarray, at: np.ndarray = at) -> np.ndarray:
                 return np.add.reduceat(x, at[:-1])
 
             n = np.diff(at)
             rare_at = np.concatenate(([0], np.cumsum(sums((~hit).astype(np.int64)))))
-            lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(words[~hit].view(np.int64)))
-            columns = [pa.array(n), pa.array(sums(hit.astype(np.int64))), pa.array(sums(value)), pa.array(sums(value * other)), pa.array(sums(other.astype(np.int64))), pa.array(sums(log10_classes(m, ids, one, two)))]
+            items = pa.StructArray.from_arrays([pa.array(words[~hit].view(np.int64)), pa.array(one[~hit].astype(np.int32))], ["word", "one"])
+            lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), items)
+            columns = [pa.array(n), pa.array(sums(hit.astype(np.int64))), pa.array(sums(value)), pa.array(sums(log10_classes(m, ids, one, two)) + sums(within) / np.log(10))]
             yield pa.RecordBatch.from_arrays([*[chunk.column(c) for c in keep], *columns, lists], schema.names)
 
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = contexts(shared.value[0])
+        for b in batches:
+            if b.num_rows:
+                vectors = np.frombuffer(b"".join(b.column("vector").to_pylist()), dtype=np.float32).reshape(b.num_rows, -1)
+                x = np.einsum("ij,ij->i", right[b.column("one").to_numpy()], vectors) + b.column("bias").to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("c"), pa.array(x.astype(np.float64))], ["__row", "c", "logit"])
+
     scored = materialise(rest.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-parts")
-    # Rare words: pre-aggregated to a row per word and text, then summed per text.
-    words = scored.select("__row", F.explode("__rare").alias("word"))
-    found = words.join(counts, "word").groupBy("__row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("__more"), F.count(F.lit(1)).alias("__found"))
+    # Rare words: joined to their vectors, then summed per text.
+    words = scored.select("__row", F.inline("__rare"))
+    found = words.join(counts, "word").select("__row", "one", "c", "bias", "vector").mapInArrow(logits, "__row long, c long, logit double")
+    found = found.groupBy("__row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("__more"), F.sum("logit").alias("__logits"), F.count(F.lit(1)).alias("__found"))
     rows = scored.drop("__rare").join(found, "__row", "left")
     missing = F.col("__n_tokens") - F.col("__n_fast") - F.coalesce("__found", F.lit(0))
-    # An unseen word has c = 0.
-    more = F.coalesce("__more", F.lit(0.0)) + missing * float(np.log10(0.5))
+    # An unseen word has c = 0, and its group's place for such words has no vector.
+    unseen = missing * float(np.log10(0.5))
+    more = F.coalesce("__more", F.lit(0.0)) + unseen
     base = F.col("__logs") + more - F.col("__n_tokens") * float(np.log10(known.n + 0.5 * (known.v + 1)))
-    model_score = F.col("__class_score") + F.col("__other_logs") + more - F.col("__n_other") * float(np.log10(known.n_other + 0.5 * (known.v_other + 1)))
+    model_score = F.col("__model_logs") + F.coalesce("__logits", F.lit(0.0)) / float(np.log(10)) + unseen
     return rows.select(
         *keep,
         F.col("__n_tokens").alias("n_tokens"),

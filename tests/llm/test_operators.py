@@ -266,6 +266,29 @@ def test_language_model_counts_and_normalisation(llm, texts, odd, empty):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm.score(odd, model, known, counts).collect())
 
 
+def test_language_model_gives_every_word_a_vector(llm):
+    """Words far outside the classes are predicted by the class before them."""
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"{'ab'[k]} {'xy'[k]}{rng.integers(3000)}" for k in rng.integers(2, size=40)) for _ in range(600)]
+    docs = llm.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string").repartition(2)
+    model, known, counts = lm.fit(docs, classes=8, frequent=3000)
+    vectors = known.vectors[~np.isin(known.words, model.classes)]
+    assert model.groups > 1 and len(vectors) + counts.count() == known.v - len(model.classes)
+    assert (np.abs(vectors).max(axis=1) > 0).all()
+    # Each group's words, known and unseen, sum to one in each context.
+    table = counts.toPandas()
+    words = np.append(known.words, table["word"].to_numpy(dtype=np.int64).view(np.uint64))
+    bias, vectors = np.append(known.bias, table["bias"]), np.concatenate([known.vectors, *[np.frombuffer(x, dtype=np.float32)[None] for x in table["vector"]]])
+    own = ~np.isin(words, model.classes)
+    for g in range(model.groups):
+        some = own & (lm.group_of(words, model.groups) == g)
+        p = np.exp(lm.contexts(model) @ vectors[some].T + bias[some] - known.z[g][:, None]).sum(axis=1) + 0.5 * np.exp(-known.z[g])
+        assert np.allclose(p, 1, atol=1e-3)
+    # The same words after the wrong class before them are less likely, by more than the class.
+    score = {r.doc_id: r.score for r in lm.score(llm.createDataFrame([(1, lines[0]), (2, lines[0].replace("a ", "c ").replace("b ", "a ").replace("c ", "b "))], "doc_id long, text string"), model, known, counts).collect()}
+    assert score[1] > score[2]
+
+
 def test_toxicity_separates_planted_words(llm, odd, empty):
     rng = np.random.default_rng(5)
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(300)]
