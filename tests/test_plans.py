@@ -61,7 +61,7 @@ def test_lookups_dedup_before_shuffle(spark):
 def test_no_python_in_operator_queries(spark):
     import __spark_entry__ as e
 
-    from conftest import SF_SMALL
+    from support import SF_SMALL
 
     for name, q in e.queries().items():
         if name.startswith(("stream_", "process_")):
@@ -74,7 +74,7 @@ def test_no_python_in_operator_queries(spark):
 def test_scan_prunes_columns(spark):
     import __spark_entry__ as e
 
-    from conftest import SF_SMALL
+    from support import SF_SMALL
 
     plan = _plan(e.queries()["engine_features"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan
