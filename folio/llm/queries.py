@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, mixing, packing, secrets, toxicity, warc
+from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, mixing, packing, periodic, secrets, toxicity, warc
 from folio.llm.common import documents, fold, materialise
 from folio.session import ship_package
 
@@ -83,7 +83,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_parsing_fingerprints, op4_exact_dedup, op5_secrets, op6_language_model, op7_language_id, op8_mixing, op9_jaccard_join, op10_warc)}
+def crc32(doc_id: str) -> Column:
+    """crc32 of the id as decimal text; null for a null id, of which no rule that asks for a remainder holds."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with every tenth text (by its id) repeating itself from some word on."""
+    h = crc32("doc_id")
+    planted = docs.withColumn("__words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))))
+    n, g = F.size("__words"), F.floor(h / 10)
+    planted = planted.withColumn("__n", n).withColumn("__a", F.when(n > 0, g % n)).withColumn("__g", g)
+    planted = planted.withColumn("__p", 1 + F.floor((F.col("__n") - F.col("__a")) / (3 + F.col("__g") % 8)))
+    source = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__n") - F.lit(1).cast("long")), lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p")))
+    text = F.array_join(F.transform(source, lambda i: F.get("__words", i.cast("int"))), " ")
+    return planted.select(*[c for c in docs.columns if c != "text"], F.when(F.col("__n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(with_planted_runs(documents(spark, sf_dir).select("doc_id", "text")))
+    # Quotients of whole numbers below 2^26 are equal or differ as doubles exactly when they do.
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("length"))))
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(line.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("b.s")).alias("start"),
+        F.col("b.length").alias("length"),
+        (-F.col("b.p")).alias("period"),
+        F.expr("b.length * 1000 div -b.p").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_parsing_fingerprints, op4_exact_dedup, op5_secrets, op6_language_model, op7_language_id, op8_mixing, op9_jaccard_join, op10_warc, op12_periodic_runs)}
 
 ORACLES = {
     "op4_exact_dedup": """

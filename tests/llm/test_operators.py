@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import re
 import zlib
@@ -11,40 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from brute import WORD, brute_links
 from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, mixing, packing, queries, secrets, toxicity, warc
 
 SMALL, CHECK = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def shingles(text: str | None) -> frozenset:
-    w = WORD.findall(text or "")
-    return frozenset(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-
-
-def brute_links(texts: dict) -> tuple[Counter, dict]:
-    sets, shared, holders = {d: shingles(t) for d, t in texts.items()}, Counter(), defaultdict(list)
-    for d, s in sets.items():
-        for x in s:
-            holders[x].append(d)
-    for own in holders.values():
-        shared.update(itertools.combinations(own, 2))
-    links, root = Counter(), {d: d for d in texts}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for (a, b), n in shared.items():
-        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
-            links[a] += 1
-            links[b] += 1
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    return links, {d: find(d) for d in texts}
 
 
 def test_packing_cuts_every_id_into_one_piece(llm, texts):

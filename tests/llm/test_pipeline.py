@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline as pipeline
+from brute import WORD, brute_links
 from folio.llm.common import DOC_COLUMNS, materialise
-from test_operators import SMALL, WORD, brute_links
 
+SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
