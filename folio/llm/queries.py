@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, mixing, packing, periodic, secrets, toxicity, warc
+from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, mixing, packing, periodic, secrets, sharding, toxicity, warc
 from folio.llm.common import documents, fold, materialise
 from folio.session import ship_package
 
@@ -83,6 +83,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def crc32(doc_id: str) -> Column:
     """crc32 of the id as decimal text; null for a null id, of which no rule that asks for a remainder holds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -118,9 +123,51 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_parsing_fingerprints, op4_exact_dedup, op5_secrets, op6_language_model, op7_language_id, op8_mixing, op9_jaccard_join, op10_warc, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_parsing_fingerprints, op4_exact_dedup, op5_secrets, op6_language_model, op7_language_id, op8_mixing, op9_jaccard_join, op10_warc, op11_sharding, op12_periodic_runs)}
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes: a step a byte, linear in the state's low bits."""
+    step = "c >> 8"
+    for bit in range(8):
+        k = 1 << bit
+        for _ in range(8):
+            k = k >> 1 ^ 0xEDB88320 * (k & 1)
+        step = f"xor({step}, {k} * ((xor(c, b) >> {bit}) & 1))"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}))"
+
 
 ORACLES = {
+    # The search walks through capacities (lo, hi) and, for each, shard by shard through the ends of the groups.
+    "op11_sharding": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, sha256(coalesce(text, '')) AS sha FROM documents),
+        g AS (SELECT sha, count(*)::BIGINT AS n, sum(size)::BIGINT AS bytes FROM d GROUP BY sha),
+        r AS (SELECT *, row_number() OVER w AS i, sum(bytes) OVER () - sum(bytes) OVER w + bytes AS rest FROM g WINDOW w AS (ORDER BY bytes DESC, sha ROWS UNBOUNDED PRECEDING)),
+        f AS (SELECT *, bool_and(i < 24 AND bytes * (25 - i) >= rest) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS big FROM r),
+        o AS (SELECT *, (sum(bytes) OVER w)::BIGINT - bytes AS before, (sum(n) OVER w)::BIGINT - n AS rows_before
+              FROM f WINDOW w AS (ORDER BY CASE WHEN big THEN i ELSE 24 END, sha ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT count(*) FILTER (big) AS front, 24 - count(*) FILTER (big) AS k, coalesce(sum(bytes) FILTER (big), 0)::BIGINT AS ahead,
+                     coalesce(sum(bytes) FILTER (NOT big), 0)::BIGINT AS total, max(bytes) FILTER (NOT big) AS largest FROM o),
+        e AS (SELECT list(before + bytes - ahead) AS ends FROM o, k WHERE NOT big),
+        search AS (
+          SELECT greatest((total + k - 1) // k, largest)::BIGINT AS lo, ((total + k - 1) // k + largest)::BIGINT AS hi, 0 AS st, 0::BIGINT AS pos FROM k
+          UNION ALL
+          SELECT CASE WHEN nx < total AND (st + 1 = k OR nx = pos) THEN (lo + hi) // 2 + 1 ELSE lo END,
+                 CASE WHEN nx = total THEN (lo + hi) // 2 ELSE hi END,
+                 CASE WHEN nx = total OR st + 1 = k OR nx = pos THEN 0 ELSE st + 1 END,
+                 CASE WHEN nx = total OR st + 1 = k OR nx = pos THEN 0 ELSE nx END
+          FROM (SELECT s.*, k, total, coalesce(list_max(list_filter(ends, lambda x: x <= s.pos + (lo + hi) // 2)), 0)::BIGINT AS nx FROM search s, k, e WHERE lo < hi)),
+        c AS (SELECT max(lo) AS cap FROM search WHERE lo = hi),
+        cuts AS (
+          SELECT 1 AS st, 0::BIGINT AS pos
+          UNION ALL
+          SELECT st + 1, list_max(list_filter(ends, lambda x: x <= cuts.pos + cap))::BIGINT FROM cuts, c, e, k WHERE st <= k.k AND pos < total),
+        p AS (SELECT sha, rows_before, CASE WHEN big THEN i - 1 ELSE front + (SELECT count(*) FROM cuts WHERE pos > 0 AND pos <= before - ahead) END AS shard FROM o, k),
+        q AS (SELECT sha, shard, rows_before - min(rows_before) OVER (PARTITION BY shard) AS start FROM p)
+        SELECT doc_id, size, {_crc32_sql("t")} AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+               (start + row_number() OVER (PARTITION BY d.sha ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8), doc_id NULLS FIRST) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+        FROM d JOIN q ON d.sha = q.sha
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
