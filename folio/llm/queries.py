@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, mixing, packing, periodic, secrets, sharding, toxicity, warc
+from folio.llm import exact_dedup, jaccard_join, langid, lcp, lm, merkle, mixing, packing, periodic, secrets, sharding, toxicity, warc
 from folio.llm.common import documents, fold, materialise
 from folio.session import ship_package
 
@@ -123,7 +123,20 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_parsing_fingerprints, op4_exact_dedup, op5_secrets, op6_language_model, op7_language_id, op8_mixing, op9_jaccard_join, op10_warc, op11_sharding, op12_periodic_runs)}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(*merkle.FIELDS)
+    changed = merkle.leaf([F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in merkle.FIELDS])
+    leaves = merkle.with_leaves(docs).select("doc_id", "source", "leaf", F.when(crc32("doc_id") % 5 == 0, changed).alias("tampered"))
+    rows = merkle.manifest(leaves)
+    folded = merkle.fold_up(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.sha(merkle.proof(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_parsing_fingerprints, op4_exact_dedup, op5_secrets, op6_language_model, op7_language_id, op8_mixing, op9_jaccard_join, op10_warc, op11_sharding, op12_periodic_runs, op13_merkle_manifest)}
 
 def _crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes: a step a byte, linear in the state's low bits."""
@@ -137,7 +150,55 @@ def _crc32_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}))"
 
 
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v})::VARCHAR || ':' || {v} END" for v in values) + ")"
+
+
+def _tree_sql(name: str, levels: int) -> tuple[str, str]:
+    """CTEs of the levels over ``{name}0`` (part, idx, n, digest), and the roots of its parts as a query."""
+    ctes = []
+    for k in range(levels):
+        ctes.append(f"""{name}{k + 1} AS (SELECT part, idx // 16 AS idx, (n + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY idx)) AS digest
+              FROM {name}{k} WHERE n > 1 GROUP BY part, idx // 16, n)""")
+        ctes.append(f"""{name}s{k} AS (SELECT part, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+              coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+              FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY part, idx // 16 ORDER BY idx))""")
+    return ", ".join(ctes), " UNION ALL ".join(f"SELECT part, digest FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+
+
+def _merkle_sql(rows: int = 5, parts: int = 3) -> str:
+    """The manifest for parts of up to 16^rows rows and up to 16^parts parts."""
+    low, subroots = _tree_sql("a", rows)
+    high, roots = _tree_sql("b", parts)
+    proof, folded, joins = [], "tampered", ""
+    for name, n, rank in (("a", rows, "x.idx"), ("b", parts, "x.part")):
+        for k in range(n):
+            s = f"{name}s{k}"
+            joins += f" LEFT JOIN {s} ON {s}.idx = {rank} // {16**k}" + (f" AND {s}.part = x.part" if name == "a" else "")
+            proof.append(f"coalesce({s}.l || {s}.r, '')")
+    steps = []
+    for k, s in enumerate([f"as{k}" for k in range(rows)] + [f"bs{k}" for k in range(parts)]):
+        steps.append(f"f{k + 1} AS (SELECT *, CASE WHEN l{k} IS NULL THEN d{k} ELSE sha256(l{k} || d{k} || r{k}) END AS d{k + 1} FROM f{k})")
+    sides = ", ".join(f"{s}.l AS l{k}, {s}.r AS r{k}" for k, s in enumerate([f"as{k}" for k in range(rows)] + [f"bs{k}" for k in range(parts)]))
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    return f"""
+        WITH d AS (SELECT doc_id, source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS part, {_leaf_sql("text")} AS leaf,
+                          CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf_sql(lower)} END AS changed FROM documents),
+        x AS (SELECT *, coalesce(changed, leaf) AS {folded}, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY part) AS n FROM d),
+        a0 AS (SELECT part, idx, n, leaf AS digest FROM x), {low},
+        sub AS ({subroots}),
+        b0 AS (SELECT 0 AS part, part AS idx, count(*) OVER () AS n, digest FROM sub), {high},
+        top AS ({roots}),
+        f0 AS (SELECT x.doc_id, x.leaf, sub.digest AS subroot, top.digest AS root, sha256({" || ".join(proof)}) AS proof_sha256, x.{folded} AS d0, {sides}
+               FROM x JOIN sub ON sub.part = x.part CROSS JOIN top{joins}),
+        {", ".join(steps)}
+        SELECT doc_id, leaf, subroot, root, proof_sha256, d{rows + parts} AS folded_root, d{rows + parts} = root AS verified FROM f{rows + parts}
+    """
+
+
 ORACLES = {
+    "op13_merkle_manifest": _merkle_sql(),
     # The search walks through capacities (lo, hi) and, for each, shard by shard through the ends of the groups.
     "op11_sharding": f"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, sha256(coalesce(text, '')) AS sha FROM documents),
