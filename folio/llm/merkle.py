@@ -109,14 +109,20 @@ def roots(levels: list[DataFrame], arity: int) -> DataFrame:
     return out
 
 
-def with_paths(levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
+def with_paths(levels: list[DataFrame], tops: DataFrame | None, arity: int) -> DataFrame:
     """The leaves with ``path`` and ``subroot``: the siblings (left, right) of the leaf and of each of
-    its ancestors, followed by what ``tops`` (part, above, subroot) has for the part's root."""
-    tops = tops.withColumnRenamed("part", "__part")
+    its ancestors, followed by what ``tops`` (part, above, subroot) has for the part's root, if given."""
+
+    def started(own: DataFrame) -> DataFrame:
+        if tops is None:
+            return own.withColumn("path", F.expr(NO_PATH)).withColumn("subroot", F.lit(None).cast("string"))
+        found = tops.withColumnsRenamed({"part": "__part", "above": "path"})
+        return own.join(found, F.col("part").eqNullSafe(F.col("__part"))).drop("__part")
+
     upper = None
     for k in range(len(levels) - 1, -1, -1):
         nodes = levels[k]
-        got = _tops_at(levels, k, arity).join(tops, F.col("part").eqNullSafe(F.col("__part"))).withColumnRenamed("above", "path").drop("__part")
+        got = started(_tops_at(levels, k, arity))
         if upper is not None:
             width = arity ** (k + 1)
             parents = upper.select(*[F.col(c).alias(f"__{c}") for c in ("part", "lo", "hi", "children", "path", "subroot")])
@@ -132,6 +138,9 @@ def with_paths(levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFram
     return got
 
 
+NO_PATH = "cast(array() as array<struct<left: string, right: string>>)"
+
+
 def fold_up(digest: Column, path: Column) -> Column:
     """The root that a leaf and its path give."""
     return F.aggregate(path, digest, lambda d, p: sha(F.concat(p["left"], d, p["right"])))
@@ -163,7 +172,6 @@ def manifest(leaves: DataFrame, part: str = "source", order: str = "doc_id", ari
     parts = materialise(parts.withColumn("__row", F.monotonically_increasing_id()), "merkle-parts")
     high = levels_of(materialise(ranked(parts, "part", ["name"], ranges), "merkle-part-ranks"), arity)
     root = (roots(high, arity).first() or {"digest": None})["digest"]
-    start = parts.sparkSession.range(1).select(F.lit(0).alias("part"), F.expr("cast(array() as array<struct<left: string, right: string>>)").alias("above"), F.lit(root).cast("string").alias("subroot"))
-    tops = with_paths(high, start, arity).select(F.col("name").alias("part"), F.col("path").alias("above"), F.col("digest").alias("subroot"))
+    tops = with_paths(high, None, arity).select(F.col("name").alias("part"), F.col("path").alias("above"), F.col("digest").alias("subroot"))
     paths = with_paths(levels, materialise(tops, "merkle-tops"), arity)
     return paths.select("row.*", "subroot", F.lit(root).cast("string").alias("root"), "path")
