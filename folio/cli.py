@@ -9,7 +9,7 @@ POST /papers           ``submit --store S --uploads DIR --batch N``
 GET /papers/{id}       ``get --store S --id ID`` (or ``--hash H``)
 parse worker           ``process --store S --tei PATH --batch N``, or as a
                        stream ``stream-parse --store S --tei PATH --checkpoint C``
-(operations)           ``compact --store S``
+(operations)           ``compact --store S``, ``stuck --store S``
 upload stream          ``stream-intake --store S --uploads DIR --checkpoint C``
 live status            ``stream-status --store S --out DIR --checkpoint C``
 =====================  ==============================================
@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--uploads", required=True)
     p.add_argument("--batch", type=int, required=True)
     p.add_argument("--max-bytes", type=int, default=MAX_UPLOAD_BYTES)
-    p.add_argument("--quiet", action="store_true", help="do not print the replies")
+    p.add_argument("--replies", help="folder for the replies, a JSON line per upload; without it their numbers are printed")
 
     p = sub.add_parser("process", help="parse the pending papers from their TEI")
     p.add_argument("--store", required=True)
@@ -71,6 +71,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--tei-format", default="parquet", choices=["parquet", "json", "orc", "xml"])
     p.add_argument("--batch", type=int, required=True)
     p.add_argument("--retry-failed", action="store_true", help="parse failed papers again")
+    p.add_argument("--lease", type=int, default=lifecycle.RETRY.lease, help="seconds that a paper stays with a job that does not end")
+    p.add_argument("--backoff", type=int, default=lifecycle.RETRY.backoff, help="seconds before the second attempt, doubled for each later one")
+    p.add_argument("--max-attempts", type=int, default=lifecycle.RETRY.attempts)
+
+    p = sub.add_parser("stuck", help="papers whose job was lost: running beyond their lease (the next process takes them up)")
+    p.add_argument("--store", required=True)
 
     p = sub.add_parser("stream-parse", help="parse papers as their TEI arrives (Structured Streaming)")
     p.add_argument("--store", required=True)
@@ -111,11 +117,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.cmd == "submit":
         up = upload_source.list_uploads(spark, args.uploads)
         replies = submit(store, up, args.batch, args.max_bytes)
-        if not args.quiet:
-            _print_json(replies)
+        if args.replies:
+            replies.select(F.to_json(F.struct(*replies.columns)).alias("value")).write.mode("overwrite").text(args.replies)
+        else:
+            _print_json(replies.groupBy("outcome").agg(F.count(F.lit(1)).alias("uploads")))
     elif args.cmd == "process":
         tei, key = _tei(spark, args.tei, args.tei_format)
-        out = process(store, tei, args.batch, tei_key=key, retry_failed=args.retry_failed)
+        retry = lifecycle.Retry(lease=args.lease, backoff=args.backoff, attempts=args.max_attempts)
+        out = process(store, tei, args.batch, tei_key=key, retry_failed=args.retry_failed, retry=retry)
         _print_json(out.groupBy("status").agg(F.count(F.lit(1)).alias("papers")))
     elif args.cmd == "stream-parse":
         stream = parse_stream.stream_tei(spark, args.tei, args.max_files_per_trigger)
@@ -124,14 +133,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         log = status_stream.stream_store_log(spark, store, args.max_files_per_trigger)
         status_stream.start_status(log, args.out, args.checkpoint, args.available_now).awaitTermination()
     elif args.cmd == "get":
-        key, value = ("id", args.id) if args.id else ("content_hash", args.hash)
-        papers = store.scan_papers(only=spark.createDataFrame([(value,)], f"{key} string"), key=key)
-        found = lifecycle.get_paper(papers, args.id) if args.id else lifecycle.get_paper_by_hash(papers, args.hash)
+        found = store.paper(paper_id=args.id, content_hash=args.hash)
         view = lifecycle.paper_view(found).select("json").limit(1).collect()
         if not view:
             print(json.dumps({"error": "paper not found"}))
             return 1
         print(view[0].json)
+    elif args.cmd == "stuck":
+        _print_json(lifecycle.stuck(store.scan_papers(with_attempts=True)).select("id", "attempts", "until"))
     elif args.cmd == "compact":
         print(json.dumps({"base_version": store.compact()}))
     elif args.cmd == "stream-intake":

@@ -41,31 +41,40 @@ def classify_uploads(df: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFr
     return df.withColumn("reject_reason", reason)
 
 
-def classify_keys(uploads: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+def classify_raw(uploads: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """O7-O10 for a ``binaryFile``-shaped input: ``path, modificationTime, length,
-    reject_reason, content_hash`` (the hash only for accepted files).
+    reject_reason, content_hash, raw_key, content`` (the last three for accepted files only).
 
     Files over the cap are classified from their length alone: the input is
     split by size first, so on a ``binaryFile`` source (a scan or a stream's
     micro-batch) the bytes of an over-size file are never read.
     """
-    small = classify_uploads(uploads.where(size_ok(F.col("length"), max_bytes)), max_bytes).select(
+    ok = F.col("reject_reason").isNull()
+    small = classify_uploads(uploads.where(size_ok(F.col("length"), max_bytes)), max_bytes)
+    small = small.withColumn("content_hash", F.when(ok, content_hash(F.col("content")))).select(
         "path",
         "modificationTime",
         "length",
         "reject_reason",
-        F.when(F.col("reject_reason").isNull(), content_hash(F.col("content"))).alias("content_hash"),
+        "content_hash",
+        raw_key(F.col("content_hash")).alias("raw_key"),
+        F.when(ok, F.col("content")).alias("content"),
     )
     large = uploads.where(~size_ok(F.col("length"), max_bytes)).select(
         "path",
         "modificationTime",
         "length",
         F.lit(REJECT_TOO_LARGE).alias("reject_reason"),
-        F.lit(None).cast("string").alias("content_hash"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("content_hash", "string"), ("raw_key", "string"), ("content", "binary"))],
     )
     return small.unionByName(large)
 
 
+def classify_keys(uploads: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """``classify_raw`` without the bytes."""
+    return classify_raw(uploads, max_bytes).drop("raw_key", "content")
+
+
 def accepted(df: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     return df.where(size_ok(F.col("length"), max_bytes) & is_pdf(F.col("content")))
 

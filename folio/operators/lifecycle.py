@@ -17,18 +17,29 @@ updated_at every row                   ``at`` of the latest row
 
 There is no transition guard: ``done -> running`` is legal, as an UPDATE
 keyed only by id is. An update for an id with no paper changes nothing.
+
+The fold is mergeable: a summary keeps, besides each value, the key that set
+it, so summaries of any parts of the log, in any order, merge into the summary
+of the whole (``merge_summaries``); log rows are summaries of one row. A
+compacted store keeps summaries, so late rows count by their time and attempts
+add up.
+
+A ``running`` row is a lease: it holds its paper until ``until``. A worker that
+is lost leaves a lease that runs out, after which the paper is pending again;
+a failed paper is tried again after a time that doubles with its attempts
+(``Retry``).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import skew
 from folio.operators.intake import result_key
-from folio.schemas import SCHEMA_VERSION, SOURCE_TYPES, STATUSES
-
-LOG_COLUMNS = ("paper_id", "at", "seq", "to_status", "schema_version", "result_key", "error")
+from folio.schemas import SCHEMA_VERSION, SOURCE_TYPES, STATUSES, SUMMARY, UNTIL
 
 
 # ----------------------------------------------------------- O11-O13 reads --
@@ -113,12 +124,14 @@ def log_rows(
     seq: Column | int = 0,
     error: Column | None = None,
     result_key_col: Column | None = None,
+    until: Column | None = None,
 ) -> DataFrame:
     """Status-log rows for UPDATEs whose target status may differ per row.
 
     ``to_status`` decides which columns the row sets: ``done`` sets the
     schema version and result key and clears ``error``; ``failed`` sets
-    ``error``; ``running`` sets neither.
+    ``error``; ``running`` sets neither. ``until`` is the end of a lease or of
+    the wait for the next attempt.
     """
     pid = F.col("paper_id").cast("string")
     done = to_status == F.lit("done")
@@ -132,6 +145,7 @@ def log_rows(
         F.when(done, F.lit(SCHEMA_VERSION)).alias("schema_version"),
         F.when(done, rk).alias("result_key"),
         F.when(to_status == F.lit("failed"), err).cast("string").alias("error"),
+        (until if until is not None else F.lit(None)).cast("timestamp").alias(UNTIL.name),
     )
 
 
@@ -143,9 +157,9 @@ def _seq(seq: Column | int) -> Column:
     return seq if isinstance(seq, Column) else F.lit(seq)
 
 
-def mark_running(ids: DataFrame, at: Column | None = None, seq: Column | int = 0) -> DataFrame:
-    """Status only; ``error`` is left as it is."""
-    return log_rows(ids, F.lit("running"), at, seq)
+def mark_running(ids: DataFrame, at: Column | None = None, seq: Column | int = 0, until: Column | None = None) -> DataFrame:
+    """Status only; ``error`` is left as it is. ``until``: when the lease runs out."""
+    return log_rows(ids, F.lit("running"), at, seq, until=until)
 
 
 def mark_done(ids: DataFrame, at: Column | None = None, seq: Column | int = 1) -> DataFrame:
@@ -154,9 +168,9 @@ def mark_done(ids: DataFrame, at: Column | None = None, seq: Column | int = 1) -
     return log_rows(ids, F.lit("done"), at, seq, result_key_col=rk)
 
 
-def mark_failed(errors: DataFrame, at: Column | None = None, seq: Column | int = 1) -> DataFrame:
-    """``error`` set; schema version and result key are left as they are."""
-    return log_rows(errors, F.lit("failed"), at, seq, error=F.col("error"))
+def mark_failed(errors: DataFrame, at: Column | None = None, seq: Column | int = 1, until: Column | None = None) -> DataFrame:
+    """``error`` set; schema version and result key are left as they are. ``until``: when to try again."""
+    return log_rows(errors, F.lit("failed"), at, seq, error=F.col("error"), until=until)
 
 
 def applicable(updates: DataFrame, papers: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
@@ -181,45 +195,61 @@ def applicable(updates: DataFrame, papers: DataFrame, rows_per_salt: int = skew.
 # ----------------------------------------------------------- O20-O22 fold ---
 
 
-def summarise_log(log: DataFrame) -> DataFrame:
-    """Per paper, the latest value of each column over the log.
+def summary_rows(log: DataFrame) -> DataFrame:
+    """Each log row as the summary of itself (``schemas.SUMMARY``): a projection."""
+    k = F.struct("at", "seq")
+    done = F.col("to_status") == F.lit("done")
+    closes = F.col("to_status").isin("done", "failed")
+    columns = {
+        "paper_id": F.col("paper_id"),
+        "_k": k,
+        "_status": F.col("to_status"),
+        "_until": F.col(UNTIL.name) if UNTIL.name in log.columns else F.lit(None),
+        "_done_k": F.when(done, k),
+        "_sv": F.when(done, F.col("schema_version")),
+        "_rk": F.when(done, F.col("result_key")),
+        "_close_k": F.when(closes, k),
+        "_err": F.when(F.col("to_status") == F.lit("failed"), F.col("error")),
+        "_attempts": (F.col("to_status") == F.lit("running")).cast("long"),
+    }
+    return log.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in SUMMARY.fields])
+
+
+def merge_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per paper from summaries of parts of its log that share no row.
 
     All aggregates are partial-aggregation friendly: a paper with millions
     of log rows is reduced map-side before the shuffle on ``paper_id``.
-
-    A log with ``batch`` and ``step`` columns may hold the rows of a replayed
-    batch twice (a stream sees the files of both writes): attempts are then
-    counted once per ``(batch, step, seq)``.
     """
-    running = F.col("to_status") == F.lit("running")
-    tries = F.count_if(running)
-    if {"batch", "step"} <= set(log.columns):
-        tries = F.size(F.collect_set(F.when(running, F.struct("batch", "step", "seq")))).cast("long")
-    k = F.struct("at", "seq")
-    done = F.col("to_status") == F.lit("done")
-    closes = F.col("to_status").isin("done", "failed")
-    return log.groupBy("paper_id").agg(
-        F.max_by("to_status", k).alias("_status"),
-        F.max(F.when(done, k)).alias("_done_k"),
-        F.max_by("schema_version", F.when(done, k)).alias("_sv"),
-        F.max_by("result_key", F.when(done, k)).alias("_rk"),
-        F.max(F.when(closes, k)).alias("_close_k"),
-        F.max_by(F.when(F.col("to_status") == F.lit("failed"), F.col("error")), F.when(closes, k)).alias("_err"),
-        F.max("at").alias("_last_at"),
-        tries.alias("_attempts"),
+    return summaries.groupBy("paper_id").agg(
+        F.max("_k").alias("_k"),
+        F.max_by("_status", "_k").alias("_status"),
+        F.max_by("_until", "_k").alias("_until"),
+        F.max("_done_k").alias("_done_k"),
+        F.max_by("_sv", "_done_k").alias("_sv"),
+        F.max_by("_rk", "_done_k").alias("_rk"),
+        F.max("_close_k").alias("_close_k"),
+        F.max_by("_err", "_close_k").alias("_err"),
+        F.sum("_attempts").alias("_attempts"),
     )
 
 
-SUMMARY_COLUMNS = ("_status", "_done_k", "_sv", "_rk", "_close_k", "_err", "_last_at", "_attempts")
+def summarise_log(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Per paper, the latest value of each column over the log, and over a summary of earlier rows."""
+    rows = summary_rows(log)
+    return merge_summaries(rows if base is None else rows.unionByName(base.select(*SUMMARY.fieldNames())))
+
+
+SUMMARY_COLUMNS = tuple(SUMMARY.fieldNames()[1:])
 
 
 def apply_summary(papers: DataFrame, summary: DataFrame, with_attempts: bool = False) -> DataFrame:
-    """Current rows from the inserted rows (or a compacted base) and a per-paper log summary.
+    """Current rows from the inserted rows and a per-paper log summary.
 
     A ``left`` join from ``papers``: summaries of unknown ids vanish.
+    ``with_attempts`` adds ``attempts`` and ``until``, which ``pending`` needs for leases.
     """
     j = papers.join(summary, papers["id"] == summary["paper_id"], "left")
-    has_log = F.col("_status").isNotNull()
     return j.select(
         "id",
         "content_hash",
@@ -231,19 +261,19 @@ def apply_summary(papers: DataFrame, summary: DataFrame, with_attempts: bool = F
         F.when(F.col("_done_k").isNotNull(), F.col("_rk")).otherwise(F.col("result_key")).alias("result_key"),
         F.when(F.col("_close_k").isNotNull(), F.col("_err")).otherwise(F.col("error")).alias("error"),
         "created_at",
-        F.when(has_log, F.col("_last_at")).otherwise(F.col("updated_at")).alias("updated_at"),
-        *([F.coalesce(F.col("_attempts"), F.lit(0)).alias("attempts")] if with_attempts else []),
+        F.coalesce(F.col("_k.at"), F.col("updated_at")).alias("updated_at"),
+        *([F.coalesce(F.col("_attempts"), F.lit(0)).alias("attempts"), F.col("_until").alias(UNTIL.name)] if with_attempts else []),
     )
 
 
-def fold_status(papers: DataFrame, log: DataFrame, with_attempts: bool = False) -> DataFrame:
-    """Current ``papers`` from the inserted rows (or a compacted base) and the log.
+def fold_status(papers: DataFrame, log: DataFrame, with_attempts: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """Current ``papers`` from the inserted rows and the log (and a summary of its earlier rows).
 
     The log is summarised per paper first (partial aggregation, then one
     shuffle of one row per paper and map task), then joined to ``papers``
     from the left, so log rows of unknown ids vanish.
     """
-    return apply_summary(papers, summarise_log(log), with_attempts)
+    return apply_summary(papers, summarise_log(log, base), with_attempts)
 
 
 def attempts(log: DataFrame) -> DataFrame:
@@ -251,6 +281,59 @@ def attempts(log: DataFrame) -> DataFrame:
     return log.groupBy("paper_id").agg(F.count_if(F.col("to_status") == F.lit("running")).alias("attempts"))
 
 
-def pending(papers: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """Papers waiting to be parsed; with ``retry_failed`` also those whose last attempt failed."""
-    return papers.where(F.col("status").isin("queued", *(["failed"] if retry_failed else [])))
+@dataclass(frozen=True)
+class Retry:
+    """Seconds of a lease; seconds before the second attempt, doubled for each later one up to
+    ``longest``; and how often a paper is tried at all."""
+
+    lease: int = 3600
+    backoff: int = 0
+    longest: int = 86_400
+    attempts: int = 25
+
+
+RETRY = Retry()
+
+
+def later(at: Column, seconds: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + seconds.cast("long") * F.lit(1_000_000))
+
+
+def wait(attempts: Column, retry: Retry = RETRY) -> Column:
+    """Seconds to wait after a failure with so many attempts made."""
+    doubled = F.lit(retry.backoff) * F.pow(F.lit(2.0), F.least(F.greatest(attempts, F.lit(1)), F.lit(40)) - 1)
+    return F.least(doubled, F.lit(float(retry.longest))).cast("long")
+
+
+def next_attempt(retry: Retry = RETRY) -> Column:
+    """When a paper (folded ``with_attempts``) may be taken up: NULL if it is done or was tried too often.
+
+    A running paper is free when its lease ends, a failed one when its wait is over. Rows that
+    do not say until when get what ``retry`` has.
+    """
+    running, failed = F.col("status") == F.lit("running"), F.col("status") == F.lit("failed")
+    until = F.col(UNTIL.name)
+    return (
+        F.when(F.col("status") == F.lit("queued"), F.col("created_at"))
+        .when(F.col("attempts") >= F.lit(retry.attempts), F.lit(None))
+        .when(running, F.coalesce(until, later(F.col("updated_at"), F.lit(retry.lease))))
+        .when(failed, F.coalesce(until, later(F.col("updated_at"), wait(F.col("attempts"), retry))))
+    )
+
+
+def pending(papers: DataFrame, retry_failed: bool = False, at: Column | None = None, retry: Retry = RETRY) -> DataFrame:
+    """Papers waiting to be parsed; with ``retry_failed`` also those whose last attempt failed.
+
+    Over a fold ``with_attempts`` a paper whose lease has run out by ``at`` (default: now) waits
+    too, and a failed one only after its wait.
+    """
+    if "attempts" not in papers.columns:
+        return papers.where(F.col("status").isin("queued", *(["failed"] if retry_failed else [])))
+    taken = F.col("status").isin("queued", "running", *(["failed"] if retry_failed else []))
+    return papers.where(taken & (next_attempt(retry) <= _at(at)))
+
+
+def stuck(papers: DataFrame, at: Column | None = None, retry: Retry = RETRY) -> DataFrame:
+    """Running papers (of a fold ``with_attempts``) whose lease has run out: their worker is lost."""
+    ends = F.coalesce(F.col(UNTIL.name), later(F.col("updated_at"), F.lit(retry.lease)))
+    return papers.where((F.col("status") == F.lit("running")) & (ends <= _at(at)))

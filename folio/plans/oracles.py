@@ -244,6 +244,32 @@ ORACLES["stream_intake"] = f"""
            regexp_extract(path, '([^/]*)$', 1) AS source_ref, 'queued' AS status,
            'raw/' || content_hash || '.pdf' AS raw_key
     FROM firsts"""
+ORACLES["raw_store"] = f"""
+    WITH {_UPLOADS}
+    SELECT k.content_hash, k.raw_key, CAST(strlen(u.p) AS BIGINT) AS bytes, sha256(u.p) AS digest, count(*) AS n_uploads
+    FROM keyed k JOIN up u ON u.doc_id = k.doc_id GROUP BY ALL"""
+_TRIES = "SELECT user_id, count(*) FILTER (WHERE to_status = 'running') AS n FROM lg GROUP BY user_id"
+ORACLES["store_late_rows"] = f"""
+    WITH {_LOG}, tries AS ({_TRIES})
+    SELECT id, status, schema_version, result_key, error, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at,
+           CAST(coalesce(n, 0) AS BIGINT) AS attempts
+    FROM folded f LEFT JOIN tries t ON t.user_id = f.user_id"""
+ORACLES["pending_leases"] = f"""
+    WITH {_LOG}, tries AS ({_TRIES}),
+      w AS (
+        SELECT id, status, coalesce(n, 0) AS attempts, updated_at,
+               CAST(least(60 * pow(2, least(greatest(coalesce(n, 0), 1), 40) - 1), 43200) AS BIGINT) AS wait
+        FROM folded f LEFT JOIN tries t ON t.user_id = f.user_id),
+      d AS (
+        SELECT *, CASE WHEN status = 'queued' THEN updated_at
+                       WHEN attempts >= 20 THEN NULL
+                       WHEN status = 'running' THEN updated_at + INTERVAL 6 HOUR
+                       WHEN status = 'failed' THEN updated_at + to_seconds(wait) END AS due
+        FROM w)
+    SELECT id, status, CAST(attempts AS BIGINT) AS attempts, strftime(due, '%Y-%m-%d %H:%M:%S.%f') AS next_attempt,
+           coalesce(due <= TIMESTAMP '2024-01-31 00:00:00', false) AS pending,
+           status = 'running' AND updated_at + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-31 00:00:00' AS stuck
+    FROM d"""
 ORACLES["store_compact"] = f"""
     WITH {_UPLOADS}, p AS (SELECT left(sha256('paper:' || content_hash), 32) AS id, content_hash FROM firsts)
     SELECT id, content_hash, CASE WHEN content_hash < '8' THEN 'done' ELSE 'queued' END AS status,

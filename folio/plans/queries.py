@@ -257,43 +257,41 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/folio/{name}/{uuid.uuid4().hex}"
 
 
-STREAM_CHUNKS = 4
+#: About so many rows a file of the status log, and so many files a micro-batch: the batches grow in number with the table.
+ROWS_PER_FILE, FILES_PER_BATCH = 2_000, 2
+#: Uploads arrive in so many waves of upload time, each as many files as its scan has tasks and one micro-batch.
+WAVES = 4
 
 
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U arrives as files in doc_id order, one file per micro-batch."""
+    """U arrives in waves of upload time; the stream runs on after each.
+
+    A wave is a range of ids (and so of upload times) between the table's smallest and
+    largest; it is written by a parallel job and registered in one micro-batch, in which the
+    earliest upload names a paper.
+    """
     root = _scratch(spark, "stream_intake")
-    u = inputs.uploads(inputs.table(spark, sf_dir, "documents"))
-    cuts = u.approxQuantile("doc_id", [i / STREAM_CHUNKS for i in range(1, STREAM_CHUNKS)], 0.0)
-    edges = [None, *cuts, None]
-    for i in range(STREAM_CHUNKS):
-        part = u
-        if edges[i] is not None:
-            part = part.where(F.col("doc_id") > F.lit(edges[i]))
-        if edges[i + 1] is not None:
-            part = part.where(F.col("doc_id") <= F.lit(edges[i + 1]))
-        # One file per chunk, written in order: the file source replays them in order.
-        part.select(*UPLOAD.fieldNames()).coalesce(1).write.parquet(f"{root}/src/chunk={i:04d}")
-    stream = spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1).parquet(f"{root}/src")
+    docs = inputs.table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     store = PaperStore(spark, f"{root}/store")
-    q = intake_stream.start_intake(stream, store, f"{root}/ckpt", available_now=True)
-    q.awaitTermination()
+    edges = [low + (high - low + 1) * k // WAVES for k in range(WAVES + 1)] if low is not None else []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        wave = inputs.uploads(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))).select(*UPLOAD.fieldNames())
+        wave.write.parquet(f"{root}/src/wave={k}")
+        stream = spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1 << 30).parquet(f"{root}/src")
+        intake_stream.start_intake(stream, store, f"{root}/ckpt", available_now=True).awaitTermination()
     return store.scan_papers().select("id", "content_hash", "source_type", "source_ref", "status", "raw_key")
 
 
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status log L as a stream; live summaries folded into papers."""
     root = _scratch(spark, "stream_fold")
-    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
-    log.repartitionByRange(STREAM_CHUNKS, "at").write.parquet(f"{root}/log")
-    # The state store has one partition per shuffle partition, fixed at the
-    # stream's first run; size it to the cluster's cores in a session of its
-    # own (same SparkContext, isolated SQL settings) instead of changing the
-    # caller's session.
-    own = spark.newSession()
-    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    q = status_stream.start_status(stream, f"{root}/status", f"{root}/ckpt", available_now=True)
+    events = inputs.table(spark, sf_dir, "events")
+    papers, log = inputs.status_log(events)
+    log.repartitionByRange(max(1, -(-events.count() // ROWS_PER_FILE)), "at").write.parquet(f"{root}/log")
+    own = status_stream.status_session(spark)
+    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/log")
+    q = status_stream.start_status(stream, f"{root}/status", f"{root}/ckpt", available_now=True, compact_every=2)
     q.awaitTermination()
     folded = lifecycle.apply_summary(papers, status_stream.latest_summaries(spark, f"{root}/status"))
     return folded.select(
@@ -306,6 +304,67 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def store_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L written in parts that know no order of time, papers registered in two
+    halves, the store compacted between any two writes: the same papers as one fold."""
+    store = PaperStore(spark, _scratch(spark, "store_late_rows"))
+    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
+    log = store.write_work(log, 0, "log")
+    papers = store.write_work(papers, 0, "papers")
+    late = F.col("content_hash") < F.lit("8")
+    part = F.pmod(F.col("seq"), F.lit(3))
+    store.append_papers(papers.where(~late), batch=1)
+    store.append_log(log.where(part == 2), batch=2, step=0)
+    store.compact()
+    store.append_log(log.where(part == 0), batch=3, step=1)
+    store.compact(rows_per_bucket=8)
+    store.append_papers(papers.where(late), batch=4)  # after the log rows that are about them
+    store.compact()
+    store.append_log(log.where(part == 1), batch=3, step=0)
+    f = store.scan_papers(with_attempts=True)
+    return f.select(
+        "id",
+        "status",
+        "schema_version",
+        "result_key",
+        "error",
+        F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at"),
+        F.col("attempts").cast("long").alias("attempts"),
+    )
+
+
+#: When the papers of L are looked at, and how they are retried, so that some are free, some held and some given up.
+LEASES_AT = "2024-01-31 00:00:00"
+LEASES = lifecycle.Retry(lease=6 * 3600, backoff=60, longest=43_200, attempts=20)
+
+
+def pending_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be taken up at ``LEASES_AT``: queued papers, expired leases, failed papers whose wait is over."""
+    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
+    log = log.withColumn("until", F.when(F.col("to_status") == F.lit("running"), lifecycle.later(F.col("at"), F.lit(LEASES.lease))))
+    f = lifecycle.fold_status(papers, log, with_attempts=True)
+    at = F.lit(LEASES_AT).cast("timestamp")
+    due = lifecycle.pending(f, retry_failed=True, at=at, retry=LEASES).select("id", F.lit(True).alias("pending"))
+    lost = lifecycle.stuck(f, at=at, retry=LEASES).select("id", F.lit(True).alias("stuck"))
+    rows = f.withColumn("next", lifecycle.next_attempt(LEASES)).join(due, "id", "left").join(lost, "id", "left")
+    return rows.select(
+        "id",
+        "status",
+        F.col("attempts").cast("long").alias("attempts"),
+        F.date_format("next", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("next_attempt"),
+        F.coalesce("pending", F.lit(False)).alias("pending"),
+        F.coalesce("stuck", F.lit(False)).alias("stuck"),
+    )
+
+
+def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U registered in one pass; the stored objects by key, with their size and digest as stored."""
+    store = PaperStore(spark, _scratch(spark, "raw_store"))
+    submit(store, _uploads(spark, sf_dir).select(*UPLOAD.fieldNames()), batch=1, replies=False)
+    stored = store.raw().select("content_hash", "raw_key", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    return stored.groupBy("content_hash", "raw_key", "bytes", "digest").agg(F.count(F.lit(1)).alias("n_uploads"))
+
+
 def process_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry points A then B: register U, then parse every pending paper from its TEI."""
     root = _scratch(spark, "process_papers")
@@ -384,6 +443,9 @@ QUERIES: dict[str, Query] = {
     # streams and jobs
     "stream_intake": stream_intake,
     "stream_fold": stream_fold,
+    "store_late_rows": store_late_rows,
+    "pending_leases": pending_leases,
+    "raw_store": raw_store,
     "process_papers": process_papers,
     "store_compact": store_compact,
 }

@@ -3,13 +3,12 @@
 O1 scan -> O7-O9 gate -> O10 keys -> O16 first-wins dedup -> O18 new papers
 -> O4 raw bytes -> O5 insert; O17 answers every upload.
 
-The bytes are read in the scan stage only, to check the magic number and
-hash them; the classified keys (no bytes) are written to the batch's work
-folder, so everything after reads a small, stable table. The raw write
-joins the scan with the new papers' paths: AQE broadcasts that side when
-its runtime size allows, else it sort-merges. As in a put-before-commit
-service, raw objects are written before the rows that point to them; a
-replay of the batch overwrites both.
+The bytes are read once, in the scan stage: one narrow job checks the magic
+number, hashes them and writes them with their keys (``PaperStore.write_raw``).
+Everything after reads the key columns of that table, so no exchange ever
+carries bytes, whatever the size of the batch. As in a put-before-commit
+service, raw objects are written before the rows that point to them; a replay
+of the batch overwrites both.
 """
 
 from __future__ import annotations
@@ -32,21 +31,13 @@ def submit(
     Returns the replies (one per upload), written to the batch's work folder,
     or None with ``replies=False`` (a stream has no caller to answer).
     """
-    keys = store.write_work(intake.classify_keys(uploads, max_bytes), batch, "keys")
+    keys = store.write_raw(intake.classify_raw(uploads, max_bytes), batch).drop("content")
     ok = keys.where(F.col("reject_reason").isNull())
 
     # Only this batch's hashes are looked up: the store is probed, not folded whole.
     before = store.scan_papers(exclude=batch, only=ok.select("content_hash"))
     new = intake.new_papers(intake.dedup_batch(ok), before)
     new = store.write_work(new, batch, "new")
-
-    # Only files within the cap can be new papers: the size filter keeps the
-    # bytes of over-size files unread here too.
-    within = uploads.where(intake.size_ok(F.col("length"), max_bytes))
-    raw = within.join(new.select("path", "content_hash"), "path").select(
-        "content_hash", intake.raw_key(F.col("content_hash")).alias("raw_key"), "content"
-    )
-    store.write_raw(raw, batch)
     store.append_papers(intake.paper_rows(new), batch)
     if not replies:
         return None

@@ -50,6 +50,28 @@ STATUS_LOG = T.StructType(
     ]
 )
 
+# A log row may end its own effect: a ``running`` row holds its paper until then (a lease), a
+# ``failed`` row keeps it from the next attempt until then. Logs without the column have NULL there.
+UNTIL = T.StructField("until", T.TimestampType(), True)
+
+# What the fold keeps of the log for each paper: the latest value of each column with the key
+# ``(at, seq)`` that set it, so that two summaries merge into that of both logs.
+_KEY = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("seq", T.LongType())])
+SUMMARY = T.StructType(
+    [
+        T.StructField("paper_id", T.StringType()),
+        T.StructField("_k", _KEY),
+        T.StructField("_status", T.StringType()),
+        T.StructField("_until", T.TimestampType()),
+        T.StructField("_done_k", _KEY),
+        T.StructField("_sv", T.StringType()),
+        T.StructField("_rk", T.StringType()),
+        T.StructField("_close_k", _KEY),
+        T.StructField("_err", T.StringType()),
+        T.StructField("_attempts", T.LongType()),
+    ]
+)
+
 UPLOAD = T.StructType(
     [
         T.StructField("path", T.StringType(), False),

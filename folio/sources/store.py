@@ -5,28 +5,43 @@ replayed batch rewrites the same files instead of adding a copy)::
 
     root/papers/batch=N/                 inserted rows (O5)
     root/log/step=S/batch=N/             status-log rows (O19), S orders steps in a batch
-    root/raw/batch=N/                    content-addressed bytes, files sorted by hash (O4)
+    root/raw/batch=N/                    the batch's uploads, content-addressed bytes among them (O4)
     root/result/batch=N/                 Documents with their result key (O6)
-    root/base/v=K/data, v=K/included     compacted fold and the batches it holds
+    root/base/v=K/papers, v=K/summary    inserted rows and log summaries up to there, by bucket
+    root/base/v=K/included               the batches that base K holds
     root/_work/batch=N/<name>/           intermediate tables of batch N
 
 ``scan_papers`` (O3) is the fold (O20) of the newest base with the inserts
-and log rows after it. No row is ever updated in place.
+and log rows after it. No row is ever updated in place. A base keeps inserted
+rows and *mergeable* log summaries (with the keys that order them, also of ids
+that have no paper yet), so it makes no difference when compactions run: late
+rows, late registrations and attempts fold as they would without them.
+
+Key index: a base is partitioned by a bucket of the paper's id, as many as keep
+about ``rows_per_bucket`` papers each. A content hash gives the id, so lookups by
+id and by hash both name their buckets, and files of other buckets are pruned
+before the scan; a batch of keys reads the buckets that it has keys in. Files
+after the base carry Parquet Bloom filters on their keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.operators import intake, lifecycle
-from folio.schemas import PAPERS, STATUS_LOG
+from folio.schemas import PAPERS, STATUS_LOG, SUMMARY, UNTIL, UPLOAD
 
+# Every upload of a batch; the last three columns are NULL for rejected ones.
 RAW = T.StructType(
     [
-        T.StructField("content_hash", T.StringType(), False),
-        T.StructField("raw_key", T.StringType(), False),
+        *[f for f in UPLOAD.fields if f.name != "content"],
+        T.StructField("reject_reason", T.StringType(), True),
+        T.StructField("content_hash", T.StringType(), True),
+        T.StructField("raw_key", T.StringType(), True),
         T.StructField("content", T.BinaryType(), True),
     ]
 )
@@ -40,7 +55,10 @@ def _with(schema: T.StructType, *extra: tuple[str, T.DataType]) -> T.StructType:
 
 
 INSERTS_SCHEMA = _with(PAPERS, ("batch", T.LongType()))
-LOG_SCHEMA = _with(STATUS_LOG, ("batch", T.LongType()), ("step", T.IntegerType()))
+LOG_COLUMNS = [*STATUS_LOG.fieldNames(), UNTIL.name]
+LOG_SCHEMA = _with(STATUS_LOG, (UNTIL.name, UNTIL.dataType), ("batch", T.LongType()), ("step", T.IntegerType()))
+BUCKET = "bucket"
+MOST_DIGITS = 4
 
 
 Ranges = list[tuple[int, int]]  # closed ranges of batch numbers
@@ -61,6 +79,17 @@ def _holds(ranges: Ranges, n: int) -> bool:
     return any(lo <= n <= hi for lo, hi in ranges)
 
 
+def bucket_of(paper_id: Column, digits: int) -> Column:
+    """The base's partition of a paper: the first hex digits of a hash of its id, which need not be one itself."""
+    return F.substring(F.sha2(paper_id, 256), 1, digits)
+
+
+def _blooms(*columns: str) -> dict[str, str]:
+    """Parquet options for Bloom filters of adaptive size."""
+    out = {"parquet.bloom.filter.adaptive.enabled": "true"}
+    return out | {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
 class PaperStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -139,8 +168,9 @@ class PaperStore:
 
     # ---------------------------------------------------------- compaction --
     #
-    # A base is ``base/v=K/data`` (the folded papers) plus ``base/v=K/included``
-    # (which batches of ``papers`` and of each log step it holds, as ranges).
+    # A base is ``base/v=K/papers``, ``base/v=K/summary`` and
+    # ``base/v=K/included`` (which batches of ``papers`` and of each log step
+    # it holds, as ranges).
     # Reads take the newest complete base and every committed folder it does
     # not hold, so a batch or a later step that commits during or after a
     # compaction is read on top of the base, and writers that number their
@@ -166,12 +196,28 @@ class PaperStore:
             return v, held
         return 0, {}
 
-    def _with_base(self, version: int, inserts: DataFrame) -> DataFrame:
-        inserts = inserts.select(*PAPERS.fieldNames())
+    def _digits(self, version: int) -> int:
+        """Hex digits of the base's buckets, from the name of any of its folders."""
+        p, fs = self._fs_path(f"{self.root}/base/v={version}/papers")
+        names = (st.getPath().getName() for st in fs.listStatus(p))
+        return next((len(n) - len(BUCKET) - 1 for n in names if n.startswith(f"{BUCKET}=")), 0)
+
+    def base_table(self, version: int, table: str, buckets: list[str] | None = None) -> DataFrame:
+        """``papers`` or ``summary`` of a base, only these buckets if given (files of others are not listed for the scan)."""
+        schema = _with(PAPERS if table == "papers" else SUMMARY, (BUCKET, T.StringType()))
         if not version:
-            return inserts
-        data = self.spark.read.schema(_with(PAPERS)).parquet(f"{self.root}/base/v={version}/data")
-        return data.select(*PAPERS.fieldNames()).unionByName(inserts)
+            return self.spark.createDataFrame([], schema).drop(BUCKET)
+        df = self.spark.read.schema(schema).parquet(f"{self.root}/base/v={version}/{table}")
+        if buckets is not None:
+            df = df.where(F.col(BUCKET).isin(buckets) if buckets else F.lit(False))
+        return df.drop(BUCKET)
+
+    def _buckets(self, version: int, ids: DataFrame) -> list[str] | None:
+        """The buckets that ``ids`` (paper_id) fall in, at most all there are; None if the base has none."""
+        digits = self._digits(version) if version else 0
+        if not digits:
+            return None
+        return [r[0] for r in ids.select(bucket_of(F.col("paper_id"), digits)).distinct().collect()]
 
     def scan_papers(
         self,
@@ -179,6 +225,7 @@ class PaperStore:
         exclude: int | None = None,
         only: DataFrame | None = None,
         key: str = "content_hash",
+        with_attempts: bool = False,
     ) -> DataFrame:
         """O3: current ``papers``.
 
@@ -186,51 +233,83 @@ class PaperStore:
         except batch N's own writes, which is what a replay of batch N must
         see (several streams may write to one store under their own batch
         numbers). ``only``: just the papers whose ``key`` (``content_hash`` or
-        ``id``) is in that DataFrame, e.g. the hashes of one upload batch; the
-        inserts and the log are then probed with a semi-join against the batch
-        and only those papers are folded, instead of folding the whole store.
+        ``id``) is in that DataFrame, e.g. the hashes of one upload batch:
+        only their buckets of the base are read, and the rest is probed with a
+        semi-join against the batch, instead of folding the whole store.
+        ``with_attempts``: see ``lifecycle.apply_summary``.
         """
         version, held = self._base(before, exclude)
-        inserts = self._with_base(version, self.inserts(held, before=before, exclude=exclude))
-        log = self.log(held, before=before, exclude=exclude).select(*STATUS_LOG.fieldNames())
-        if only is not None:
-            inserts = inserts.join(only.select(key).distinct(), key, "left_semi")
-            # The ids come from the small batch itself (a stored paper's id is
-            # derived from its hash), so the log is probed with a side whose
-            # size the planner knows, not with the result of a join.
-            if key == "content_hash":
-                ids = only.select(intake.paper_id(F.col("content_hash")).alias("paper_id"))
-            else:
-                ids = only.select(F.col("id").alias("paper_id"))
-            log = log.join(ids.distinct(), "paper_id", "left_semi")
-        return lifecycle.fold_status(inserts, log)
-
-    def compact(self) -> int:
-        """Fold every folder committed so far into a new base; returns its version.
-
-        Exactly the listed folders are folded and recorded (run one compaction
+        inserts = self.inserts(held, before=before, exclude=exclude).select(*PAPERS.fieldNames())
+        log = self.log(held, before=before, exclude=exclude).select(*LOG_COLUMNS)
+        if only is None:
+            inserts = self.base_table(version, "papers").unionByName(inserts)
+            return lifecycle.fold_status(inserts, log, with_attempts, self.base_table(version, "summary"))
+        # The ids come from the small batch itself (a stored paper's id is
+        # derived from its hash), so all tables are probed with a side whose
+        # size the planner knows, not with the result of a join.
+        named = intake.paper_id(F.col("content_hash")) if key == "content_hash" else F.col("id")
+        ids = only.select(named.alias("paper_id")).where(F.col("paper_id").isNotNull()).distinct()
+        buckets = self._buckets(version, ids)
+        inserts = self.base_table(version, "papers", buckets).unionByName(inserts)
+        summary = self.base_table(version, "summary", buckets)
+        return lifecycle.fold_status(
+            inserts.join(ids.withColumnRenamed("paper_id", "id"), "id", "left_semi"),
+            log.join(ids, "paper_id", "left_semi"),
+            with_attempts,
+            summary.join(ids, "paper_id", "left_semi"),
+        )
+
+    def paper(self, paper_id: str | None = None, content_hash: str | None = None) -> DataFrame:
+        """One current paper; its key is a literal that prunes buckets, files and row groups."""
+        if paper_id is None:
+            paper_id = self.spark.range(1).select(intake.paper_id(F.lit(content_hash))).first()[0]
+        version, held = self._base()
+        buckets = self._buckets(version, self.spark.createDataFrame([(paper_id,)], "paper_id string"))
+        inserts = self.inserts(held).select(*PAPERS.fieldNames())
+        own = self.base_table(version, "papers", buckets).unionByName(inserts).where(F.col("id") == F.lit(paper_id))
+        log = self.log(held).select(*LOG_COLUMNS).where(F.col("paper_id") == F.lit(paper_id))
+        summary = self.base_table(version, "summary", buckets).where(F.col("paper_id") == F.lit(paper_id))
+        return lifecycle.fold_status(own, log, base=summary)
+
+    def compact(self, rows_per_bucket: int = 1 << 20) -> int:
+        """Merge every folder committed so far into a new base; returns its version.
+
+        Exactly the listed folders are merged and recorded (run one compaction
         at a time).
         """
         version, held = self._base()
         new_papers, new_log = self._folders("papers", held), self._folders("log", held)
-        inserts = self._with_base(version, self._scan("papers", INSERTS_SCHEMA, new_papers))
-        log = self._scan("log", LOG_SCHEMA, new_log).select(*STATUS_LOG.fieldNames())
+        inserts = self._scan("papers", INSERTS_SCHEMA, new_papers).select(*PAPERS.fieldNames())
+        inserts = self.base_table(version, "papers").unionByName(inserts)
+        log = self._scan("log", LOG_SCHEMA, new_log).select(*LOG_COLUMNS)
+        summary = lifecycle.summarise_log(log, self.base_table(version, "summary"))
+        # From the files' footers.
+        rows = inserts.count()
+        digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(1, rows / rows_per_bucket), 16))))
         target = f"{self.root}/base/v={version + 1}"
-        lifecycle.fold_status(inserts, log).write.mode("overwrite").parquet(f"{target}/data")
-        rows = []
+        for df, table, key in ((inserts, "papers", "id"), (summary, "summary", "paper_id")):
+            bucketed = df.withColumn(BUCKET, bucket_of(F.col(key), digits))
+            bucketed.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).options(**_blooms(key)).parquet(f"{target}/{table}")
+        held_rows = []
         for key in held.keys() | new_papers.keys() | new_log.keys():
             new = new_papers.get(key, []) + new_log.get(key, [])
-            rows += [(*key, lo, hi) for lo, hi in _merge(held.get(key, []) + [(b, b) for b in new])]
-        included = self.spark.createDataFrame(rows, "tbl string, step int, lo long, hi long")
+            held_rows += [(*key, lo, hi) for lo, hi in _merge(held.get(key, []) + [(b, b) for b in new])]
+        included = self.spark.createDataFrame(held_rows, "tbl string, step int, lo long, hi long")
         included.coalesce(1).write.mode("overwrite").parquet(f"{target}/included")
         return version + 1
 
+    def uploads(self, batch: int) -> DataFrame:
+        """The uploads of a batch as ``write_raw`` took them (``schemas.RAW``); reading keys reads no bytes."""
+        return self._read("raw", _with(RAW, ("batch", T.LongType())), [f"raw/batch={batch}"]).drop("batch")
+
     def raw(self) -> DataFrame:
-        return self._scan("raw", _with(RAW, ("batch", T.LongType())), self._folders("raw"))
+        """Content-addressed bytes: a row for each accepted upload, so bytes sent twice may be there twice."""
+        every = self._scan("raw", _with(RAW, ("batch", T.LongType())), self._folders("raw"))
+        return every.where(F.col("content_hash").isNotNull()).select("content_hash", "raw_key", "length", "content", "batch")
 
     def raw_content(self, content_hash: str) -> DataFrame:
-        """One object by key: the hash filter is pushed to Parquet, and files
-        sorted by hash let row-group statistics skip everything else."""
+        """One object by key: the filter is pushed to Parquet, whose Bloom filters
+        and statistics leave out the row groups that do not have the hash."""
         return (
             self.raw()
             .where(F.col("content_hash") == F.lit(content_hash))
@@ -253,26 +332,28 @@ class PaperStore:
 
     def append_papers(self, rows: DataFrame, batch: int) -> None:
         """Insert rows of one batch (replay-safe: the batch folder is overwritten)."""
-        rows.select(*PAPERS.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/papers/batch={batch}")
+        out = rows.select(*PAPERS.fieldNames()).write.mode("overwrite").options(**_blooms("id", "content_hash"))
+        out.parquet(f"{self.root}/papers/batch={batch}")
 
     def append_log(self, rows: DataFrame, batch: int, step: int) -> None:
-        rows.select(*STATUS_LOG.fieldNames()).write.mode("overwrite").parquet(
-            f"{self.root}/log/step={step}/batch={batch}"
-        )
-
-    def write_raw(self, rows: DataFrame, batch: int) -> None:
-        """Content-addressed bytes of one batch, each file sorted by hash.
-
-        Not partitioned by a hash prefix: with thousands of write tasks that
-        would make one small file per object. Sorting within files keeps a
-        lookup by key to the row groups whose hash range covers it.
+        if UNTIL.name not in rows.columns:
+            rows = rows.withColumn(UNTIL.name, F.lit(None).cast(UNTIL.dataType))
+        out = rows.select(*LOG_COLUMNS).write.mode("overwrite").options(**_blooms("paper_id"))
+        out.parquet(f"{self.root}/log/step={step}/batch={batch}")
+
+    def write_raw(self, classified: DataFrame, batch: int) -> DataFrame:
+        """The classified uploads of one batch, bytes of the accepted ones included, in one
+        pass over the scan that brings them; returns the written rows.
+
+        The write is a narrow job: no bytes cross an exchange, and nothing else reads
+        them. Keys, deduplication and inserts read the key columns back from here.
+        As in a put before a commit, objects whose rows are never inserted are harmless: they are
+        addressed by content. Not partitioned by a hash prefix: with thousands of write
+        tasks that would make one small file per object.
         """
-        (
-            rows.select("content_hash", "raw_key", "content")
-            .sortWithinPartitions("content_hash")
-            .write.mode("overwrite")
-            .parquet(f"{self.root}/raw/batch={batch}")
-        )
+        out = classified.select(*RAW.fieldNames()).write.mode("overwrite").options(**_blooms("content_hash"))
+        out.parquet(f"{self.root}/raw/batch={batch}")
+        return self.uploads(batch)
 
     def write_documents(self, docs: DataFrame, batch: int) -> None:
         """One row per Document with its ``result_key`` (and its JSON text)."""

@@ -1,12 +1,20 @@
 """Live paper status from the status-log stream.
 
-A streaming aggregation keeps one summary row per paper (the latest value
-of each column and the attempt count); each micro-batch emits only the
-papers it changed (update mode). Those rows are appended under
-``batch=N`` and the newest row per paper is the current summary, which
-``apply_summary`` joins to the inserted papers exactly as the batch fold
-does. State is one row per paper; on a cluster, use the RocksDB state
-store provider for large paper counts.
+A streaming aggregation keeps one summary row per paper (the latest value of
+each column with its key, and the attempt count), of fixed size however many
+log rows the paper has; each micro-batch emits only the papers it changed
+(update mode). Those rows are appended under ``batch=N`` and the newest row per
+paper is the current summary, which ``apply_summary`` joins to the inserted
+papers exactly as the batch fold does. ``compact_summaries`` replaces the
+snapshots so far by their newest rows.
+
+A replayed batch writes its log folder again, under new file names, so the
+stream sees its rows twice. They are known by ``(paper_id, batch, step, seq)``:
+a second copy that arrives within ``REPLAY`` of the first is dropped, and that
+state is let go of with the watermark on the time of arrival (the files' own;
+the time that a row is *about* can be any, late rows are folded by it).
+
+State is kept by the RocksDB provider, set in a session of the stream's own.
 """
 
 from __future__ import annotations
@@ -17,19 +25,37 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.operators import lifecycle
-from folio.schemas import STATUS_LOG
+from folio.schemas import STATUS_LOG, UNTIL
 from folio.sources.store import PaperStore
 
+REPLAY = "1 day"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def status_session(spark: SparkSession) -> SparkSession:
+    """A session for a status stream: same context, own SQL settings.
+
+    The state store has one partition per shuffle partition, fixed at the
+    stream's first run, so it is sized to the cluster's cores.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
 
-def stream_store_log(spark: SparkSession, store: PaperStore, max_files_per_trigger: int = 100) -> DataFrame:
-    """The store's status log as a stream (new ``step=S/batch=N`` files as they land, with both columns)."""
-    schema = T.StructType(STATUS_LOG.fields + [T.StructField("batch", T.LongType()), T.StructField("step", T.IntegerType())])
-    return (
-        spark.readStream.schema(schema)
+def stream_store_log(spark: SparkSession, store: PaperStore, max_files_per_trigger: int = 100, replay: str = REPLAY) -> DataFrame:
+    """The store's status log as a stream: new ``step=S/batch=N`` files as they land, each row once."""
+    schema = T.StructType([*STATUS_LOG.fields, UNTIL, T.StructField("batch", T.LongType()), T.StructField("step", T.IntegerType())])
+    log = (
+        status_session(spark)
+        .readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .option("basePath", f"{store.root}/log")
         .parquet(f"{store.root}/log")
     )
+    arrived = log.withColumn("arrived", F.col("_metadata.file_modification_time")).withWatermark("arrived", replay)
+    return arrived.dropDuplicatesWithinWatermark(["paper_id", "batch", "step", "seq"]).drop("arrived")
 
 
 def stream_status(log_stream: DataFrame) -> DataFrame:
@@ -37,9 +63,11 @@ def stream_status(log_stream: DataFrame) -> DataFrame:
     return lifecycle.summarise_log(log_stream)
 
 
-def start_status(log_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def start_status(log_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = False, compact_every: int | None = None) -> StreamingQuery:
     def write(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_summaries(batch_df.sparkSession, out_path)
 
     w = (
         stream_status(log_stream)
@@ -52,9 +80,35 @@ def start_status(log_stream: DataFrame, out_path: str, checkpoint: str, availabl
     return w.start()
 
 
+def _snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Summary rows with the batch that wrote them, and the last batch: of the newest base and the batches after it."""
+    files = PaperStore(spark, path)
+    upto = max((n for n in files._children("base", "upto") if files.exists(f"base/upto={n}/_SUCCESS")), default=-1)
+    batches = files._batches("", after=upto)
+    parts = [spark.read.parquet(f"{path}/batch={n}").withColumn("batch", F.lit(n).cast("long")) for n in batches]
+    if upto >= 0:
+        parts.append(spark.read.parquet(f"{path}/base/upto={upto}").withColumn("batch", F.lit(upto).cast("long")))
+    if not parts:
+        raise FileNotFoundError(path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, max([upto, *batches])
+
+
 def latest_summaries(spark: SparkSession, path: str) -> DataFrame:
     """The newest summary row per paper (partial aggregation, one shuffle)."""
-    snap = spark.read.parquet(path)
+    return _newest(_snapshots(spark, path)[0])
+
+
+def _newest(snap: DataFrame) -> DataFrame:
     cols = [c for c in snap.columns if c not in ("paper_id", "batch")]
     latest = F.max_by(F.struct(*cols), F.col("batch")).alias("s")
     return snap.groupBy("paper_id").agg(latest).select("paper_id", "s.*")
+
+
+def compact_summaries(spark: SparkSession, path: str) -> int:
+    """Write the newest row per paper as a base; later reads take it and the batches after it. Returns the last batch in it."""
+    snap, last = _snapshots(spark, path)
+    _newest(snap).write.mode("overwrite").parquet(f"{path}/base/upto={last}")
+    return last

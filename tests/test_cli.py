@@ -18,8 +18,9 @@ def test_submit_process_get_compact(spark, capsys):
         f.write(b"hello")
     store = tempfile.mkdtemp(prefix="folio-cli-store-")
 
-    assert main(["submit", "--store", store, "--uploads", src, "--batch", "1"], spark) == 0
-    replies = {json.loads(x)["path"].rsplit("/", 1)[-1]: json.loads(x) for x in capsys.readouterr().out.splitlines()}
+    out = tempfile.mkdtemp(prefix="folio-cli-replies-") + "/r"
+    assert main(["submit", "--store", store, "--uploads", src, "--batch", "1", "--replies", out], spark) == 0
+    replies = {json.loads(r.value)["path"].rsplit("/", 1)[-1]: json.loads(r.value) for r in spark.read.text(out).collect()}
     assert replies["paper.pdf"]["outcome"] == "accepted" and replies["note.txt"]["outcome"] == "rejected"
 
     h = hashlib.sha256(b"%PDF-cli").hexdigest()
@@ -37,6 +38,8 @@ def test_submit_process_get_compact(spark, capsys):
     assert main(["get", "--store", store, "--id", "nope"], spark) == 1
     capsys.readouterr()
 
+    assert main(["stuck", "--store", store], spark) == 0
+    assert capsys.readouterr().out == ""
     assert main(["compact", "--store", store], spark) == 0
     assert json.loads(capsys.readouterr().out) == {"base_version": 1}
     assert main(["get", "--store", store, "--id", view["id"]], spark) == 0

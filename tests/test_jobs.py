@@ -78,7 +78,8 @@ def test_submit_then_replay_is_idempotent(spark, files):
 
     # replaying batch 1 rewrites the same folders: same papers, no copies
     submit(store, up, batch=1, max_bytes=CAP)
-    assert store.scan_papers().count() == 2 and store.raw().count() == 2
+    assert store.scan_papers().count() == 2
+    assert sorted(r.content_hash for r in store.raw().collect()) == sorted([_h(b"%PDF-same bytes")] * 2 + [_h(b"%PDF-unique")])
 
     # a later batch with the same files: everything already known
     again = submit(store, up, batch=2, max_bytes=CAP).where(F.col("outcome") != "rejected").collect()
@@ -220,6 +221,93 @@ def test_compaction_between_steps_and_during_an_insert(spark, files):
     assert store._base()[1][("papers", -1)] == [(1, 1), (3, 3)]
 
 
+def test_lost_job_frees_its_papers_when_the_lease_ends(spark, files):
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    submit(store, upload_source.scan_uploads(spark, files, CAP), batch=1, max_bytes=CAP)
+    ids = store.write_work(store.scan_papers().select(F.col("id").alias("paper_id")), 1, "ids")
+    now = F.current_timestamp()
+    # a job that died after its running rows: one lease is over, the other is not
+    over = F.when(F.col("paper_id") == ids.orderBy("paper_id").first()[0], F.lit(-60)).otherwise(F.lit(3600))
+    store.append_log(lifecycle.mark_running(ids, until=lifecycle.later(now, over)), batch=2, step=0)
+    lost = [r.id for r in lifecycle.stuck(store.scan_papers(with_attempts=True)).collect()]
+    assert lost == [ids.orderBy("paper_id").first()[0]]
+    both = spark.createDataFrame([(_h(b"%PDF-same bytes"), GOOD), (_h(b"%PDF-unique"), GOOD)], "source_hash string, tei string")
+    assert [r.paper_id for r in process(store, both, batch=3).collect()] == lost
+    after = {p.id: (p.status, p.attempts) for p in store.scan_papers(with_attempts=True).collect()}
+    assert sorted(after.values()) == [("done", 2), ("running", 1)]
+
+
+def test_failed_papers_wait_longer_each_time(spark, files):
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    submit(store, upload_source.scan_uploads(spark, files, CAP), batch=1, max_bytes=CAP)
+    bad = spark.createDataFrame([(_h(b"%PDF-unique"), "<TEI>")], "source_hash string, tei string")
+    retry = lifecycle.Retry(backoff=1000, attempts=3)
+    assert process(store, bad, batch=2, retry=retry).count() == 1
+    f = store.scan_papers(with_attempts=True).where("status = 'failed'")
+    assert f.select(((F.unix_micros("until") - F.unix_micros("updated_at")) / 1_000_000).cast("int")).first()[0] == 1000
+    assert process(store, bad, batch=3, retry_failed=True, retry=retry).count() == 0
+    for tries, seconds in ((1, 1000), (2, 2000), (5, 16_000), (60, 86_400)):
+        assert spark.range(1).select(lifecycle.wait(F.lit(tries), retry)).first()[0] == seconds
+    in_time = lifecycle.pending(f, retry_failed=True, at=lifecycle.later(F.current_timestamp(), F.lit(1100)), retry=retry)
+    assert in_time.count() == 1
+    assert lifecycle.pending(f.withColumn("attempts", F.lit(3).cast("long")).withColumn("until", F.lit(None).cast("timestamp")), True, retry=retry).count() == 0
+
+
+def test_no_exchange_carries_bytes(spark, files):
+    """The one job that reads bytes has no exchange; what follows reads keys only, broadcast joins or not."""
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        up = upload_source.list_uploads(spark, files)
+        raw = intake.classify_raw(up, CAP)
+        plan = raw._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "content:binary" in plan
+        submit(store, up, batch=1, max_bytes=CAP)
+        known = store.scan_papers(only=store.uploads(1).select("content_hash"))
+        new = intake.new_papers(intake.dedup_batch(store.uploads(1).where("content_hash is not null")), known)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "content:binary" not in plan and "content#" not in plan.replace("content_hash#", "")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert store.scan_papers().count() == 2
+
+
+def _scans(df):
+    """(files read, rows read) of the file scans of an executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.executedPlan().collectLeaves() if "Adaptive" in plan.getClass().getName() else plan.collectLeaves()
+    out = []
+    for i in range(leaves.size()):
+        m = leaves.apply(i).metrics()
+        if m.contains("numFiles"):
+            out.append((m.apply("numFiles").value(), m.apply("numOutputRows").value()))
+    return out
+
+
+def test_lookups_skip_the_files_of_other_buckets(spark):
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    firsts = spark.range(400).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.lit("x.pdf").alias("path"))
+    store.append_papers(intake.paper_rows(firsts), batch=1)
+    ids = store.scan_papers().select(F.col("id").alias("paper_id"))
+    store.append_log(lifecycle.mark_done(ids), batch=2, step=1)
+    version = store.compact(rows_per_bucket=2)
+    some = store.scan_papers().orderBy("id").limit(3).collect()
+    assert len(store._children("base", "v")) == 1 and store._digits(version) == 2
+    all_files = _scans(store.base_table(version, "papers"))[0][0]
+    for key in ("id", "content_hash"):
+        keys = spark.createDataFrame([(r[key],) for r in some], f"{key} string")
+        found = store.scan_papers(only=keys, key=key)
+        assert sorted(r.id for r in found.collect()) == sorted(r.id for r in some)
+        own = keys.select((intake.paper_id(F.col(key)) if key == "content_hash" else F.col(key)).alias("paper_id"))
+        files, rows = _scans(store.base_table(version, "papers", store._buckets(version, own)))[0]
+        assert files <= 3 < all_files and rows < 40
+    one = store.paper(content_hash=some[0].content_hash).collect()
+    assert [(r.id, r.status) for r in one] == [(some[0].id, "done")] == [(r.id, r.status) for r in store.paper(paper_id=some[0].id).collect()]
+    assert store.paper(paper_id="nope").count() == 0
+
+
 def test_unreachable_store_is_an_error(spark):
     with pytest.raises(Exception, match="(?i)nosuchscheme"):
         PaperStore(spark, "nosuchscheme://x/y").scan_papers()
