@@ -7,7 +7,10 @@ character data would:
 1. everything before the root element (XML declaration, comments,
    processing instructions, DOCTYPE, stray text) is removed, because
    ``from_xml`` rejects a document that starts with a declaration;
-2. whitespace-only gaps between tags get a private-use sentinel (U+E000)
+2. element names that equal a name of the schema but for their case, and
+   ``type`` attributes of another case, get an underscore: names are exact in
+   XML, while ``from_xml`` matches them by ``spark.sql.caseSensitive``;
+3. whitespace-only gaps between tags get a private-use sentinel (U+E000)
    appended, because ``from_xml`` otherwise drops them even with
    ``ignoreSurroundingSpaces=false``; the sentinel is deleted again after
    parsing (``direct_text``).
@@ -28,10 +31,19 @@ ESCAPED = ((ESCAPE, ESCAPE + "1"), (SENTINEL, ESCAPE + "0"))
 
 # Material a decoder skips before the root element. Possessive quantifiers
 # keep the pattern linear when no root follows.
-_PRELUDE = r"(?:[^<]++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*+>)*+"
+_PRELUDE = r"(?:[^<]++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>\[]*+(?:\[.*?\]\s*>|>))*+"
 PROLOG_RE = r"^(?s)" + _PRELUDE
 ROOT_RE = r"^(?s)" + _PRELUDE + r"<(?:[\w.-]+:)?([\w.-]+)"
 GAP_RE = r">(\s+)<"
+# Names read from TEI (fixed values), and a tag with one of them in another case.
+NAMES = (
+    "TEI teiHeader fileDesc titleStmt title sourceDesc biblStruct analytic author persName forename surname "
+    "idno text front abstract div p body head back listBibl"
+).split()
+_ANY = "|".join(NAMES)
+_OTHER_CASE = rf"(?!(?:{_ANY})[\s/>])(?i:{_ANY})(?=[\s/>])"
+OTHER_CASE_RE = rf"<(/?)((?:[\w.-]+:)?)({_OTHER_CASE})"
+OTHER_TYPE_RE = r"(<(?:[\w.-]+:)?idno\s[^>]*?)\b(?!type\b)((?i:type)\s*=)"
 DECLARATION_RE = r"^(?s)[^<]*+<\?xml\s(.*?)\?>"
 
 
@@ -39,10 +51,12 @@ def norm_tei(c: Column) -> Column:
     stripped = F.regexp_replace(c, PROLOG_RE, "")
     for own, code in ESCAPED:
         stripped = F.replace(stripped, F.lit(own), F.lit(code))
+    # Rare, so only texts that have one are rewritten.
+    for found, marked in ((OTHER_CASE_RE, "<$1$2_$3"), (OTHER_TYPE_RE, "$1_$2")):
+        stripped = F.when(stripped.rlike(found), F.regexp_replace(stripped, found, marked)).otherwise(stripped)
     return F.regexp_replace(stripped, GAP_RE, ">$1" + SENTINEL + "<")
 
 
-
 def root_name(c: Column) -> Column:
     """Local name of the first element, '' when there is none."""
     return F.regexp_extract(c, ROOT_RE, 1)

@@ -85,33 +85,33 @@ def paper_view(papers: DataFrame, with_json: bool = True) -> DataFrame:
 
 
 def audit_papers(papers: DataFrame) -> DataFrame:
-    """Violations of the table constraints, one row per rule.
+    """Violations of the table constraints, one row per rule, from one scan.
 
-    Row rules (NOT NULL, CHECK domains) are counted in one pass; each
-    UNIQUE/PRIMARY KEY rule is ``rows - distinct keys`` over non-NULL keys,
-    computed with a per-key count that aggregates partially before the
-    shuffle.
+    One aggregate over three grouping sets: all rows for the row rules (NOT
+    NULL, CHECK domains), each id and each hash for the two keys, whose
+    violations are ``rows - distinct keys`` over non-NULL keys. Only the keys and the
+    rules' outcomes reach it, reduced in the tasks before the shuffle.
     """
     not_null = ("id", "content_hash", "source_type", "status", "raw_key", "created_at", "updated_at")
-    checks = [(f"{c} not null", F.count_if(F.col(c).isNull())) for c in not_null]
-    checks.append(
-        ("source_type in domain", F.count_if(~F.col("source_type").isin(*SOURCE_TYPES)))
+    rules = {f"{c} not null": F.col(c).isNull() for c in not_null}
+    rules["source_type in domain"] = ~F.col("source_type").isin(*SOURCE_TYPES)
+    rules["status in domain"] = ~F.col("status").isin(*STATUSES)
+    broken = [F.coalesce(e, F.lit(False)).cast("long").alias(f"r{i}") for i, e in enumerate(rules.values())]
+    rows = papers.select("id", "content_hash", *broken)
+    sums = [F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))]
+    keys = ("id", "content_hash")
+    grouped = rows.groupingSets([[F.col("id")], [F.col("content_hash")], []], *keys).agg(
+        *[F.grouping(k).alias(f"no_{k}") for k in keys], F.count(F.lit(1)).alias("n"), *sums
     )
-    checks.append(("status in domain", F.count_if(~F.col("status").isin(*STATUSES))))
-    row_rules = papers.agg(*[e.alias(f"r{i}") for i, (_, e) in enumerate(checks)])
-    stacked = row_rules.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations")) for i, (name, _) in enumerate(checks)])
-        ).alias("x")
-    ).select("x.rule", "x.violations")
-
-    def dupes(key: str, rule: str) -> DataFrame:
-        per_key = papers.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
-            F.lit(rule).alias("rule"), "violations"
-        )
-
-    return stacked.unionByName(dupes("id", "id unique")).unionByName(dupes("content_hash", "content_hash unique"))
+    of_id = (F.col("no_id") == 0) & F.col("id").isNotNull()
+    of_hash = (F.col("no_content_hash") == 0) & F.col("content_hash").isNotNull()
+    of_all = (F.col("no_id") == 1) & (F.col("no_content_hash") == 1)
+    counts = {name: F.max(F.when(of_all, F.col(f"r{i}"))) for i, name in enumerate(rules)}
+    counts["id unique"] = F.sum(F.when(of_id, F.col("n") - 1))
+    counts["content_hash unique"] = F.sum(F.when(of_hash, F.col("n") - 1))
+    one = grouped.agg(*[F.coalesce(e, F.lit(0)).alias(f"c{i}") for i, e in enumerate(counts.values())])
+    entries = [F.struct(F.lit(name).alias("rule"), F.col(f"c{i}").alias("violations")) for i, name in enumerate(counts)]
+    return one.select(F.inline(F.array(*entries)))
 
 
 # ----------------------------------------------------------- O19 writers ----

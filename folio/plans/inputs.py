@@ -80,7 +80,7 @@ def tei_document(doc_id: Column, text: Column, lang: Column, source: Column) ->
 
     The text comes before the header, and what must not be read stands beside
     what must: nested divs, ``monogr`` titles and ids, a title before the last,
-    analytic, abstract and ``listBibl`` blocks more than once.
+    names of another case, a DOCTYPE with a subset, analytic, abstract and ``listBibl`` blocks more than once.
     """
     lines = F.split(text, "\n", -1)
     first = xml_escape(F.get(lines, 0))
@@ -90,6 +90,7 @@ def tei_document(doc_id: Column, text: Column, lang: Column, source: Column) ->
         inner = F.when(i % 7 == 3, F.lit("<div><head>inner</head><p>not read</p></div>")).otherwise("")
         head = F.when(i % 3 == 0, _el("head", " L", i.cast("string"), " ")).otherwise("")
         blank = F.when(i % 5 == 4, F.lit("<div><head>\n</head><p/></div>\n")).otherwise("")
+        blank = F.concat(blank, F.when(i % 7 == 5, F.lit("<DIV><head>other</head><p>not read</p></DIV><div><HEAD>no</HEAD><P>no</P></div>")).otherwise(""))
         return F.concat(blank, _el("div", inner, _el("p", " ", xml_escape(line), " <ref>[1]</ref>"), head), F.lit("\n"))
 
     def doi(n: Column, kind: str) -> Column:
@@ -113,7 +114,7 @@ def tei_document(doc_id: Column, text: Column, lang: Column, source: Column) ->
     )
     source_desc = _el("sourceDesc", _el("biblStruct", "<monogr><title>Series</title></monogr>", full, more))
     return F.concat(
-        F.when(doc_id % 2 == 0, F.lit("<?xml version=\"1.0\" encoding=\"utf-8\"?><!-- made from a text -->\n")).otherwise(""),
+        F.when(doc_id % 2 == 0, F.lit("<?xml version=\"1.0\" encoding=\"utf-8\"?><!-- made from a text --><!DOCTYPE TEI [<!ENTITY x \"<html>\"> ]>\n")).otherwise(""),
         _el(
             "TEI",
             _el(
@@ -129,12 +130,13 @@ def tei_document(doc_id: Column, text: Column, lang: Column, source: Column) ->
 
 
 def broken(doc_id: Column, tei: Column) -> Column:
-    """T with a fault per row, by turns: no end tag, an unknown entity, a foreign encoding, a foreign version."""
+    """T with a fault per row, by turns: no end tag, an unknown entity, a foreign encoding, a root of another case, a foreign version."""
     body = F.regexp_replace(tei, r"^<\?xml[^>]*>", "")
     return (
-        F.when(doc_id % 4 == 0, F.regexp_replace(tei, "</TEI>$", ""))
-        .when(doc_id % 4 == 1, F.regexp_replace(tei, "</TEI>$", "&nosuch;</TEI>"))
-        .when(doc_id % 4 == 2, F.concat(F.lit("<?xml version='1.0' encoding='ISO-8859-1'?>"), body))
+        F.when(doc_id % 5 == 0, F.regexp_replace(tei, "</TEI>$", ""))
+        .when(doc_id % 5 == 1, F.regexp_replace(tei, "</TEI>$", "&nosuch;</TEI>"))
+        .when(doc_id % 5 == 3, F.regexp_replace(tei, "(</?)TEI", "$1Tei"))
+        .when(doc_id % 5 == 2, F.concat(F.lit("<?xml version='1.0' encoding='ISO-8859-1'?>"), body))
         .otherwise(F.concat(F.lit("<?xml version='1.1'?>"), body))
     )
 

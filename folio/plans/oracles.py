@@ -148,7 +148,8 @@ ORACLES: dict[str, str] = {
         FROM documents d LEFT JOIN md ON md.doc_id = d.doc_id LEFT JOIN nsec ON nsec.doc_id = d.doc_id""",
     "tei_reject": f"""
         SELECT 'broken' AS kind, doc_id AS row_id, false AS ok,
-               CASE doc_id % 4 WHEN 2 THEN 'unsupported XML encoding' WHEN 3 THEN 'unsupported XML version'
+               CASE doc_id % 5 WHEN 2 THEN 'unsupported XML encoding' WHEN 4 THEN 'unsupported XML version'
+                    WHEN 3 THEN 'expected element type <TEI> but have <Tei>'
                     ELSE 'XML syntax error' END AS parse_error
         FROM documents
         UNION ALL
@@ -203,20 +204,22 @@ ORACLES: dict[str, str] = {
         FROM folded""",
     "papers_audit": f"""
         WITH {_UPLOADS},
-          naive AS (SELECT id, content_hash, 'upload' AS source_type, 'queued' AS status, raw_key FROM keyed)
-        SELECT 'id not null' AS rule, CAST(count(*) FILTER (WHERE id IS NULL) AS BIGINT) AS violations FROM naive
-        UNION ALL SELECT 'content_hash not null', CAST(count(*) FILTER (WHERE content_hash IS NULL) AS BIGINT) FROM naive
-        UNION ALL SELECT 'source_type not null', CAST(count(*) FILTER (WHERE source_type IS NULL) AS BIGINT) FROM naive
-        UNION ALL SELECT 'status not null', CAST(count(*) FILTER (WHERE status IS NULL) AS BIGINT) FROM naive
-        UNION ALL SELECT 'raw_key not null', CAST(count(*) FILTER (WHERE raw_key IS NULL) AS BIGINT) FROM naive
-        UNION ALL SELECT 'created_at not null', CAST(0 AS BIGINT)
-        UNION ALL SELECT 'updated_at not null', CAST(0 AS BIGINT)
-        UNION ALL SELECT 'source_type in domain',
-              CAST(count(*) FILTER (WHERE source_type NOT IN ('upload', 'url', 'doi')) AS BIGINT) FROM naive
-        UNION ALL SELECT 'status in domain',
-              CAST(count(*) FILTER (WHERE status NOT IN ('queued', 'running', 'done', 'failed')) AS BIGINT) FROM naive
-        UNION ALL SELECT 'id unique', CAST(count(id) - count(DISTINCT id) AS BIGINT) FROM naive
-        UNION ALL SELECT 'content_hash unique', CAST(count(content_hash) - count(DISTINCT content_hash) AS BIGINT) FROM naive""",
+          n AS (
+            SELECT CASE WHEN doc_id % 17 <> 1 THEN id END AS id, CASE WHEN doc_id % 17 <> 2 THEN content_hash END AS content_hash,
+                   CASE doc_id % 17 WHEN 3 THEN 'email' WHEN 5 THEN NULL ELSE 'upload' END AS source_type,
+                   CASE doc_id % 17 WHEN 4 THEN 'parsing' WHEN 6 THEN NULL ELSE 'queued' END AS status,
+                   CASE WHEN doc_id % 17 <> 7 THEN raw_key END AS raw_key, doc_id % 17 = 8 AS no_created, doc_id % 17 = 9 AS no_updated
+            FROM keyed),
+          c AS (
+            SELECT count(*) FILTER (id IS NULL) AS "id not null", count(*) FILTER (content_hash IS NULL) AS "content_hash not null",
+                   count(*) FILTER (source_type IS NULL) AS "source_type not null", count(*) FILTER (status IS NULL) AS "status not null",
+                   count(*) FILTER (raw_key IS NULL) AS "raw_key not null", count(*) FILTER (no_created) AS "created_at not null",
+                   count(*) FILTER (no_updated) AS "updated_at not null",
+                   count(*) FILTER (source_type NOT IN ('upload', 'url', 'doi')) AS "source_type in domain",
+                   count(*) FILTER (status NOT IN ('queued', 'running', 'done', 'failed')) AS "status in domain",
+                   count(id) - count(DISTINCT id) AS "id unique", count(content_hash) - count(DISTINCT content_hash) AS "content_hash unique"
+            FROM n)
+        SELECT rule, CAST(violations AS BIGINT) AS violations FROM (UNPIVOT c ON COLUMNS(*) INTO NAME rule VALUE violations)""",
     "engine_features": """
         SELECT doc_id, CAST(n_chars % 64 AS INTEGER) AS want, 'grobid' AS engine
         FROM documents WHERE (CAST(n_chars % 64 AS INTEGER) & 7) <> 0""",
@@ -249,6 +252,33 @@ ORACLES["raw_store"] = f"""
     SELECT k.content_hash, k.raw_key, CAST(strlen(u.p) AS BIGINT) AS bytes, sha256(u.p) AS digest, count(*) AS n_uploads
     FROM keyed k JOIN up u ON u.doc_id = k.doc_id GROUP BY ALL"""
 _TRIES = "SELECT user_id, count(*) FILTER (WHERE to_status = 'running') AS n FROM lg GROUP BY user_id"
+ORACLES["tei_scan"] = """
+    SELECT kind, doc_id::VARCHAR AS paper_id, 'L' || doc_id AS title, false AS rejected
+    FROM documents, (VALUES ('string'), ('files')) k(kind)
+    UNION ALL
+    SELECT 'binary', doc_id::VARCHAR, CASE WHEN doc_id % 6 <> 0 THEN 'L' || doc_id END, doc_id % 6 = 0 FROM documents"""
+ORACLES["upload_scan"] = f"""
+    WITH u AS (SELECT doc_id, {_PAYLOAD} || chr(10) AS p FROM documents)
+    SELECT doc_id, CAST(strlen(p) AS BIGINT) AS length,
+           CASE WHEN strlen(p) > 20000 THEN 'expected a PDF in form field ''file'' (max 50MB)'
+                WHEN NOT starts_with(p, '%PDF-') THEN 'file is not a PDF' END AS reject_reason,
+           CASE WHEN strlen(p) <= 20000 AND starts_with(p, '%PDF-') THEN sha256(p) END AS content_hash
+    FROM u
+    UNION ALL
+    SELECT NULL, 0, 'file is not a PDF', NULL"""
+ORACLES["engine_python"] = f"""
+    WITH {_UPLOADS}
+    SELECT left(sha256('paper:' || f.content_hash), 32) AS id, CASE WHEN d.lang = 'de' THEN 'failed' ELSE 'done' END AS status,
+           CASE WHEN d.lang = 'de' THEN 'no engine for this language' END AS error,
+           CASE WHEN d.lang <> 'de' THEN 'plain' END AS engine, CASE WHEN d.lang <> 'de' THEN d.text END AS markdown
+    FROM firsts f JOIN documents d ON f.path = 'upload/' || d.doc_id || '.pdf'"""
+ORACLES["stream_parse"] = f"""
+    WITH {_UPLOADS}
+    SELECT left(sha256('paper:' || f.content_hash), 32) AS id,
+           CASE WHEN d.doc_id % 13 = 0 THEN 'queued' WHEN d.doc_id % 11 = 0 THEN 'failed' ELSE 'done' END AS status,
+           CASE WHEN d.doc_id % 13 <> 0 AND d.doc_id % 11 <> 0 THEN 'L' || d.doc_id END AS title,
+           CAST(CASE WHEN d.doc_id % 13 = 0 THEN 0 WHEN d.doc_id % 11 = 0 AND d.doc_id % 3 = 2 THEN 2 ELSE 1 END AS BIGINT) AS attempts
+    FROM firsts f JOIN documents d ON f.path = 'upload/' || d.doc_id || '.pdf'"""
 ORACLES["store_late_rows"] = f"""
     WITH {_LOG}, tries AS ({_TRIES})
     SELECT id, status, schema_version, result_key, error, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at,
@@ -284,7 +314,8 @@ ORACLES["process_papers"] = _MARKDOWN + f""",
            CASE WHEN f.status = 'done'
                 THEN 'result/' || left(sha256('paper:' || f.content_hash), 32) || '.json' END AS result_key,
            CASE WHEN f.status = 'failed'
-                THEN CASE f.doc_id % 4 WHEN 2 THEN 'unsupported XML encoding' WHEN 3 THEN 'unsupported XML version'
+                THEN CASE f.doc_id % 5 WHEN 2 THEN 'unsupported XML encoding' WHEN 4 THEN 'unsupported XML version'
+                     WHEN 3 THEN 'expected element type <TEI> but have <Tei>'
                      ELSE 'XML syntax error' END END AS error,
            CASE WHEN f.status = 'done' THEN {_trim('string_split(d.text, chr(10))[1]')} END AS title,
            CASE WHEN f.status = 'done' THEN CAST(coalesce(nsec.n, 0) AS BIGINT) END AS n_sections

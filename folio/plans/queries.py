@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import engines, intake, lifecycle, tei
@@ -19,9 +19,12 @@ from folio.plans.parallel import spread
 from folio.plans.process import process
 from folio.plans.submit import submit
 from folio.schemas import TEI_PARTS, UPLOAD
-from folio.session import checkpoint_root
+from folio.session import checkpoint_root, ship_package
+from folio.sources import tei as tei_source
+from folio.sources import uploads as uploads_source
 from folio.sources.store import PaperStore
 from folio.streaming import intake as intake_stream
+from folio.streaming import parse as parse_stream
 from folio.streaming import status as status_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,9 +199,21 @@ def paper_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O14 over a naive registration: every accepted upload inserted, no dedup."""
-    naive = intake.paper_rows(_keyed_accepted(spark, sf_dir).select("path", "content_hash"))
-    return lifecycle.audit_papers(naive).select("rule", F.col("violations").cast("long").alias("violations"))
+    """O14 over a naive registration: every accepted upload inserted, no dedup, and every rule broken by some rows."""
+    k = _keyed_accepted(spark, sf_dir).select("doc_id", "path", "content_hash")
+    fault = F.col("doc_id") % 17
+    rows = k.select("doc_id", intake.paper_id(F.col("content_hash")).alias("id"), "content_hash", intake.raw_key(F.col("content_hash")).alias("raw_key"))
+    at = F.timestamp_seconds(F.lit(1_704_067_200))
+    planted = rows.select(
+        F.when(fault != 1, F.col("id")).alias("id"),
+        F.when(fault != 2, F.col("content_hash")).alias("content_hash"),
+        F.when(fault == 3, F.lit("email")).when(fault != 5, F.lit("upload")).alias("source_type"),
+        F.when(fault == 4, F.lit("parsing")).when(fault != 6, F.lit("queued")).alias("status"),
+        F.when(fault != 7, F.col("raw_key")).alias("raw_key"),
+        F.when(fault != 8, at).alias("created_at"),
+        F.when(fault != 9, at).alias("updated_at"),
+    )
+    return lifecycle.audit_papers(planted).select("rule", F.col("violations").cast("long").alias("violations"))
 
 
 def engine_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,6 +380,117 @@ def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("content_hash", "raw_key", "bytes", "digest").agg(F.count(F.lit(1)).alias("n_uploads"))
 
 
+def upload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U as real files, one for each upload, and an empty one; some are over a small cap."""
+    root = _scratch(spark, "upload_scan")
+    u = _uploads(spark, sf_dir).select("doc_id", F.col("content").cast("string").alias("value"))
+    u.write.partitionBy("doc_id").text(f"{root}/files")
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/files/none")  # one file of no bytes
+    found = uploads_source.scan_classified(spark, f"{root}/files", inputs.GATE_MAX_BYTES, with_empty=True)
+    h = F.when(F.col("reject_reason").isNull(), intake.content_hash(F.col("content")))
+    doc_id = F.regexp_extract("path", r"doc_id=(\d+)/[^/]*$", 1)
+    return found.select(F.when(doc_id != "", doc_id).cast("long").alias("doc_id"), "length", "reject_reason", h.alias("content_hash"))
+
+
+def _title_tei(doc_id: Column) -> Column:
+    return F.concat(F.lit("<TEI><teiHeader><fileDesc><titleStmt><title>L"), doc_id.cast("string"), F.lit("</title></titleStmt></fileDesc></teiHeader></TEI>"))
+
+
+def tei_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: TEI from a table of strings, a table of bytes (some not UTF-8) and a folder of files, parsed."""
+    root = _scratch(spark, "tei_scan")
+    t = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "doc_id", _title_tei(F.col("doc_id")).alias("tei"))
+    none = F.lit(None).cast("string").alias("source_hash")
+    t.select("paper_id", none, "tei").write.parquet(f"{root}/string")
+    body = F.encode("tei", "UTF-8")
+    t.select("paper_id", none, F.when(F.col("doc_id") % 6 == 0, F.concat(body, F.lit(bytearray(b"\xc3\x28")))).otherwise(body).alias("tei")).write.parquet(f"{root}/binary")
+    t.select("paper_id", F.col("tei").alias("value")).write.partitionBy("paper_id").text(f"{root}/files")
+    kinds = {
+        "string": tei_source.scan_tei(spark, f"{root}/string"),
+        "binary": tei_source.scan_tei(spark, f"{root}/binary"),
+        "files": tei_source.scan_tei_files(spark, f"{root}/files", glob="*.txt"),
+    }
+    rows = None
+    for kind, df in kinds.items():
+        one = df.select(F.lit(kind).alias("kind"), "paper_id", "source_hash", "tei")
+        rows = one if rows is None else rows.unionByName(one)
+    d = tei.to_document(rows, keep=["kind", "paper_id"], parts=("title",))
+    return d.select("kind", "paper_id", F.col("metadata.title").alias("title"), F.col("parse_error").isNotNull().alias("rejected"))
+
+
+def _plain(batch):
+    """A Python engine's function: Markdown is the input without its language mark; one language is refused."""
+    import pandas as pd
+
+    lang = batch["tei"].str.slice(0, 2)
+    refused = lang == "de"
+    return pd.DataFrame(
+        {
+            "markdown": batch["tei"].str.slice(3).where(~refused, None),
+            "parse_error": pd.Series("no engine for this language", index=batch.index).where(refused, None),
+        }
+    )
+
+
+PLAIN_ENGINE = engines.python_engine("plain", engines.Feature.BODY, _plain, "markdown string, parse_error string")
+
+
+def engine_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U registered, then parsed by an engine that is a Python function over Arrow batches."""
+    ship_package(spark)
+    store = PaperStore(spark, _scratch(spark, "engine_python"))
+    docs = inputs.table(spark, sf_dir, "documents")
+    submit(store, inputs.uploads(docs).select(*UPLOAD.fieldNames()), batch=1, replies=False)
+    named = store.scan_papers().select("content_hash", "source_ref")
+    ref = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
+    work = docs.select(ref.alias("source_ref"), F.concat("lang", F.lit(":"), "text").alias("tei")).join(named, "source_ref")
+    process(store, work.select(F.col("content_hash").alias("source_hash"), "tei"), batch=2, engine=PLAIN_ENGINE)
+    d = store.documents(2).select(F.col("paper_id").alias("id"), "engine", "markdown")
+    return store.scan_papers().join(d, "id", "left").select("id", "status", "error", "engine", "markdown")
+
+
+def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEI that comes before its paper's registration, after it, twice, broken, or never.
+
+    By doc_id: a third of the TEI is there before anything is registered, a third comes with
+    the registration, the rest after it (and again after a broken one).
+    """
+    root = _scratch(spark, "stream_parse")
+    store = PaperStore(spark, f"{root}/store")
+    docs = inputs.table(spark, sf_dir, "documents")
+    u = inputs.uploads(docs).select(*UPLOAD.fieldNames())
+    # The TEI of a paper is that of the upload which names it.
+    keyed = store.write_work(intake.with_keys(intake.accepted(inputs.uploads(docs))).select("doc_id", "path", "content_hash"), 0, "keyed")
+    first = keyed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    good = _title_tei(F.col("doc_id"))
+    t = first.where(F.col("doc_id") % 13 != 0).select(
+        "doc_id",
+        F.lit(None).cast("string").alias("paper_id"),
+        F.col("content_hash").alias("source_hash"),
+        F.when(F.col("doc_id") % 11 == 0, F.regexp_replace(good, "</TEI>", "")).otherwise(good).alias("tei"),
+    )
+    t = store.write_work(t, 0, "tei")
+
+    def arrive(rows: DataFrame) -> None:
+        rows.select("paper_id", "source_hash", "tei").write.mode("append").parquet(f"{root}/tei")
+
+    def run() -> None:
+        parse_stream.start_parse(parse_stream.stream_tei(spark, f"{root}/tei"), store, f"{root}/ckpt", available_now=True).awaitTermination()
+
+    arrive(t.where(F.col("doc_id") % 3 == 0))
+    run()  # nothing is registered: all of it waits
+    arrive(t.where(F.col("doc_id") % 3 == 1).unionByName(t.where((F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 11 != 0))))
+    submit(store, u, batch=1, replies=False)
+    run()
+    arrive(t.where(F.col("doc_id") % 3 == 2))
+    run()
+    arrive(t.where((F.col("doc_id") % 3 == 2) & (F.col("doc_id") % 11 == 0)))  # a second attempt fails too
+    run()
+    d = store.documents().select(F.col("paper_id").alias("id"), F.col("metadata.title").alias("title"))
+    papers = store.scan_papers(with_attempts=True).join(d, "id", "left")
+    return papers.select("id", "status", "title", F.col("attempts").cast("long").alias("attempts"))
+
+
 def process_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry points A then B: register U, then parse every pending paper from its TEI."""
     root = _scratch(spark, "process_papers")
@@ -446,6 +572,10 @@ QUERIES: dict[str, Query] = {
     "store_late_rows": store_late_rows,
     "pending_leases": pending_leases,
     "raw_store": raw_store,
+    "upload_scan": upload_scan,
+    "tei_scan": tei_scan,
+    "engine_python": engine_python,
+    "stream_parse": stream_parse,
     "process_papers": process_papers,
     "store_compact": store_compact,
 }

@@ -110,6 +110,11 @@ class PaperStore:
         p, fs = self._fs_path(f"{self.root}/{sub}")
         return bool(fs.exists(p))
 
+    def make(self, sub: str) -> None:
+        """An empty folder, for a stream that starts before the first write to it."""
+        p, fs = self._fs_path(f"{self.root}/{sub}")
+        fs.mkdirs(p)
+
     def _children(self, sub: str, prefix: str) -> list[int]:
         """Numeric values of ``prefix=N`` folders under ``sub`` (a directory listing, not a scan)."""
         if not self.exists(sub):

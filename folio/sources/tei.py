@@ -2,7 +2,7 @@
 
 TEI produced by a parse service arrives either as a table
 ``(paper_id, source_hash, tei)`` (Parquet, ``tei`` as string or bytes) or as
-a folder of ``<paper_id>.xml`` files. Bytes that are not valid UTF-8 become
+a folder of ``<paper_id>.xml`` files or of ``paper_id=<id>`` folders with a file each. Bytes that are not valid UTF-8 become
 a NULL ``tei``, which the parser reports as an error.
 """
 
@@ -28,11 +28,12 @@ def scan_tei(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
 
 
 def scan_tei_files(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
-    """A folder of ``<paper_id>.xml`` files (``source_hash`` unknown: NULL)."""
+    """A folder of ``<paper_id>.xml`` files, or of files in ``paper_id=<id>`` folders (``source_hash`` unknown: NULL)."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
+    folder = F.regexp_extract(F.col("path"), r"/paper_id=([^/]+)/[^/]*$", 1)
     return df.select(
-        F.regexp_replace(name, r"(\.tei)?\.xml$", "").alias("paper_id"),
+        F.coalesce(F.nullif(folder, F.lit("")), F.regexp_replace(name, r"(\.tei)?\.xml$", "")).alias("paper_id"),
         F.lit(None).cast("string").alias("source_hash"),
         decode_utf8(F.col("content")).alias("tei"),
     )

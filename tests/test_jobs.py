@@ -60,6 +60,12 @@ def test_scan_pushes_size_filter(spark, files):
     assert rej["nope.pdf"] == rej["short.pdf"] == intake.REJECT_NOT_PDF
     assert "empty.pdf" not in rej
     assert rej["a.pdf"] is None and rej["c.pdf"] is None
+    for name in ("no bytes.pdf", "50%+1.pdf"):
+        open(os.path.join(files, name), "wb").close()
+    every = {os.path.basename(r.path): r for r in upload_source.scan_classified(spark, files, CAP, with_empty=True).collect()}
+    assert len(every) == len(rej) + 3
+    for name in ("empty.pdf", "no bytes.pdf", "50%+1.pdf"):
+        assert (every[name].length, every[name].reject_reason) == (0, intake.REJECT_NOT_PDF)
 
 
 def test_submit_then_replay_is_idempotent(spark, files):

@@ -88,6 +88,40 @@ def test_parse_stream_takes_late_tei(spark):
     assert store.documents().count() == 2
 
 
+def test_parse_stream_keeps_early_tei_until_the_registration(spark):
+    root = tempfile.mkdtemp(prefix="folio-early-")
+    store = PaperStore(spark, f"{root}/store")
+    rows = [(None, "h1", "<TEI/>"), (None, "h1", "<TEI/>"), (None, "h2", "<TEI>"), (None, "h3", "<TEI/>"), (None, None, "<TEI/>")]
+    spark.createDataFrame(rows, parse_stream.TEI_TABLE).write.parquet(f"{root}/tei")
+
+    def run():
+        stream = parse_stream.stream_tei(spark, f"{root}/tei")
+        parse_stream.start_parse(stream, store, f"{root}/ckpt", available_now=True).awaitTermination()
+        return {p.content_hash: (p.status, p.attempts) for p in store.scan_papers(with_attempts=True).collect()}
+
+    assert run() == {}
+    _register(spark, store, ["h1", "h2"])  # no new TEI: the registration alone starts the parse
+    assert run() == {"h1": ("done", 1), "h2": ("failed", 1)}
+    assert store.documents().count() == 1 and run() == {"h1": ("done", 1), "h2": ("failed", 1)}
+
+
+def test_status_snapshots_compact(spark):
+    root = tempfile.mkdtemp(prefix="folio-cs-")
+    store = PaperStore(spark, f"{root}/store")
+    _register(spark, store, ["h1", "h2"])
+    ids = store.scan_papers().select(F.col("id").alias("paper_id"))
+    for n, rows in enumerate((lifecycle.mark_running(ids), lifecycle.mark_done(ids.limit(1)), lifecycle.mark_running(ids.limit(1)))):
+        store.append_log(rows.withColumn("at", F.lit(T0 + dt.timedelta(minutes=n)).cast("timestamp")), batch=n, step=0)
+        log = status_stream.stream_store_log(spark, store)
+        status_stream.start_status(log, f"{root}/status", f"{root}/ckpt", available_now=True).awaitTermination()
+        if n == 1:
+            before = {r.paper_id: r.asDict(True) for r in status_stream.latest_summaries(spark, f"{root}/status").collect()}
+            status_stream.compact_summaries(spark, f"{root}/status")
+            assert {r.paper_id: r.asDict(True) for r in status_stream.latest_summaries(spark, f"{root}/status").collect()} == before
+    live = status_stream.latest_summaries(spark, f"{root}/status").collect()
+    assert sorted((r._status, r._attempts) for r in live) == [("running", 1), ("running", 2)]
+
+
 def test_live_status_counts_a_replayed_batch_once(spark):
     root = tempfile.mkdtemp(prefix="folio-rp-")
     store = PaperStore(spark, f"{root}/store")
