@@ -15,9 +15,11 @@ followed from every candidate to where they leave it, across splits by
 pointer jumping from the start of the file, in rounds that grow with the
 logarithm of the splits. Only candidates on the chain from the file's start
 are records; the others are part of a payload, which is put together again
-from a second read of just those pieces.
+from a second read of just those pieces. What stands between two magics is the
+same however Spark splits the files, so pieces are found again by their file, length
+and hash, not by a place in a split: the second read may be split in any other way.
 
-Defined cases: null html is an empty payload; a null url is left out and line
+Defined cases: an archive without records gives no rows; null html is an empty payload; a null url is left out and line
 ends in it become spaces; a null page_id never is the smallest; rows equal in
 page_id and payload are the same kind of record; in a damaged archive the
 records before the damage are returned.
@@ -85,6 +87,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     first piece of a file is what stands before any magic."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"))
+    raw = raw.withColumn("piece", F.xxhash64("value"))
     return raw.withColumn("nth", F.monotonically_increasing_id())
 
 
@@ -102,6 +105,7 @@ def parsed(p: DataFrame) -> DataFrame:
         "file",
         "split",
         "nth",
+        "piece",
         "file_size",
         F.col("whole").cast("long").alias("bytes"),
         F.col("head_bytes").cast("long").alias("head_bytes"),
@@ -181,10 +185,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # A record whose payload has the magic in it: its first piece is shorter than it says.
     broken = records.where("bytes + 10 < successor - offset")
     if not broken.isEmpty():
-        parts = _parts(found, records)
-        text = pieces(spark, path).join(parts, ["file", "split", "nth"])
+        parts = materialise(_parts(found, records), "warc-parts")
+        key = ["file", "bytes", "piece"]
+        again = pieces(spark, path).withColumn("bytes", F.octet_length("value").cast("long")).select(*key, "value")
+        text = again.join(parts.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC)
-        whole = text.groupBy("file", F.col("start").alias("offset")).agg(joined.alias("value"), F.first("head_bytes").alias("head_bytes"), F.first("length").alias("length"))
+        whole = text.join(parts, key).groupBy("file", F.col("start").alias("offset")).agg(joined.alias("value"), F.first("head_bytes").alias("head_bytes"), F.first("length").alias("length"))
         whole = whole.select("file", "offset", F.sha2(F.substring(F.col("value").cast("binary"), (F.col("head_bytes") + 1).cast("int"), F.col("length").cast("int")), 256).alias("sha"))
         records = records.join(whole, ["file", "offset"], "left").withColumn("content_sha256", F.coalesce("sha", "content_sha256"))
     response = F.col("record_type") == "response"
@@ -202,8 +208,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parts(found: DataFrame, records: DataFrame) -> DataFrame:
-    """(file, split, nth, offset, start, head_bytes, length): the pieces of records cut by a magic in their payload."""
+    """(file, bytes, piece, offset, start, head_bytes, length): the pieces of records cut by a magic in their payload.
+
+    The record a piece belongs to is the last one that starts at or before it: within the piece's split
+    by a window, else the last of the splits before, from a row for each split.
+    """
     starts = records.select("file", "offset", F.struct(F.col("offset").alias("start"), "successor", "head_bytes", "length", "bytes").alias("r"))
-    all_pieces = found.where("offset >= 0").select("file", "split", "nth", "offset").join(starts, ["file", "offset"], "left")
-    owner = F.last("r", ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
-    return all_pieces.withColumn("r", owner).where("offset < r.successor and r.bytes + 10 < r.successor - r.start").select("file", "split", "nth", "offset", "r.start", "r.head_bytes", "r.length")
+    all_pieces = found.where("offset >= 0").select("file", "split", "bytes", "piece", "offset").join(starts, ["file", "offset"], "left")
+    last = all_pieces.groupBy("file", "split").agg(F.max("r").alias("r"))
+    before = F.last("r", ignorenulls=True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    carried = last.select("file", "split", before.alias("carried"))
+    within = F.last("r", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("offset"))
+    owned = all_pieces.withColumn("r", within).join(carried, ["file", "split"]).withColumn("r", F.coalesce("r", "carried"))
+    return owned.where("offset < r.successor and r.bytes + 10 < r.successor - r.start").select("file", "bytes", "piece", "offset", "r.start", "r.head_bytes", "r.length")
