@@ -3,27 +3,35 @@
 Plain patterns give spans that are reported by themselves: an assignment to
 a secret's name, an access key id, a long hex string. Weak candidates are
 parts that say nothing alone: an account name in an assignment (``id``), an
-unnamed random-looking token (``key``), and an endpoint (``url``). A join
-within a scope, the stretch of text between blank lines, reports a weak
-candidate only when the same scope has a complementary part, however far off
-(``reach`` can bound the distance in code points): a key needs an identifier or
-an endpoint, an identifier or an endpoint needs a secret. Access key ids count
-as identifiers, assignments and long hex strings as secrets.
-
-Scopes never cross documents, so nothing is shuffled. Each side is met by the
-kinds that its scope has, or under a ``reach`` by binary search on the running
-ends of the sorted parts; no pairs are made.
+unnamed random-looking token (``key``), and an endpoint (``url``). A join of
+intervals within a scope, the stretch of text between blank lines, reports a weak
+candidate only when the same scope has a complementary part beside it, one that
+does not overlap it, however far off (``reach`` can bound the distance in code points): a key needs
+an identifier or an endpoint, an identifier or an endpoint needs a secret.
+Access key ids count as identifiers, assignments and long hex strings as
+secrets. Of weak candidates that overlap, an endpoint goes before an account name and
+that before a key, so a path within an address is no key.
+
+A key changes between letters and digits often and has many different
+characters (``looks_random``); words, dates and paths of words do not.
+
+Scopes never cross documents, so nothing is shuffled. Each candidate meets the
+sorted starts and ends of the complements of its scope by binary search; no pairs
+are made.
 
 Defined cases: null text counts as empty; all offsets are code points, ends
-exclusive; spans of one kind never overlap, spans of different kinds may; a
-span of a weak kind that overlaps a base span is dropped in favour of that.
+exclusive; spans of one kind never overlap, base spans of different kinds may; a
+span of a weak kind that overlaps a base span is dropped in favour of that;
+an empty table gives an empty table; columns named ``base`` or ``spans`` are replaced.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +46,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.ASCII | re.IGNORECASE)
 RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b""", re.ASCII)
-SCOPE_END = re.compile(r"\n[ \t]*\n")
+SCOPE_END = re.compile(r"\r?\n[ \t]*\r?\n")
+#: Least changes between letters and digits, as a share of the places for one, and least bits a character.
+CHANGES, BITS = 0.12, 3.0
+IDENTIFIERS, SECRETS = ("id", "access", "url"), ("assign", "hex", "key")
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "key", "id", "url")
@@ -53,35 +64,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def looks_random(token: str) -> bool:
-    """Digits and letters of any case: hex, base32, base36, UUIDs and base64 alike."""
-    return any(map(str.isdigit, token)) and any(map(str.isalpha, token))
+    """Digits and letters of any case well mixed, in many different characters: hex, base32, base36, UUIDs and base64 alike."""
+    digit = [c.isdigit() for c in token if c.isalnum()]
+    changes = sum(a != b for a, b in zip(digit, digit[1:], strict=False))
+    if changes < 3 or changes < CHANGES * (len(digit) - 1):
+        return False
+    n = len(token)
+    return -sum(c / n * log2(c / n) for c in Counter(token).values()) >= BITS
 
 
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates outside the base spans; never reported without a complement."""
-    starts, ends = [s[1] for s in base], sorted(s[2] for s in base)
-
-    def free(a: int, b: int) -> bool:
-        return bisect_left(starts, b) == bisect_right(ends, a)
-
-    out = [("key", m.start(), m.end()) for m in RANDOM.finditer(text) if looks_random(m[0])]
-    out += [("id", m.start(), m.end()) for m in ACCOUNT.finditer(text)]
-    out += [("url", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    return [s for s in out if free(s[1], s[2])]
+    """Candidates outside the base spans and each other; never reported without a complement."""
+    out: list[tuple[str, int, int]] = []
+    taken = [(s[1], s[2]) for s in base]
+    for kind, pattern in (("url", ENDPOINT), ("id", ACCOUNT), ("key", RANDOM)):
+        starts, ends = sorted(a for a, _ in taken), sorted(b for _, b in taken)
+        own = [
+            (kind, m.start(), m.end())
+            for m in pattern.finditer(text)
+            # as many taken spans begin before its end as end before its start: none overlaps it
+            if bisect_left(starts, m.end()) == bisect_right(ends, m.start()) and (kind != "key" or looks_random(m[0]))
+        ]
+        out += own
+        taken += [(a, b) for _, a, b in own]
+    return out
 
 
-def near(spans: list[tuple[int, int]], reach: int | None):
-    """A test whether any of ``spans`` lies within ``reach`` of an interval; without a reach, whether there is one."""
-    if reach is None:
-        return lambda a, b: bool(spans)
-    spans = sorted(spans)
-    starts, last = [s[0] for s in spans], []
-    for _, e in spans:
-        last.append(max(e, last[-1]) if last else e)
+def beside(spans: list[tuple[int, int]], reach: int | None):
+    """A test whether any of ``spans`` lies before or after an interval without overlapping it, within ``reach``."""
+    starts, ends = sorted(a for a, _ in spans), sorted(b for _, b in spans)
 
     def test(a: int, b: int) -> bool:
-        k = bisect_right(starts, b + reach)  # those that begin early enough
-        return k > 0 and last[k - 1] >= a - reach
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        if before and (reach is None or ends[before - 1] >= a - reach):
+            return True
+        return after < len(starts) and (reach is None or starts[after] <= b + reach)
 
     return test
 
@@ -97,9 +114,9 @@ def linked(text: str, base: list[tuple[str, int, int]], reach: int | None = None
         scopes.setdefault(bisect_right(cuts, s[1]), []).append(s)
     out = []
     for parts in scopes.values():
-        own = {kinds: near([(a, b) for k, a, b in parts if k in kinds], reach) for kinds in (("id", "access", "url"), ("assign", "hex", "key"))}
-        out += [s for s in parts if s[0] == "key" and own["id", "access", "url"](s[1], s[2])]
-        out += [s for s in parts if s[0] in ("id", "url") and own["assign", "hex", "key"](s[1], s[2])]
+        identifier, secret = (beside([(a, b) for k, a, b in parts if k in kinds], reach) for kinds in (IDENTIFIERS, SECRETS))
+        out += [s for s in parts if s[0] == "key" and identifier(s[1], s[2])]
+        out += [s for s in parts if s[0] in ("id", "url") and secret(s[1], s[2])]
     return out
 
 
