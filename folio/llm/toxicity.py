@@ -12,8 +12,9 @@ Features are the words (ASCII lower case, letters and non-ASCII bytes) and
 their first four to six bytes, as 64-bit hashes of whole texts. Feature
 counts are summed in Spark over the training sample, at most ``positives``
 toxic and ``unlabelled`` other texts, drawn in order of a digest of the id;
-``features`` of them, those most over-represented in toxic texts, make the
-model. The driver gets the sample as rows of the indices of those features.
+those in at least ``least`` toxic texts whose log share there exceeds that in the
+others by ``least_lift``, and by ``least_gain`` over all these texts together, make
+the model: thresholds of evidence, the same at every size, and no number of features. The driver gets the sample as rows of the indices of those features.
 Scoring reads every whole text in the tasks.
 
 Defined cases: null or empty text has no features and gets the score of the
@@ -77,7 +78,7 @@ def class_prior(labels: DataFrame) -> float:
     return float(labels.where("toxic is not null").agg(F.avg("toxic")).first()[0] or 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 20_000, unlabelled: int = 40_000, n_features: int = 1024, least: int = 3, least_lift: float = 0.5, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 20_000, unlabelled: int = 40_000, least: int = 3, least_lift: float = 0.5, least_gain: float = 8.0, seed: int = 7) -> Model:
     """From ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), training rows only."""
     prior = class_prior(labels) if prior is None else prior
     # The sample has a fixed bound, see its parameters; texts are not shuffled.
@@ -103,8 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     if not n_p or not n_u:
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-40.0 if prior <= 0 else 40.0))
     lift = F.log(((F.col("p") + 0.5) / n_p) / ((F.col("u") + 0.5) / n_u))
-    best = sums.select("key", (F.col("p") * lift).alias("gain"), "p", "u").where(lift > least_lift).orderBy(F.desc("gain"), "key").limit(n_features)
-    keys = np.sort(np.asarray([r[0] for r in best.select("key").collect()], dtype=np.int64).view(np.uint64))
+    best = sums.where((lift > least_lift) & (F.col("p") * lift > least_gain)).select("key").toArrow()  # of the sample's features, whose number its bound bounds
+    keys = np.sort(best.column("key").to_numpy().view(np.uint64))
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
