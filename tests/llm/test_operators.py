@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import WORD, brute_links
 from pyspark.sql import functions as F
@@ -237,27 +238,49 @@ def test_language_model_counts_and_normalisation(llm, texts, odd, empty):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm.score(odd, model, known, counts).collect())
 
 
-def test_language_model_gives_every_word_a_vector(llm):
-    """Words far outside the classes are predicted by the class before them."""
+def test_nce_of_a_cell_recovers_the_conditional_shares():
+    """With many tokens and as many contexts as dimensions the estimate is the data's own distribution."""
+    rng = np.random.default_rng(2)
+    seen = rng.integers(200, 4000, (4, 6)).astype(np.float32)
+    centres = np.linalg.qr(rng.normal(size=(4, 4)))[0].astype(np.float32)
+    logs = lm.fit_cell(centres, seen, steps=400)
+    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
+    assert np.allclose(np.exp(logs), seen / seen.sum(axis=1, keepdims=True), atol=0.01)
+    # few steps are near, and a word seen once in one context still has its share
+    few = lm.fit_cell(centres, seen)
+    assert np.abs(np.exp(few) - np.exp(logs)).max() < 0.03
+    assert np.isfinite(lm.fit_cell(centres, np.eye(4, 6, dtype=np.float32) + np.eye(4, 6, 2, dtype=np.float32))).all()
+
+
+def test_language_model_scores_are_a_direct_softmax(llm):
+    """Cells, groups and classes multiply to one distribution over all words, and a text's score is its product."""
     rng = np.random.default_rng(3)
     lines = [" ".join(f"{'ab'[k]} {'xy'[k]}{rng.integers(3000)}" for k in rng.integers(2, size=40)) for _ in range(600)]
     docs = llm.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string").repartition(2)
     model, known, counts = lm.fit(docs, classes=8, frequent=3000)
-    vectors = known.vectors[~np.isin(known.words, model.classes)]
-    assert model.groups > 1 and len(vectors) + counts.count() == known.v - len(model.classes)
-    assert (np.abs(vectors).max(axis=1) > 0).all()
-    # Each group's words, known and unseen, sum to one in each context.
     table = counts.toPandas()
+    assert model.cells >= model.groups > 1 and len(table) > 1000 and len(known.words) + len(table) == known.v
     words = np.append(known.words, table["word"].to_numpy(dtype=np.int64).view(np.uint64))
-    bias, vectors = np.append(known.bias, table["bias"]), np.concatenate([known.vectors, *[np.frombuffer(x, dtype=np.float32)[None] for x in table["vector"]]])
+    logs = np.concatenate([known.logs, np.frombuffer(b"".join(table["logs"]), dtype=np.int16).reshape(len(table), -1)]) / lm.FINE
     own = ~np.isin(words, model.classes)
     for g in range(model.groups):
         some = own & (lm.group_of(words, model.groups) == g)
-        p = np.exp(lm.contexts(model) @ vectors[some].T + bias[some] - known.z[g][:, None]).sum(axis=1) + 0.5 * np.exp(-known.z[g])
-        assert np.allclose(p, 1, atol=1e-3)
+        assert np.allclose(np.exp(logs[some]).sum(axis=0) + np.exp(known.unseen[g]), 1, atol=1e-3)
+    # One text token by token: class by a softmax over all classes, word by its cell's.
+    text = lines[0] + " zzz never seen"
+    w, at = lm.tokens(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]))
+    ids, one, two = lm.class_ids(model, w, at)
+    total = 0.0
+    for k in range(len(w)):
+        logits = (model.left[two[k]] + model.right[one[k]]) @ model.out.T + model.bias
+        total += float(logits[ids[k]] - np.log(np.exp(logits.astype(np.float64)).sum()))
+        if ids[k] >= model.other:
+            at_word = np.flatnonzero(words == w[k])
+            total += float(logs[at_word[0], model.cluster[one[k]]]) if len(at_word) else float(known.unseen[ids[k] - model.other])
+    got = {r.doc_id: r.score for r in lm.score(llm.createDataFrame([(1, text), (2, lines[0]), (3, lines[0].replace("a ", "c ").replace("b ", "a ").replace("c ", "b "))], "doc_id long, text string"), model, known, counts).collect()}
+    assert math.isclose(got[1], total / math.log(10), rel_tol=1e-4)
     # The same words after the wrong class before them are less likely, by more than the class.
-    score = {r.doc_id: r.score for r in lm.score(llm.createDataFrame([(1, lines[0]), (2, lines[0].replace("a ", "c ").replace("b ", "a ").replace("c ", "b "))], "doc_id long, text string"), model, known, counts).collect()}
-    assert score[1] > score[2]
+    assert got[2] > got[3]
 
 
 def test_toxicity_separates_planted_words(llm, odd, empty):
