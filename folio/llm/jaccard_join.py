@@ -339,6 +339,26 @@ def _compare(threshold: float, rows: int = 1024):
     return run
 
 
+def member_texts(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(text, and the columns of ``members`` but the id): a text for each class to compare, or a few
+    rows of the id that stands for it, one of which has the class's text.
+
+    An id that stands for one class is joined by the id. Ids that stand for several, and the
+    null id, say too little: their rows are told apart by their own set, one text a set.
+    """
+    rest = [c for c in members.columns if c != "doc_id"]
+    own = members.withColumnRenamed("doc_id", "__id")
+    shared = materialise(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__shared")), "shared-ids")
+    if shared.isEmpty():
+        return docs.join(own, F.col("doc_id") == F.col("__id")).select("text", *rest)
+    single = own.join(shared, F.col("__id") == F.col("__shared"), "left_anti").where("__id is not null")
+    plain = docs.join(single, F.col("doc_id") == F.col("__id")).select("text", *rest)
+    rows = docs.where("doc_id is null").unionByName(docs.join(shared, F.col("doc_id") == F.col("__shared"), "left_semi"))
+    texts = with_set_id(rows.select("text"), words).where("__set is not null").dropDuplicates(["__set"])
+    several = members.join(shared, F.col("doc_id").eqNullSafe(F.col("__shared")), "left_semi").drop("doc_id")
+    return plain.unionByName(texts.join(several, F.col("__set") == F.col("set_id")).select("text", *rest))
+
+
 def exact_links(members: DataFrame, docs: DataFrame, threshold: float, words: int, block: int) -> DataFrame:
     """(a, b, n_set_links, n_doc_links) from (doc_id, set_id, set_size, n, component) of the classes to compare.
 
@@ -355,8 +375,8 @@ def exact_links(members: DataFrame, docs: DataFrame, threshold: float, words: in
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[k].astype("<u8").tobytes() for k in keep], pa.binary())], ["set_id", "set_size", "component", "blocks", "shingles"])
 
     size = members.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(size, "component").select(F.col("doc_id").alias("__id"), "set_id", "set_size", "component", "blocks")
-    rows = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "set_id", "set_size", "component", "blocks")
+    dealt = members.join(size, "component").select("doc_id", "set_id", "set_size", "component", "blocks")
+    rows = member_texts(dealt, docs, words)
     sets = rows.mapInArrow(shingles, "set_id binary, set_size long, component binary, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     # Block x meets every block y once: as side 0 of (x, y) for x <= y, as side 1 of (y, x) for x > y.
