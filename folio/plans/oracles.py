@@ -253,16 +253,17 @@ ORACLES["raw_store"] = f"""
     FROM keyed k JOIN up u ON u.doc_id = k.doc_id GROUP BY ALL"""
 _TRIES = "SELECT user_id, count(*) FILTER (WHERE to_status = 'running') AS n FROM lg GROUP BY user_id"
 ORACLES["tei_scan"] = """
-    SELECT kind, doc_id::VARCHAR AS paper_id, 'L' || doc_id AS title, false AS rejected
-    FROM documents, (VALUES ('string'), ('files')) k(kind)
+    SELECT 'string' AS kind, doc_id::VARCHAR AS paper_id, 'L' || doc_id AS title, false AS rejected FROM documents
+    UNION ALL
+    SELECT DISTINCT 'files', (doc_id // 32)::VARCHAR, 'L' || (doc_id // 32), false FROM documents
     UNION ALL
     SELECT 'binary', doc_id::VARCHAR, CASE WHEN doc_id % 6 <> 0 THEN 'L' || doc_id END, doc_id % 6 = 0 FROM documents"""
 ORACLES["upload_scan"] = f"""
-    WITH u AS (SELECT doc_id, {_PAYLOAD} || chr(10) AS p FROM documents)
-    SELECT doc_id, CAST(strlen(p) AS BIGINT) AS length,
-           CASE WHEN strlen(p) > 20000 THEN 'expected a PDF in form field ''file'' (max 50MB)'
+    WITH u AS (SELECT doc_id // 32 AS part, string_agg({_PAYLOAD} || chr(10), '' ORDER BY doc_id) AS p FROM documents GROUP BY doc_id // 32)
+    SELECT part, CAST(strlen(p) AS BIGINT) AS length,
+           CASE WHEN strlen(p) > 75000 THEN 'expected a PDF in form field ''file'' (max 50MB)'
                 WHEN NOT starts_with(p, '%PDF-') THEN 'file is not a PDF' END AS reject_reason,
-           CASE WHEN strlen(p) <= 20000 AND starts_with(p, '%PDF-') THEN sha256(p) END AS content_hash
+           CASE WHEN strlen(p) <= 75000 AND starts_with(p, '%PDF-') THEN sha256(p) END AS content_hash
     FROM u
     UNION ALL
     SELECT NULL, 0, 'file is not a PDF', NULL"""

@@ -380,16 +380,22 @@ def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("content_hash", "raw_key", "bytes", "digest").agg(F.count(F.lit(1)).alias("n_uploads"))
 
 
+#: Uploads that share a file where a query works on real files, and the size cap over such files.
+PER_FILE, FILE_CAP = 32, 75_000
+
+
 def upload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U as real files, one for each upload, and an empty one; some are over a small cap."""
+    """U as real files, the payloads of neighbouring documents line by line in each, and
+    an empty file; some are over a small cap."""
     root = _scratch(spark, "upload_scan")
-    u = _uploads(spark, sf_dir).select("doc_id", F.col("content").cast("string").alias("value"))
-    u.write.partitionBy("doc_id").text(f"{root}/files")
+    group = F.floor(F.col("doc_id") / PER_FILE).alias("part")
+    u = _uploads(spark, sf_dir).select("doc_id", group, F.col("content").cast("string").alias("value"))
+    u.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(f"{root}/files")
     spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/files/none")  # one file of no bytes
-    found = uploads_source.scan_classified(spark, f"{root}/files", inputs.GATE_MAX_BYTES, with_empty=True)
+    found = uploads_source.scan_classified(spark, f"{root}/files", FILE_CAP, with_empty=True)
     h = F.when(F.col("reject_reason").isNull(), intake.content_hash(F.col("content")))
-    doc_id = F.regexp_extract("path", r"doc_id=(\d+)/[^/]*$", 1)
-    return found.select(F.when(doc_id != "", doc_id).cast("long").alias("doc_id"), "length", "reject_reason", h.alias("content_hash"))
+    part = F.regexp_extract("path", r"part=(\d+)/[^/]*$", 1)
+    return found.select(F.when(part != "", part).cast("long").alias("part"), "length", "reject_reason", h.alias("content_hash"))
 
 
 def _title_tei(doc_id: Column) -> Column:
@@ -404,7 +410,9 @@ def tei_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.select("paper_id", none, "tei").write.parquet(f"{root}/string")
     body = F.encode("tei", "UTF-8")
     t.select("paper_id", none, F.when(F.col("doc_id") % 6 == 0, F.concat(body, F.lit(bytearray(b"\xc3\x28")))).otherwise(body).alias("tei")).write.parquet(f"{root}/binary")
-    t.select("paper_id", F.col("tei").alias("value")).write.partitionBy("paper_id").text(f"{root}/files")
+    # One file for each group of neighbouring documents, in a folder named by the paper.
+    groups = t.select(F.floor(F.col("doc_id") / PER_FILE).alias("paper_id")).distinct()
+    groups.select("paper_id", _title_tei(F.col("paper_id")).alias("value")).write.partitionBy("paper_id").text(f"{root}/files")
     kinds = {
         "string": tei_source.scan_tei(spark, f"{root}/string"),
         "binary": tei_source.scan_tei(spark, f"{root}/binary"),
