@@ -50,8 +50,9 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` without the columns that an operator is about to add."""
-    return df.drop(*[c for c in df.columns if c in names])
+    """``df`` without the columns that an operator is about to add, in any case of letters."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -8,21 +8,24 @@ whose sizes prefix-sum to it.
 
 Only the documents near the cut need that prefix sum. Keys map to slices in
 order, sizes are pre-aggregated per (source, slice) in the tasks, and a
-running sum over the slices finds the slice the cut lies in; slices below
-are taken whole and slices above not at all. A window then sorts only the
-rows of that slice. With the number of slices in proportion to the rows of
-the table, neither window grows with a hot source: one holds a row per
-slice, the other the rows of a slice.
+running sum over the slices finds the slice the cut lies in; rows with a
+smaller key than its are taken whole, rows with a larger one not at all. A
+cut's slice with more than ``rows_per_bin`` rows is sliced again between its
+own smallest and largest key, as often as it takes: the slices follow the
+rows whatever the weights are. A window then sorts only the rows of the last
+slice. One window holds a row per slice (``SLICES`` a source at most, as it
+is a fan-out and no limit), the other about ``rows_per_bin`` rows; only rows
+of one key, so of one id and weight, cannot be told apart by slices.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
 source of its own, last in order; equal keys (repeated ids) are ordered by
 size, and rows equal in both are interchangeable; no documents or no words
-give targets of 0; null or non-positive quality weights count as 1.
+give targets of 0; null or non-positive quality weights count as 1; columns
+named like an output are replaced by ``mix`` and kept by ``apply_mix``.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import materialise, without
 
-#: Keys fall into 2^FINEST slices at most per source; ``mix`` merges them to slices of about ``rows_per_bin`` rows.
-FINEST = 16
+#: Slices a pass cuts a range of keys into; a pass over a smaller range follows where that is too coarse.
+SLICES = 1 << 12
+#: Columns that ``with_keys`` and ``mix`` add.
+OUTPUT = ("size", "key", "source_size", "target", "taken")
 
 #: Possessive, as a word has one end only: no states are kept for going back.
 WORD = r"[^\x20\x09-\x0D]++"
@@ -94,7 +99,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
 def with_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: Column | None = None, seed: str = "mix") -> DataFrame:
     """``docs`` with ``size`` in words and the sampling ``key``; ``quality`` is an expression over ``docs``."""
     q = F.lit(1.0) if quality is None else quality
-    rest = [c for c in docs.columns if c not in ("size", "key")]
+    rest = without(docs, ["size", "key"]).columns
     # The key uses the weight more than once: it is a column first, so that the text is read once for it.
     weighed = docs.select(*rest, word_count(F.col(text)).alias("size"), q.alias("__quality"))
     return weighed.select(*rest, "size", sampling_key(F.col(doc_id), F.col("__quality"), seed).alias("key"))
@@ -104,29 +109,28 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", weight
     """Rows of ``with_keys`` with ``source_size``, ``target`` (their source's) and ``taken`` words, repeats included."""
     sized = without(sized, ["source_size", "target", "taken"])
     name = F.col(source).cast("string")
-    totals = materialise(sized.groupBy(name.alias("source"), *bin_columns()).agg(F.sum("size").alias("slice_size"), F.count(F.lit(1)).alias("n")), "mix-slices")
-    rows_in_all = totals.agg(F.sum("n")).first()[0] or 0
-    # Slices are powers of two, so that coarser ones are sums of the finest.
-    bits = max(6, min(FINEST, math.ceil(math.log2(max(1, rows_in_all / rows_per_bin)))))
-    coarse = F.shiftright(F.col("slice"), FINEST - bits)
-    per_bin = totals.groupBy("source", coarse.alias("bin")).agg(F.sum("slice_size").alias("bin_size"))
-    goal = targets(per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights)
+    # Keys of weight 1 spread evenly over 1 - exp(-key).
+    slice_ = F.least(F.floor((1 - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1))
+    totals = materialise(sized.groupBy(name.alias("source"), slice_.alias("slice")).agg(*slice_sums()), "mix-slices")
+    goal = targets(totals.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
     goal = materialise(goal, "mix-targets")
-    below = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size")
-    cut = (
-        per_bin.withColumn("below", below)
-        .join(goal.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-        .where("below < rest and rest <= below + bin_size")
-        .select("s", F.col("bin").alias("cut_bin"), "below")
-    )
-    goal = goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    goal = materialise(goal.select(F.struct(*goal.columns).alias("__goal")), "mix-cuts")  # a row per source
+    cuts = materialise(cut_slices(totals.withColumn("below", F.lit(0).cast("long")), goal), "mix-cuts")
+    wide = (F.col("n") > rows_per_bin) & (F.col("low") < F.col("high"))
+    while not cuts.where(wide).isEmpty():
+        # The ends of a range fall into different slices, so every pass leaves fewer rows.
+        ranges = cuts.where(wide).select(F.col("source").alias("s"), "low", "high", "below")
+        inner = sized.join(ranges, name.eqNullSafe(F.col("s")) & F.col("key").between(F.col("low"), F.col("high")))
+        place = F.least(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * SLICES), F.lit(SLICES - 1))
+        finer = inner.groupBy(F.col("s").alias("source"), place.alias("slice"), "below").agg(*slice_sums())
+        cuts = materialise(cuts.where(~wide).unionByName(cut_slices(finer, goal)), "mix-cuts")
+    marks = cuts.select(F.col("source").alias("s"), "low", "high", "below")
+    goal = goal.join(marks, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    goal = materialise(goal.select(F.struct(*goal.columns).alias("__goal")), "mix-goals")  # a row per source
     rows = sized.join(goal, name.eqNullSafe(F.col("__goal.source")))
-    place = F.shiftright(bin_columns()[0], FINEST - bits)
-    at_cut = F.coalesce(place == F.col("__goal.cut_bin"), F.lit(False))
-    plain = rows.where(~at_cut).withColumn("__part", F.when(place < F.col("__goal.cut_bin"), F.col("size")).otherwise(F.lit(0)))
+    at_cut = F.coalesce(F.col("key").between(F.col("__goal.low"), F.col("__goal.high")), F.lit(False))
+    plain = rows.where(~at_cut).withColumn("__part", F.when(F.col("key") < F.col("__goal.low"), F.col("size")).otherwise(F.lit(0)))
     in_slice = Window.partitionBy("__goal.source").orderBy("key", doc_id, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.col("__goal.below") + F.sum("size").over(in_slice) - F.col("size")
     sorted_ = rows.where(at_cut).withColumn("__part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__goal.rest") - before)))
@@ -134,17 +138,30 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", weight
     return plain.unionByName(sorted_).select(*sized.columns, F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"), taken.alias("taken"))
 
 
-def bin_columns() -> list[Column]:
-    """The finest slice of a key: 1 - exp(-key) grows with the key and spreads keys of weight 1 evenly."""
-    n = 1 << FINEST
-    return [F.least(F.floor((1 - F.exp(-F.col("key"))) * n), F.lit(n - 1)).cast("int").alias("slice")]
+def slice_sums() -> list[Column]:
+    """What a slice is known by: its words, its rows, its smallest and largest key."""
+    return [F.sum("size").alias("slice_size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")]
+
+
+def cut_slices(slices: DataFrame, goal: DataFrame) -> DataFrame:
+    """(source, low, high, n, below): per source the slice in which the sizes reach ``rest``, and
+    the words of all smaller keys. ``slices`` has the words below its whole range as ``below``."""
+    under = F.col("below") + F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")
+    return (
+        slices.withColumn("under", under)
+        .join(goal.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
+        .where("under < rest and rest <= under + slice_size")
+        .select("source", "low", "high", "n", F.col("under").alias("below"))
+    )
 
 
 def apply_mix(docs: DataFrame, text: str = "text", quality: Column | None = None, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each repeat; where only some words of a document
     are taken, its text ends with the last of them. ``n_chars``, if there, is that of the row."""
-    # The rows are used three times below: words and marks are counted once, before.
-    sized = materialise(with_keys(docs, text=text, quality=quality), "mix-rows")
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in OUTPUT}
+    weighed = docs.withColumn("__q", F.lit(1.0) if quality is None else quality).withColumnsRenamed(own)
+    # The rows are used more than once below: words and marks are counted once, before.
+    sized = materialise(with_keys(weighed, text=text, quality=F.col("__q")).drop("__q"), "mix-rows")
     mixed = mix(sized, **options).where("taken > 0")
     repeats = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))))
     rows = mixed.withColumn("__repeat", repeats).withColumn("__words", F.col("taken") - F.col("__repeat") * F.col("size"))
@@ -152,4 +169,4 @@ def apply_mix(docs: DataFrame, text: str = "text", quality: Column | None = None
     rows = rows.withColumn(text, F.when(F.col("__words") >= F.col("size"), F.col(text)).otherwise(first))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    return rows.select([F.col(own.get(c, c)).alias(c) for c in docs.columns])
