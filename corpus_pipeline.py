@@ -15,15 +15,20 @@ from folio.llm import exact_dedup, jaccard_join, langid, mixing, packing
 from folio.llm.common import DOC_COLUMNS, documents, materialise
 from folio.session import ship_package
 
-#: A document whose language is less sure than this is rejected.
-LEAST_LANGUAGE_SCORE = 0.5
+#: A document nearer to n-grams at random than to its own language (`langid.misfits`) is rejected.
+MOST_MISFIT = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose language cannot be told."""
+    """Drop documents without a letter and those that are in no language of the labelled rows.
+
+    The measure is a mean per n-gram with an allowance for short texts, so it does not depend on
+    length. A text between two languages stays (ties take the first by name), and without any
+    labelled row no language is known and nothing stays.
+    """
     ship_package(spark)
     model = langid.fit(docs)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("misfit") <= MOST_MISFIT)
     return langid.predict(docs.select(DOC_COLUMNS), model).where(known).select(DOC_COLUMNS)
 
 
