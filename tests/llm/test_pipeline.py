@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import random
+
 import corpus_pipeline as pipeline
 from brute import WORD, brute_links
 from folio.llm.common import DOC_COLUMNS, materialise
@@ -34,6 +37,21 @@ def test_stages_on_a_whole_table(llm):
     assert packed == mixed <= near
 
 
+def test_language_stage_rejects_noise_of_any_length_and_keeps_short_texts(llm):
+    docs = llm.read.parquet(f"{SMALL}/documents.parquet").select(DOC_COLUMNS)
+    dice = random.Random(5)
+    noise, clean, at = [], [], 10_000_000
+    for n in (60, 600, 30_000):
+        for t in (dice.randbytes(n // 2).hex(), base64.b64encode(dice.randbytes(n)).decode(), "".join(dice.choices("0123456789.,;|", k=n)) + " abc", "".join(dice.choices("αβγδεζηθικλμνξοπρστυφχψω ", k=n))):
+            noise.append((at + len(noise), t, None, "planted", len(t)))
+    for r in docs.where("lang is not null").limit(40).collect():
+        t = " ".join(r.text.split()[:3])
+        clean.append((2 * at + len(clean), t, None, "planted", len(t)))
+    rows = docs.unionByName(llm.createDataFrame(noise + clean, DOCS))
+    kept = {r.doc_id for r in pipeline.language_id(llm, rows, SMALL).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect()} | {r[0] for r in clean}
+
+
 def test_rejects_and_odd_rows(llm, odd):
     rows = odd.select(DOC_COLUMNS)
     first = pipeline.language_id(llm, rows, SMALL)
