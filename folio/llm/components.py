@@ -52,8 +52,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def hot_nodes(edges: DataFrame, end: str) -> list:
-    """The nodes with more than ``1 / SALTS`` of the rows of ``edges`` at this end; their number is bounded by that share."""
-    top = edges.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({end}, {2 * SALTS}, {32 * SALTS})").alias("top")).first()
+    """Hashes of the nodes with more than ``1 / SALTS`` of the rows of ``edges`` at this end; their number is bounded by that share."""
+    top = edges.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(xxhash64({end}), {2 * SALTS}, {32 * SALTS})").alias("top")).first()
     return [t["item"] for t in top["top"] if t["count"] >= max(LEAST_HOT, top["n"] / SALTS)]
 
 
@@ -62,6 +62,6 @@ def with_low(edges: DataFrame, end: str, low: DataFrame, hot: list) -> DataFrame
     if not hot:
         return edges.join(low, F.col(end) == F.col("node"))
     other = "a" if end == "b" else "b"
-    dealt = edges.withColumn("__salt", F.when(F.col(end).isin(hot), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    copies = F.when(F.col("node").isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    dealt = edges.withColumn("__salt", F.when(F.xxhash64(end).isin(hot), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    copies = F.when(F.xxhash64("node").isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     return dealt.join(low.withColumn("__copy", F.explode(copies)), (F.col(end) == F.col("node")) & (F.col("__salt") == F.col("__copy")))
