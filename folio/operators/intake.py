@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators import skew
 from folio.schemas import MAX_UPLOAD_BYTES, PDF_MAGIC
 
 # Fixed values (must equal the reference's reply texts).
@@ -186,17 +187,18 @@ def paper_rows(new: DataFrame, created_at: Column | None = None) -> DataFrame:
     )
 
 
-def resolve_uploads(keyed: DataFrame, papers: DataFrame) -> DataFrame:
+def resolve_uploads(keyed: DataFrame, papers: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
     """Every accepted upload answered with a paper.
 
     ``accepted`` for the first upload of a hash that is not a paper yet,
     ``existing`` otherwise (a known hash, or a later copy in the same
-    batch). Both joins are on ``content_hash``, so the uploads are shuffled
-    once; the per-hash side is chosen broadcast or sort-merge by AQE from
-    its runtime size.
+    batch). One file may be a large share of all uploads, so the join that
+    answers them is salted (``operators.skew``): one salt for each
+    ``rows_per_salt`` uploads of a hash. (AQE's skew join does not reach it, as its other
+    side is a join in the same stage.)
     """
     uploads = keyed.select("path", "content_hash")
-    firsts = dedup_batch(keyed).select("content_hash", F.col("path").alias("_first_path"))
+    firsts = dedup_batch(keyed).select("content_hash", F.col("path").alias("_first_path"), "n_uploads")
     known = known_for(papers.select("content_hash", "id", "status", "result_key"), firsts).select(
         "content_hash",
         F.col("id").alias("_k_id"),
@@ -204,10 +206,9 @@ def resolve_uploads(keyed: DataFrame, papers: DataFrame) -> DataFrame:
         F.col("result_key").alias("_k_result_key"),
     )
     # Both lookup tables have one row per hash: join them first, so the
-    # uploads (where one hash may hold a large share of all rows) take part in
-    # a single join, whose skewed partitions AQE can split.
+    # uploads take part in a single join.
     per_hash = firsts.join(known, "content_hash", "left")
-    j = uploads.join(per_hash, "content_hash", "left")
+    j = skew.salted_left_join(uploads, per_hash, "content_hash", "n_uploads", rows_per_salt)
     is_known = F.col("_k_id").isNotNull()
     return j.select(
         "path",

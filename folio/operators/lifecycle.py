@@ -243,37 +243,49 @@ def summarise_log(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
 SUMMARY_COLUMNS = tuple(SUMMARY.fieldNames()[1:])
 
 
-def apply_summary(papers: DataFrame, summary: DataFrame, with_attempts: bool = False) -> DataFrame:
+def apply_summary(papers: DataFrame, summary: DataFrame, with_attempts: bool = False, since_created: bool = False) -> DataFrame:
     """Current rows from the inserted rows and a per-paper log summary.
 
     A ``left`` join from ``papers``: summaries of unknown ids vanish.
     ``with_attempts`` adds ``attempts`` and ``until``, which ``pending`` needs for leases.
+
+    ``since_created`` leaves out the log rows from before a paper was created, without a join of
+    the log itself: a value is that of the latest row which sets it, so if that row is too
+    early all are. A count has no such row, so attempts need ``applicable`` on the log.
     """
+    if since_created and with_attempts:
+        raise ValueError("attempts cannot be told from a summary: filter the log with applicable()")
     j = papers.join(summary, papers["id"] == summary["paper_id"], "left")
+
+    def has(key: str) -> Column:
+        return F.col(f"{key}.at") >= F.col("created_at") if since_created else F.col(key).isNotNull()
+
     return j.select(
         "id",
         "content_hash",
         "source_type",
         "source_ref",
-        F.coalesce(F.col("_status"), F.col("status")).alias("status"),
+        F.coalesce(F.when(has("_k"), F.col("_status")), F.col("status")).alias("status"),
         "raw_key",
-        F.when(F.col("_done_k").isNotNull(), F.col("_sv")).otherwise(F.col("schema_version")).alias("schema_version"),
-        F.when(F.col("_done_k").isNotNull(), F.col("_rk")).otherwise(F.col("result_key")).alias("result_key"),
-        F.when(F.col("_close_k").isNotNull(), F.col("_err")).otherwise(F.col("error")).alias("error"),
+        F.when(has("_done_k"), F.col("_sv")).otherwise(F.col("schema_version")).alias("schema_version"),
+        F.when(has("_done_k"), F.col("_rk")).otherwise(F.col("result_key")).alias("result_key"),
+        F.when(has("_close_k"), F.col("_err")).otherwise(F.col("error")).alias("error"),
         "created_at",
-        F.coalesce(F.col("_k.at"), F.col("updated_at")).alias("updated_at"),
+        F.coalesce(F.when(has("_k"), F.col("_k.at")), F.col("updated_at")).alias("updated_at"),
         *([F.coalesce(F.col("_attempts"), F.lit(0)).alias("attempts"), F.col("_until").alias(UNTIL.name)] if with_attempts else []),
     )
 
 
-def fold_status(papers: DataFrame, log: DataFrame, with_attempts: bool = False, base: DataFrame | None = None) -> DataFrame:
+def fold_status(
+    papers: DataFrame, log: DataFrame, with_attempts: bool = False, base: DataFrame | None = None, since_created: bool = False
+) -> DataFrame:
     """Current ``papers`` from the inserted rows and the log (and a summary of its earlier rows).
 
     The log is summarised per paper first (partial aggregation, then one
     shuffle of one row per paper and map task), then joined to ``papers``
-    from the left, so log rows of unknown ids vanish.
+    from the left, so log rows of unknown ids vanish; ``since_created`` as in ``apply_summary``.
     """
-    return apply_summary(papers, summarise_log(log, base), with_attempts)
+    return apply_summary(papers, summarise_log(log, base), with_attempts, since_created)
 
 
 def attempts(log: DataFrame) -> DataFrame:

@@ -59,3 +59,18 @@ def salted_semi_join(
     if condition is not None:
         cond = cond & condition
     return left.join(right, cond, "left_semi").drop(SALT)
+
+
+def salted_left_join(large: DataFrame, small: DataFrame, key: str, rows: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``large LEFT JOIN small USING (key)``, salted, where ``small`` has one row per key of ``large``
+    with the number of its rows there in the column ``rows`` (which is dropped).
+
+    The copies of a row of ``small`` follow from its own count; only the salts of ``large`` need
+    the table of hot keys.
+    """
+    salts = F.greatest(F.ceil(F.col(rows) / F.lit(rows_per_salt)).cast("long"), F.lit(1).cast("long"))
+    hot = small.where(F.col(rows) > F.lit(rows_per_salt)).select(key, salts.alias("_salts"))
+    src = F.xxhash64(*[F.col(c) for c in large.columns])
+    left = large.join(hot, key, "left").withColumn(SALT, F.pmod(src, F.coalesce(F.col("_salts"), F.lit(1).cast("long")))).drop("_salts")
+    right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop(rows)
+    return left.join(right, [key, SALT], "left").drop(SALT)

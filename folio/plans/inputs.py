@@ -195,6 +195,6 @@ def event_updates(events: DataFrame) -> DataFrame:
 
 
 def status_log(events: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> tuple[DataFrame, DataFrame]:
-    """L: ``(papers, log)`` where the log holds only updates that hit a row."""
+    """L: ``(papers, log)`` where the log holds only updates that hit a row (for counts of them)."""
     papers = event_papers(events)
     return papers, lifecycle.applicable(event_updates(events), papers, rows_per_salt)

@@ -44,15 +44,22 @@ def _keyed_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.with_keys(intake.accepted(_uploads(spark, sf_dir)))
 
 
-def _existing_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers registered by an earlier batch: the accepted French uploads."""
-    earlier = _keyed_accepted(spark, sf_dir).where(F.col("lang") == F.lit("fr"))
-    return inputs.registered(earlier)
+def _batch_and_earlier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The keys of the accepted uploads, and the papers of an earlier batch: its French ones.
+
+    As in ``submit``, the bytes are read and hashed in one narrow pass whose keys are written; every
+    join reads those.
+    """
+    path = f"{_scratch(spark, 'keys')}/keys"
+    _keyed_accepted(spark, sf_dir).select("path", "modificationTime", "length", "content_hash", "lang").write.parquet(path)
+    keys = spark.read.parquet(path)
+    return keys, inputs.registered(keys.where(F.col("lang") == F.lit("fr")))
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
-    return lifecycle.fold_status(papers, log)
+    """L as current papers: the calls are reduced to a summary per paper, in which those from before it show."""
+    events = inputs.table(spark, sf_dir, "events")
+    return lifecycle.fold_status(inputs.event_papers(events), inputs.event_updates(events), since_created=True)
 
 
 # ------------------------------------------------------------ TEI (O23+) --
@@ -164,12 +171,12 @@ def batch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insert_or_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.resolve_uploads(_keyed_accepted(spark, sf_dir), _existing_papers(spark, sf_dir))
+    return intake.resolve_uploads(*_batch_and_earlier(spark, sf_dir))
 
 
 def new_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firsts = intake.dedup_batch(_keyed_accepted(spark, sf_dir))
-    rows = intake.paper_rows(intake.new_papers(firsts, _existing_papers(spark, sf_dir)))
+    keys, earlier = _batch_and_earlier(spark, sf_dir)
+    rows = intake.paper_rows(intake.new_papers(intake.dedup_batch(keys), earlier))
     return rows.select("id", "content_hash", "source_type", "source_ref", "status", "raw_key")
 
 
@@ -248,9 +255,10 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O22 over a papers table holding both the U registrations (no log rows
     yet) and the L papers (mostly processed)."""
-    papers, log = inputs.status_log(inputs.table(spark, sf_dir, "events"))
-    everything = papers.unionByName(_all_papers(spark, sf_dir))
-    return lifecycle.pending(lifecycle.fold_status(everything, log)).select("id", "content_hash")
+    events = inputs.table(spark, sf_dir, "events")
+    everything = inputs.event_papers(events).unionByName(_all_papers(spark, sf_dir))
+    folded = lifecycle.fold_status(everything, inputs.event_updates(events), since_created=True)
+    return lifecycle.pending(folded).select("id", "content_hash")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,13 +310,13 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status log L as a stream; live summaries folded into papers."""
     root = _scratch(spark, "stream_fold")
     events = inputs.table(spark, sf_dir, "events")
-    papers, log = inputs.status_log(events)
+    papers, log = inputs.event_papers(events), inputs.event_updates(events)
     log.repartitionByRange(max(1, -(-events.count() // ROWS_PER_FILE)), "at").write.parquet(f"{root}/log")
     own = status_stream.status_session(spark)
     stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/log")
     q = status_stream.start_status(stream, f"{root}/status", f"{root}/ckpt", available_now=True, compact_every=2)
     q.awaitTermination()
-    folded = lifecycle.apply_summary(papers, status_stream.latest_summaries(spark, f"{root}/status"))
+    folded = lifecycle.apply_summary(papers, status_stream.latest_summaries(spark, f"{root}/status"), since_created=True)
     return folded.select(
         "id",
         "status",

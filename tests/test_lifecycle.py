@@ -82,6 +82,27 @@ def test_applicable_drops_unknown_and_early(spark):
     assert [(r.paper_id, r.to_status) for r in kept] == [("p", "done")]
 
 
+def test_fold_since_created_equals_the_fold_of_applicable_rows(spark):
+    rows, start = [], {}
+    steps = ["running", "done", "failed", "running", "failed", "done"]
+    for n in range(60):  # each paper has its own calls, some or all of them before it exists
+        pid = f"p{n}"
+        start[pid] = n % 8
+        for k in range(n % 7):
+            st = steps[(n * 5 + k * k) % 6]
+            done = st == "done"
+            rows.append((pid, T0 + dt.timedelta(minutes=k - k % 2), k, st, "1.0" if done else None, f"r{n}.{k}" if done else None, f"e{k}" if st == "failed" else None))
+    log = spark.createDataFrame(rows + [("ghost", T0, 0, "done", "1.0", "r", None)], STATUS_LOG)
+    at = F.lit(T0) + F.make_dt_interval(mins=F.element_at(F.create_map(*[F.lit(v) for kv in start.items() for v in kv]), F.col("id")))
+    papers = _papers(spark, list(start)).withColumn("created_at", at)
+    whole = lifecycle.fold_status(papers, log, since_created=True)
+    filtered = lifecycle.fold_status(papers, lifecycle.applicable(log, papers))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, filtered.collect()))
+    assert sorted(map(str, whole.collect())) != sorted(map(str, lifecycle.fold_status(papers, log).collect()))
+    with pytest.raises(ValueError, match="applicable"):
+        lifecycle.fold_status(papers, log, with_attempts=True, since_created=True)
+
+
 def test_pending(spark):
     papers = _papers(spark, ["a", "b"])
     folded = lifecycle.fold_status(papers, _log(spark, [("a", "running", None)]))

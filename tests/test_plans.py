@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -120,3 +121,54 @@ def test_hot_paper_is_salted_and_results_match(spark):
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
     # a later fold of the salted output shuffles again, after partial aggregation
     assert _partial_before_exchange(_plan(lifecycle.summarise_log(salted)))
+
+
+def test_fold_reads_its_log_once(spark):
+    import __spark_entry__ as e
+
+    from support import SF_SMALL
+
+    for name in ("status_fold", "paper_view"):
+        plan = _plan(e.queries()[name](spark, SF_SMALL))
+        assert plan.count("FileScan") == 2, name  # the papers and the log, each once
+
+
+def test_uploads_of_a_hot_hash_are_split(spark):
+    """Half of all uploads are one file: the join that answers them deals them to many tasks."""
+    import tempfile
+
+    n = 20_000
+    path = tempfile.mkdtemp(prefix="folio-hot-") + "/keys"
+    i = F.col("id")
+    h = F.sha2(F.when(i % 2 == 0, F.lit("hot")).otherwise(i.cast("string")), 256)
+    keys = spark.range(n).select(
+        F.concat(F.lit("f"), i.cast("string"), F.lit(".pdf")).alias("path"),
+        F.timestamp_seconds(i).alias("modificationTime"),
+        F.lit(8).cast("long").alias("length"),
+        h.alias("content_hash"),
+    )
+    keys.write.parquet(path)
+    keys = spark.read.parquet(path)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        known = intake.paper_rows(intake.dedup_batch(keys.where("path = 'f1.pdf'")))
+        out = intake.resolve_uploads(keys, known, rows_per_salt=n // 100)
+        task = F.spark_partition_id().alias("task")
+        rows = out.select("path", "content_hash", "outcome", task).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == len({r.path for r in rows}) == n
+    tasks = Counter(r.task for r in rows)
+    assert max(tasks.values()) < n // 2  # unsplit, one task has the hot hash and its share of the others
+    odd = n // 2
+    outcomes = Counter(r.outcome for r in rows)
+    assert outcomes == {intake.OUTCOME_ACCEPTED: odd, intake.OUTCOME_EXISTING: n - odd}
+    assert {r.path for r in rows if r.outcome == intake.OUTCOME_ACCEPTED} >= {"f0.pdf", "f3.pdf"}
