@@ -110,6 +110,11 @@ class PaperStore:
         p, fs = self._fs_path(f"{self.root}/{sub}")
         return bool(fs.exists(p))
 
+    def size(self, sub: str) -> int:
+        """Bytes of the files in a folder."""
+        p, fs = self._fs_path(f"{self.root}/{sub}")
+        return int(fs.getContentSummary(p).getLength())
+
     def make(self, sub: str) -> None:
         """An empty folder, for a stream that starts before the first write to it."""
         p, fs = self._fs_path(f"{self.root}/{sub}")

@@ -6,7 +6,10 @@ log rows the paper has; each micro-batch emits only the papers it changed
 (update mode). Those rows are appended under ``batch=N`` and the newest row per
 paper is the current summary, which ``apply_summary`` joins to the inserted
 papers exactly as the batch fold does. ``compact_summaries`` replaces the
-snapshots so far by their newest rows.
+snapshots so far by their newest rows. A stream that compacts as it runs does so
+once the snapshots after the base are as large as the base, so all its compactions
+together write no more than a small multiple of what the stream wrote, however
+many micro-batches there are.
 
 A replayed batch writes its log folder again, under new file names, so the
 stream sees its rows twice. They are known by ``(paper_id, batch, step, seq)``:
@@ -64,9 +67,11 @@ def stream_status(log_stream: DataFrame) -> DataFrame:
 
 
 def start_status(log_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = False, compact_every: int | None = None) -> StreamingQuery:
+    """``compact_every=N``: after every N-th batch the snapshots are compacted if they have outgrown their base."""
+
     def write(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        if compact_every and (batch_id + 1) % compact_every == 0:
+        if compact_every and (batch_id + 1) % compact_every == 0 and _outgrown(batch_df.sparkSession, out_path):
             compact_summaries(batch_df.sparkSession, out_path)
 
     w = (
@@ -80,12 +85,26 @@ def start_status(log_stream: DataFrame, out_path: str, checkpoint: str, availabl
     return w.start()
 
 
+def _folders(files: PaperStore) -> tuple[int, list[int]]:
+    """The last batch in the newest base (-1 if there is none), and the batches after it."""
+    upto = max((n for n in files._children("base", "upto") if files.exists(f"base/upto={n}/_SUCCESS")), default=-1)
+    return upto, files._batches("", after=upto)
+
+
+def _outgrown(spark: SparkSession, path: str) -> bool:
+    """Are the batches after the newest base at least as large as it?"""
+    files = PaperStore(spark, path)
+    upto, batches = _folders(files)
+    return upto < 0 or sum(files.size(f"batch={n}") for n in batches) >= files.size(f"base/upto={upto}")
+
+
 def _snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Summary rows with the batch that wrote them, and the last batch: of the newest base and the batches after it."""
-    files = PaperStore(spark, path)
-    upto = max((n for n in files._children("base", "upto") if files.exists(f"base/upto={n}/_SUCCESS")), default=-1)
-    batches = files._batches("", after=upto)
-    parts = [spark.read.parquet(f"{path}/batch={n}").withColumn("batch", F.lit(n).cast("long")) for n in batches]
+    upto, batches = _folders(PaperStore(spark, path))
+    parts = []
+    if batches:
+        after = spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in batches])
+        parts.append(after.withColumn("batch", F.col("batch").cast("long")))
     if upto >= 0:
         parts.append(spark.read.parquet(f"{path}/base/upto={upto}").withColumn("batch", F.lit(upto).cast("long")))
     if not parts:

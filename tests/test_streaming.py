@@ -183,3 +183,44 @@ def test_intake_parse_and_live_status_chain(spark):
     assert got["y.pdf"] == ("queued", None)
     folded = {r.source_ref: (r.status, r.error) for r in store.scan_papers().collect()}
     assert folded == got
+
+
+def test_status_stream_compacts_when_the_base_is_outgrown(spark):
+    root = tempfile.mkdtemp(prefix="folio-og-")
+    rows = [(f"p{n}", T0, n, "running", None, None, None) for n in range(2000)]
+    spark.createDataFrame(rows, STATUS_LOG).coalesce(1).write.parquet(f"{root}/log")
+    for n in range(5):  # a few papers of many change
+        late = [(f"p{n}", T0 + dt.timedelta(minutes=n + 1), n, "failed", None, None, f"e{n}")]
+        spark.createDataFrame(late, STATUS_LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    own = status_stream.status_session(spark)
+    own.conf.set("spark.sql.shuffle.partitions", "1")
+    stream = own.readStream.schema(STATUS_LOG).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    status_stream.start_status(stream, f"{root}/status", f"{root}/ckpt", available_now=True, compact_every=1).awaitTermination()
+    # six batches; the base of the first is not written again for each of the others
+    assert PaperStore(spark, f"{root}/status")._children("base", "upto") == [0]
+    live = {r.paper_id: (r._status, r._attempts) for r in status_stream.latest_summaries(spark, f"{root}/status").collect()}
+    assert len(live) == 2000 and live["p7"] == ("running", 1) and [live[f"p{n}"] for n in range(5)] == [("failed", 1)] * 5
+
+
+def test_fold_of_a_longer_log_takes_no_more_micro_batches(spark, monkeypatch):
+    from folio.plans import queries
+    from folio.session import checkpoint_root
+
+    d, n = tempfile.mkdtemp(prefix="folio-ev-"), F.col("id")
+    kinds = F.array(*[F.lit(k) for k in ("signup", "click", "error", "view", "purchase")])
+    events = spark.range(400).select(
+        n.alias("event_id"),
+        (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=n)).alias("ts"),
+        (n % 7).alias("user_id"),
+        F.get(kinds, (n % 5).cast("int")).alias("event_type"),
+        F.concat(F.lit("e"), n.cast("string")).alias("props"),
+    )
+    events.write.parquet(f"{d}/events.parquet")
+    monkeypatch.setattr(queries, "ROWS_PER_FILE", 10)
+    monkeypatch.setattr(queries, "MICRO_BATCHES", 3, raising=False)
+    runs = f"{checkpoint_root(spark).removeprefix('file:')}/folio/stream_fold"
+    before = set(os.listdir(runs)) if os.path.isdir(runs) else set()
+    live = queries.stream_fold(spark, d).collect()
+    (run,) = set(os.listdir(runs)) - before
+    assert 1 < len(PaperStore(spark, f"{runs}/{run}/status")._children("", "batch")) <= 3
+    assert sorted(map(str, live)) == sorted(map(str, queries.status_fold(spark, d).collect())) and len(live) == 7
