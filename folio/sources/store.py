@@ -18,7 +18,9 @@ that have no paper yet), so it makes no difference when compactions run: late
 rows, late registrations and attempts fold as they would without them.
 
 Key index: a base is partitioned by a bucket of the paper's id, as many as keep
-about ``rows_per_bucket`` papers each. A content hash gives the id, so lookups by
+about ``rows_per_bucket`` papers each; where that is few, there are no more than one
+for ``ROWS_PER_FOLDER`` papers (or 256), as each is a folder, and the papers lie in them
+in order of their id. A content hash gives the id, so lookups by
 id and by hash both name their buckets, and files of other buckets are pruned
 before the scan; a batch of keys reads the buckets that it has keys in. Files
 after the base carry Parquet Bloom filters on their keys.
@@ -59,6 +61,8 @@ LOG_COLUMNS = [*STATUS_LOG.fieldNames(), UNTIL.name]
 LOG_SCHEMA = _with(STATUS_LOG, (UNTIL.name, UNTIL.dataType), ("batch", T.LongType()), ("step", T.IntegerType()))
 BUCKET = "bucket"
 MOST_DIGITS = 4
+#: Beyond 16 ** FREE_DIGITS buckets a folder should have so many papers at least.
+ROWS_PER_FOLDER, FREE_DIGITS = 4_096, 2
 
 
 Ranges = list[tuple[int, int]]  # closed ranges of batch numbers
@@ -84,6 +88,13 @@ def bucket_of(paper_id: Column, digits: int) -> Column:
     return F.substring(F.sha2(paper_id, 256), 1, digits)
 
 
+def digits_for(rows: int, rows_per_bucket: int) -> int:
+    """Hex digits of the buckets of a base of so many papers."""
+    wanted = math.ceil(math.log(max(1, rows / rows_per_bucket), 16))
+    worth = math.floor(math.log(max(1, rows / ROWS_PER_FOLDER), 16))
+    return min(MOST_DIGITS, max(1, wanted), max(FREE_DIGITS, worth))
+
+
 def _blooms(*columns: str) -> dict[str, str]:
     """Parquet options for Bloom filters of adaptive size."""
     out = {"parquet.bloom.filter.adaptive.enabled": "true"}
@@ -295,11 +306,12 @@ class PaperStore:
         summary = lifecycle.summarise_log(log, self.base_table(version, "summary"))
         # From the files' footers.
         rows = inserts.count()
-        digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(1, rows / rows_per_bucket), 16))))
+        digits = digits_for(rows, rows_per_bucket)
         target = f"{self.root}/base/v={version + 1}"
         for df, table, key in ((inserts, "papers", "id"), (summary, "summary", "paper_id")):
             bucketed = df.withColumn(BUCKET, bucket_of(F.col(key), digits))
-            bucketed.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).options(**_blooms(key)).parquet(f"{target}/{table}")
+            dealt = bucketed.repartition(BUCKET).sortWithinPartitions(BUCKET, key)
+            dealt.write.mode("overwrite").partitionBy(BUCKET).options(**_blooms(key)).parquet(f"{target}/{table}")
         held_rows = []
         for key in held.keys() | new_papers.keys() | new_log.keys():
             new = new_papers.get(key, []) + new_log.get(key, [])

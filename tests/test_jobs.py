@@ -314,6 +314,26 @@ def test_lookups_skip_the_files_of_other_buckets(spark):
     assert store.paper(paper_id="nope").count() == 0
 
 
+def test_small_buckets_do_not_make_a_folder_for_each_few_papers(spark):
+    store = PaperStore(spark, tempfile.mkdtemp(prefix="folio-store-"))
+    firsts = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.lit("x.pdf").alias("path"))
+    store.append_papers(intake.paper_rows(firsts), batch=1)
+    version = store.compact(rows_per_bucket=8)
+    assert len(os.listdir(f"{store.root}/base/v={version}/papers")) <= 256 + 2  # _SUCCESS and its checksum
+    some = store.scan_papers().orderBy("id").limit(3).collect()
+    assert len(some) == 3 == store.scan_papers(only=spark.createDataFrame([(r.id,) for r in some], "id string"), key="id").count()
+    assert store.paper(paper_id=some[1].id).first().content_hash == some[1].content_hash and store.scan_papers().count() == 3000
+
+
+def test_buckets_grow_with_the_papers():
+    from folio.sources.store import digits_for
+
+    for rows, per in ((0, 8), (400, 2), (90_000, 8), (90_000, 1 << 20), (1 << 28, 1 << 20), (1 << 36, 1 << 20)):
+        folders = 16 ** digits_for(rows, per)
+        assert folders <= max(256, rows / 4096)
+        assert per < 1 << 20 or rows / folders <= 1 << 20
+
+
 def test_unreachable_store_is_an_error(spark):
     with pytest.raises(Exception, match="(?i)nosuchscheme"):
         PaperStore(spark, "nosuchscheme://x/y").scan_papers()
