@@ -152,6 +152,21 @@ def test_tei_files_source(spark):
     assert got == {"p1": "<TEI/>", "p2": None}
 
 
+def test_small_tei_files_are_written_by_many_tasks(spark):
+    from folio.plans import queries
+    from folio.session import checkpoint_root
+
+    d = tempfile.mkdtemp(prefix="folio-docs-")
+    spark.range(32 * 200).select(F.col("id").alias("doc_id")).write.parquet(f"{d}/documents.parquet")
+    runs = f"{checkpoint_root(spark).removeprefix('file:')}/folio/tei_scan"
+    before = set(os.listdir(runs)) if os.path.isdir(runs) else set()
+    rows = queries.tei_scan(spark, d).where("kind = 'files'").collect()
+    (run,) = set(os.listdir(runs)) - before
+    tasks = [n[:10] for _, _, names in os.walk(f"{runs}/{run}/files") for n in names if n.startswith("part-")]
+    assert len(tasks) == 200 and max(tasks.count(t) for t in set(tasks)) <= 128
+    assert sorted(int(r.paper_id) for r in rows) == list(range(200)) and all(r.title == f"L{r.paper_id}" for r in rows)
+
+
 def test_tei_table_source_string_and_bytes(spark):
     d = tempfile.mkdtemp(prefix="folio-teitab-")
     spark.createDataFrame([("p1", "h1", "<TEI/>")], "paper_id string, source_hash string, tei string").write.parquet(
