@@ -87,11 +87,11 @@ def process(
     won = store.write_work(winners(tei_side, todo, key), batch, "tei")
     jobs = jobs_of(tei_side, won, key)
     docs = engine.apply(jobs, tei_col="tei", source_hash="content_hash", keep=["paper_id", "content_hash"])
-    docs = tei.document_json(docs).withColumn("result_key", intake.result_key(F.col("paper_id")))
     parsed = store.write_work(docs, batch, "parsed")
 
-    good = parsed.where(F.col("parse_error").isNull())
-    store.write_documents(good.drop("parse_error"), batch)
+    # The JSON text says a Document over again, so it is made on the way to the sink and not stored before.
+    good = tei.document_json(parsed.where(F.col("parse_error").isNull()))
+    store.write_documents(good.drop("parse_error").withColumn("result_key", intake.result_key(F.col("paper_id"))), batch)
     written = store.documents(batch).select("paper_id", "result_key")
     bad = parsed.where(F.col("parse_error").isNotNull()).select("paper_id", F.col("parse_error").alias("error"))
     tried = todo.select(F.col("id").alias("paper_id"), (F.col("attempts") + 1).alias("attempts"))

@@ -8,6 +8,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions.text import replace
+from folio.functions.xml import ESCAPE, ESCAPED, SENTINEL, norm_tei
 from folio.operators import tei
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -386,3 +388,25 @@ def test_parsed_at_in_a_clock_change(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert [json.loads(r.json)["parsed_at"] for r in docs] == ["2026-03-29T02:30:00.5Z", "2026-03-29T02:30:01.5Z"]
+
+
+# ------------------------------------------------- what a text is searched for --
+
+
+def test_each_step_of_the_normalisation_is_computed_once(spark):
+    """A step that names its input several times would run all steps before it as often."""
+    df = spark.createDataFrame([("<TEI/>",)], "tei string").select(norm_tei(F.col("tei")).alias("n"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(tei#") == 1
+
+
+def test_replace_gives_what_sparks_replace_gives(spark):
+    texts = [None, "", "plain", "a&b<c>&amp;", "<", "\u2028x", f"{SENTINEL}{ESCAPE}1", "é&"]
+    pairs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u2028", "-"), *ESCAPED)
+    c = F.col("t")
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(replace(F.col("t"), *pairs).alias("a"), c.alias("b"))
+    rows = df.collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert rows[3].a == "a&amp;b&lt;c&gt;&amp;amp;"
